@@ -31,9 +31,11 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        self.names: set[str] = set()
         self.root = f"{shared_folder(spark).rstrip('/')}/gleanery-{uuid.uuid4().hex}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
+        self.names.add(name)
         df.write.option("compression", "zstd").parquet(path := f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -43,6 +45,11 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            self.names.discard(name)
+
+    def keep(self, *names: str) -> None:
+        """Deletes all tables but these."""
+        self.drop(*(self.names - set(names)))
 
 
 def lower_ascii(text: Column) -> Column:
@@ -58,7 +65,7 @@ def split_words(text: Column, separators: str) -> Column:
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan, from file sizes: no job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def parts_for(df: DataFrame, bytes_each: int) -> int:

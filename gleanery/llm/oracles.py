@@ -1,5 +1,27 @@
 """DuckDB SQL for the registered queries that SQL can express."""
 
+OP1 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(w[i:i+4], ' ')) AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w)-4,1)+1)) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+inter AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), link AS (
+  SELECT x, y FROM inter JOIN n na ON na.doc_id = x JOIN n nb ON nb.doc_id = y WHERE 100*k >= 80*(na.n + nb.n - k)
+), both_ways AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM d
+  UNION
+  SELECT r.x, e.y FROM reach r JOIN both_ways e ON e.x = r.y
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) c USING (doc_id)
+"""
+
 OP2 = r"""
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
@@ -27,4 +49,4 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN its USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2}
+    return {"op1_ngram_join": OP1, "op2_decontaminate": OP2}
