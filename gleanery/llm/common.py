@@ -77,3 +77,11 @@ def parts_for(df: DataFrame, bytes_each: int) -> int:
 def missing(df: DataFrame, names: Iterable[str]) -> None:
     if gone := [n for n in names if n not in df.columns]:
         raise ValueError(f"columns missing: {', '.join(gone)}")
+
+
+def drawn(df: DataFrame, key: str, n: int, seed: int = 29) -> DataFrame:
+    """All rows if they are n at most, else about n of them (each with the same chance) by hash of the key."""
+    total = df.count()
+    if total <= n:
+        return df
+    return df.filter(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) < int(n / total * (1 << 30)))

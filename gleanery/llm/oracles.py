@@ -47,6 +47,40 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit,0)::BIGINT AS n_hit
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
+OP3 = r"""
+WITH u AS (
+  SELECT page_id, CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN NULL ELSE substr(url, strpos(url, '://') + 3) END AS rest FROM pages
+), h AS (
+  SELECT page_id, coalesce(regexp_extract(rest, '^[^/?#]*'), '') AS raw, rest FROM u
+), p AS (
+  SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*'), '') AS path FROM h
+), rules(verdict, rh, rp) AS (VALUES ('block','com','/en/'), ('allow','example.com','/en/7'), ('allow','net','/de/'), ('block','example.net','/de/8'), ('block','org','/es/')),
+fit AS (
+  SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(verdict, length(rh || rp)) AS verdict
+  FROM p JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id
+)
+SELECT p.page_id, host, path, rule, coalesce(fit.verdict, CASE
+  WHEN regexp_matches(host, '(^|[.-])(spam-farm|link-farm|cheap-pills|cheap-meds|cheap-drugs|casino|porn|xxx|doubleclick)([.-]|$)') OR starts_with(path, '/wp-login.php') THEN 'block'
+  ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN fit USING (page_id)
+"""
+
+OP7 = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text,''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text,''), chr(10)), 1) AS i
+  FROM documents
+), k AS (
+  SELECT doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM l
+), rep AS (
+  SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+), m AS (SELECT k.*, keeper IS NOT NULL AND keeper <> doc_id AS gone FROM k LEFT JOIN rep USING (key))
+SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": OP1, "op2_decontaminate": OP2}
+    return {"op1_ngram_join": OP1, "op2_decontaminate": OP2, "op3_urlfilter": OP3, "op7_line_dedup": OP7}
