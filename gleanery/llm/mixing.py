@@ -21,8 +21,8 @@ from pyspark.sql.window import Window
 from gleanery.llm.common import Scratch, missing, split_words
 
 SPACE = r"[\x20\x09-\x0D]+"
-#: Words that are left to the dynamic programme at most, and documents in one ranked bucket at about.
-DP_WORDS, BUCKET = 1 << 16, 1024
+#: Words that are left to the dynamic programme at most; n documents of one length go to about sqrt(n / BUCKET) buckets.
+DP_WORDS, BUCKET = 1 << 16, 32
 
 
 def n_words(text: Column) -> Column:
@@ -76,6 +76,10 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         n = min(int(counts[i] - take[i]), left // int(lengths[i]))
         take[i] += n
         left -= n * int(lengths[i])
+    for i in np.argsort(lengths):  # two documents of each length, the short ones first, are open again
+        n = min(2, int(take[i]), max(0, DP_WORDS - left) // int(lengths[i]))
+        take[i] -= n
+        left += n * int(lengths[i])
     return take + _knapsack(lengths, counts - take, min(left, DP_WORDS))
 
 
@@ -139,7 +143,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: Fraction =
 
     by_name = F.col("source").eqNullSafe(F.col("name"))
     planned = hist.join(named, by_name).groupBy("k").applyInPandas(plan, "k int, size long, docs long, source_size long, target double, passes int, extra long")
-    planned = scratch.table(planned, "plan").withColumn("buckets", F.ceil(F.col("docs") / BUCKET))
+    planned = scratch.table(planned, "plan").withColumn("buckets", F.ceil(F.sqrt(F.col("docs") / BUCKET)))
     placed = sized.join(named.select("k", "name"), by_name).join(planned, ["k", "size"]).withColumn("bucket", F.pmod(F.xxhash64("h"), F.col("buckets")))
     keys = ["k", "size", "bucket"]
     upto = Window.partitionBy("k", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,0 +1,173 @@
+"""Toxicity, language ID, secrets and licenses: held-out accuracy and awkward rows."""
+
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from gleanery.llm import langid, licenses, secrets, toxicity
+from gleanery.llm.trees import Boosted, Forest, Isotonic
+from tests.llm import data
+
+LABELS = "doc_id long, quality int, toxic int"
+BAD = ["idiot", "grumblish", "grumbletor", "grumblesk", "grumblent"]
+
+
+def corpus(n=600, seed=1):
+    """Documents of which every fifth holds abuse, half of it of a kind that only labels tell."""
+    rng = random.Random(seed)
+    rows, labels = [], []
+    for i in range(n):
+        words = data.prose(5000 + i, rng.randrange(20, 120)).split()
+        toxic = i % 5 == 0
+        if toxic:
+            for _ in range(max(3, len(words) // 12)):
+                words[rng.randrange(len(words))] = BAD[0] if i % 2 else rng.choice(BAD[1:])
+        rows.append((i, " ".join(words), "en", "s", None))
+        labels.append((i, 1, int(toxic)))
+    return rows, labels
+
+
+def test_toxicity_held_out(spark):
+    rows, labels = corpus()
+    out = toxicity.toxicity(data.table(spark, rows), spark.createDataFrame(labels, LABELS)).collect()
+    truth = {i: t for i, _, t in labels}
+    assert Counter(r.doc_id for r in out) == Counter(r[0] for r in rows)
+    for r in out:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7)
+    held = [r for r in out if r.held_out]
+    assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.97
+
+
+def test_toxicity_ignores_held_out_labels(spark):
+    rows, labels = corpus(200)
+    docs = data.table(spark, rows)
+    flipped = [(i, q, 1 - t if zlib.crc32(str(i).encode()) % 3 == 1 else t) for i, q, t in labels]
+    a, b = (sorted(tuple(r) for r in toxicity.toxicity(docs, spark.createDataFrame(x, LABELS)).collect()) for x in (labels, flipped))
+    assert a == b
+
+
+@pytest.mark.parametrize("make", [data.documents, data.clashing, data.empty])
+def test_toxicity_awkward(spark, make):
+    docs = make(spark)
+    some = spark.createDataFrame([(37, 1, 1), (37, 1, 0), (74, 1, 0), (None, 1, 1), (10, 0, None)], LABELS)
+    for labels in (some, spark.createDataFrame([], LABELS)):
+        out = toxicity.toxicity(docs, labels).collect()
+        assert Counter(r.doc_id for r in out) == Counter(r.doc_id for r in docs.select("doc_id").collect())
+        assert all(0 <= r.score <= 1 for r in out)
+    kept = toxicity.without_toxic(docs, some)
+    assert kept.columns == docs.columns
+
+
+def test_without_toxic(spark):
+    rows, labels = corpus()
+    kept = {r.doc_id for r in toxicity.without_toxic(data.table(spark, rows), spark.createDataFrame(labels, LABELS)).collect()}
+    clean = {i for i, _, t in labels if not t}
+    assert len(kept - clean) <= 4 and len(clean - kept) <= 4
+
+
+def test_broken_words():
+    assert list(toxicity.broken_words("an id1ot and m.o.r.o.n here, st*p1d!")) == ["id1ot", "st*p1d!", "m.o.r.o.n"]
+    assert len(list(toxicity.broken_words("a1b" * 30_000))) <= 30_000
+    assert toxicity.features(None, toxicity.Lexicon({}), {}) == [0.0] * toxicity.N_FEATURES
+
+
+LANGS = {"aa": ["tion", "ment", "able", "the", "ing"], "bb": ["schaft", "keit", "ung", "der", "lich"], "cc": ["ción", "mente", "dad", "los", "ero"]}
+
+
+def speech(lang, seed, n):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice(LANGS[lang]) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+
+
+def test_language_held_out(spark):
+    rows = [(i, speech(lang, i, 5 + i % 40), lang, "s", None) for i in range(300) for lang in [sorted(LANGS)[i % 3]]]
+    rows += [(1000, None, "aa", "s", 1), (1001, "12 34 !!", "bb", "s", 1), (1002, "日本語", None, "s", 1), (None, "schaftkeit der", None, "s", 1)]
+    out = {r.doc_id: r for r in langid.identify(data.table(spark, rows)).collect()}
+    truth = {r[0]: r[2] for r in rows}
+    held = [r for i, r in out.items() if r.held_out and i < 1000]
+    assert all(r.held_out == (i is not None and zlib.crc32(str(i).encode()) % 4 == 2) for i, r in out.items())
+    assert np.mean([r.lang_pred == truth[r.doc_id] for r in held]) > 0.98
+    assert out[1000].lang_pred == out[1001].lang_pred == "und" and out[1000].score == 0.0
+    assert out[1002].lang_pred in LANGS and out[None].lang_pred == "bb"
+    assert all(0 <= r.score <= 1 for r in out.values())
+
+
+@pytest.mark.parametrize("make", [data.documents, data.clashing, data.empty])
+def test_language_awkward(spark, make):
+    docs = make(spark)
+    out = langid.identify(docs).collect()
+    assert Counter(r.doc_id for r in out) == Counter(r.doc_id for r in docs.select("doc_id").collect())
+    nothing = docs.withColumn("lang", docs.lang.substr(9, 1).cast("int").cast("string"))
+    assert {r.lang_pred for r in langid.identify(nothing).collect()} <= {"und"}
+
+
+def test_backoff_takes_the_longest_known_gram():
+    grams = {n: {} for n in langid.LENGTHS}
+    grams[3] = {"abc": np.array([9, 0]), "xyz": np.array([0, 9])}
+    grams[1] = {"a": np.array([0, 9]), "q": np.array([9, 0])}
+    m = langid.Model(["l", "r"], {"word": np.array([1, 8])}, grams)
+    assert m.unseen("zabcz").argmax() == 0 and m.unseen("qq").argmax() == 0 and m.unseen("aq") is not None
+    assert langid.Scorer(m)("word")[0] == "r"
+
+
+def test_secrets(spark):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    rows = [(1, f'{data.prose(1, 30)} token = "{key}" {data.prose(2, 30)}', "en", "config/prod.env", 1), (2, f"commit {key} {data.prose(3, 20)}", "en", "docs/readme.md", 1), (3, None, "en", None, 1), (4, "", "en", None, 1), (5, "AKIA" + "Q7RZ" * 4, "en", "a", 1), (None, "password: changeme", "en", "tests/x", 1)]
+    rows += [(10 + i, data.prose(i, 60), "en", "a", 1) for i in range(50)]
+    out = {(r.doc_id, r.kind): r for r in secrets.scan(data.table(spark, rows)).collect()}
+    found = out[1, "assignment"]
+    assert rows[0][1][found.start : found.end] == key and found.secret
+    assert not out[2, "long_token"].secret and out[5, "aws_access_key"].secret and not out[None, "assignment"].secret
+    assert {k[0] for k in out} == {1, 2, 5, None}
+    assert secrets.redact(rows[0][1], [(found.start, found.end)]).count("[secret]") == 1
+
+
+def test_secrets_held_out():
+    words = secrets.Words(Counter(w for i in range(50) for w in data.prose(i, 100).split()))
+    forest = secrets.train(words, secrets.made_findings(1500, seed=1))
+    right = 0
+    unseen = secrets.made_findings(600, seed=2)
+    for text, path, start, end, label in unseen:
+        c = next((c for c in secrets.candidates(text) if c.start < end and start < c.end), secrets.Candidate(9, start, end))
+        right += (forest(np.array([secrets.features(text, c, path, words)]))[0] >= 0.5) == label
+    assert right / len(unseen) > 0.95
+
+
+@pytest.mark.parametrize("make", [data.documents, data.clashing, data.empty])
+def test_scans_awkward(spark, make):
+    docs = make(spark)
+    assert secrets.scan(docs).count() >= 0
+    assert licenses.scan_licenses(docs).count() >= 0
+
+
+def test_licenses(spark):
+    apache = "Licensed under the Apache License, Version 2.0."
+    rows = [(1, f"{data.prose(1, 30)}.\n{apache}\n{data.prose(2, 30)}", "", "", 1), (2, "Released under the MIT License.", "", "", 1), (3, "some license text that is nobody's", "", "", 1), (4, None, "", "", 1), (5, licenses.TEMPLATES["MIT"].split("\n")[2], "", "", 1), (6, f"{data.prose(1, 10)}. {apache} {data.prose(3, 9)}", "", "", 1), (None, apache.upper(), "", "", 1), (8, "license " * 9000, "", "", 1)]
+    out = licenses.scan_licenses(data.table(spark, rows)).collect()
+    sure = {(r.doc_id, r.license) for r in out if r.confirmed}
+    assert sure == {(1, "Apache-2.0"), (2, "MIT"), (5, "MIT"), (6, "Apache-2.0"), (None, "Apache-2.0")}
+    text = {r[0]: r[1] for r in rows}
+    assert all(text[r.doc_id][r.start : r.end] == apache for r in out if r.doc_id in (1, 6))
+    assert any(r.doc_id == 3 and r.differing for r in out)
+    assert sum(r.end - r.start for r in out if r.doc_id == 8) >= 60_000
+
+
+def test_isotonic_is_pooled():
+    rng = np.random.default_rng(0)
+    s = rng.random(3000)
+    iso = Isotonic.fit(s, (rng.random(3000) < s**2).astype(int))
+    p = iso(np.linspace(0, 1, 50))
+    assert (np.diff(p) >= 0).all() and np.abs(p - np.linspace(0, 1, 50) ** 2).mean() < 0.05
+
+
+def test_trees_learn():
+    rng = np.random.default_rng(0)
+    x = rng.random((3000, 6))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3)).astype(float)
+    for model in (Boosted.fit(x[:2000], y[:2000]), Forest.fit(x[:2000], y[:2000])):
+        assert ((model(x[2000:]) > 0.5) == y[2000:]).mean() > 0.95
+    assert Boosted.fit(x[:5], np.zeros(5))(x[:2]).max() < 0.5 and len(Boosted.fit(x[:0], y[:0])(x[:2])) == 2
