@@ -1,7 +1,529 @@
-"""The registered queries of the retrieval, similarity and keyed-table operators."""
+"""The registered queries of the retrieval, similarity and keyed-table operators, all over whole tables."""
 
-QUERIES: dict = {}
+from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
 
-def search_flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from gleanery.functions import codec, text
+from gleanery.functions.hashing import fnv64, hash_key
+from gleanery.operators import geo, keyed, neardup, postings, search, statistics, vectors
+from gleanery.streaming import upsert
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+#: Searches by name: what is evaluated without ranking.
+SEARCHES = {
+    "search_term": "the",
+    "search_and": "the AND of",
+    "search_or": "idiot OR clown",
+    "search_and_not": "the AND NOT of",
+    "search_not_group": "the AND NOT (of OR with)",
+    "search_bare_not": "des OR NOT of",
+    "search_not_not": "the AND NOT (NOT of)",
+    "search_adj": "of ADJ the",
+    "search_near3": "the NEAR/3 with",
+    "search_adj_and": "of ADJ the AND to",
+    "search_adj_chain": "is ADJ of ADJ the",
+    "search_near_and_not": "in NEAR/2 the AND NOT was",
+    "search_precedence": "the AND of ADJ to",
+    "search_near_nested": "((the OR of) NEAR/2 (the OR to)) ADJ and",
+    "search_near_far": "the NEAR/40 worthless",
+    "search_groups": "(le OR die) AND (la OR der) AND NOT of",
+}
+#: Searches by name: what is ranked.
+RANKED = {
+    "bm25_term": "the",
+    "bm25_or": "idiot OR clown OR heention",
+    "bm25_and_not_leak": "the AND NOT (of AND worthless)",
+    "bm25_complex": "(the OR of) AND to ADJ the",
+}
+QUERY_EVERY = 20
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def search_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.Engine(table(spark, sf_dir, "documents")).top("the AND of", 10)
+
+
+# ---- tokens, postings, statistics
+
+
+@query
+def tokenize_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = text.index_tokens(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_terms"))
+
+
+@query
+def doc_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.doc_lengths(table(spark, sf_dir, "documents"))
+
+
+@query
+def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = postings.corpus_stats(table(spark, sf_dir, "documents"))
+    return out.select("n_docs", "total_tokens", F.round("avg_len", 6).alias("avg_len"))
+
+
+@query
+def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.term_stats(table(spark, sf_dir, "documents"))
+
+
+@query
+def term_df_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.term_stats(table(spark, sf_dir, "documents")).orderBy(F.desc("df"), "term").limit(50)
+
+
+@query
+def postings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = postings.postings(table(spark, sf_dir, "documents"))
+    return p.select("term", "doc_id", "tf", F.array_join("positions", " ").alias("positions"))
+
+
+@query
+def postings_by_term(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings_all(spark, sf_dir).filter("term = 'the'")
+
+
+@query
+def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.term_frequency(postings.postings(table(spark, sf_dir, "documents")), "the", 7)
+
+
+@query
+def document_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.lookup(table(spark, sf_dir, "documents"), 7)
+
+
+@query
+def title_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").withColumn("title", F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise(""))
+    return d.select("doc_id", postings.title_or_number(F.col("title"), F.col("doc_id")).alias("title"))
+
+
+# ---- search
+
+
+def _searching(words: str) -> Query:
+    return lambda spark, sf_dir: search.Engine(table(spark, sf_dir, "documents")).evaluate(words)
+
+
+def _ranking(words: str) -> Query:
+    return lambda spark, sf_dir: search.Engine(table(spark, sf_dir, "documents")).search(words).select("doc_id", F.round("score", 6).alias("score"))
+
+
+QUERIES |= {name: _searching(words) for name, words in SEARCHES.items()}
+QUERIES |= {name: _ranking(words) for name, words in RANKED.items()}
+
+
+@query
+def search_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = search.Engine(table(spark, sf_dir, "documents")).positions(SEARCHES["search_near_nested"])
+    return out.select("doc_id", F.array_join("positions", " ").alias("positions"))
+
+
+@query
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_flagship(spark, sf_dir).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query
+def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    engine = search.Engine(d, postings.postings(d), postings.doc_lengths(d))
+    return engine.search(RANKED["bm25_complex"]).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query
+def score_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = search.Engine(table(spark, sf_dir, "documents")).page("the AND of", 5, 20)
+    return out.select("doc_id", F.round("score", 6).alias("score"), F.col("bar").cast("long").alias("bar"))
+
+
+# ---- compression
+
+
+@query
+def rare_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms whose packed list is in the smaller half; ties at the border go by term."""
+    sizes = postings.list_sizes(postings.postings(table(spark, sf_dir, "documents"))).filter(~F.col("term").isin("and", "or", "not", "adj", "near"))
+    sizes = sizes.select("term", "packed_bytes")
+    per = sizes.groupBy("packed_bytes").agg(F.count(F.lit(1)).alias("n"))
+    # one row for each distinct size, which are few
+    upto = Window.orderBy("packed_bytes").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy()
+    steps = per.withColumns({"upto": F.sum("n").over(upto), "half": F.floor(F.sum("n").over(whole) / 2)}).withColumn("open", F.col("half") - (F.col("upto") - F.col("n")))
+    ranked = sizes.join(F.broadcast(steps.filter("open > 0").select("packed_bytes", "open", "n")), "packed_bytes")
+    whole_size = ranked.filter("open >= n").select("term", "packed_bytes")
+    border = ranked.filter("open < n").withColumn("r", F.row_number().over(Window.partitionBy("packed_bytes").orderBy("term"))).filter("r <= open").select("term", "packed_bytes")
+    return whole_size.unionAll(border)
+
+
+@query
+def term_codec_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.list_sizes(postings.postings(table(spark, sf_dir, "documents")))
+
+
+@query
+def compression_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = postings.list_sizes(postings.postings(table(spark, sf_dir, "documents")))
+    out = s.agg(F.count(F.lit(1)).alias("terms"), F.sum("raw_bytes").alias("raw_bytes"), F.sum("packed_bytes").alias("packed_bytes"))
+    return out.withColumn("ratio", F.round(F.col("raw_bytes") / F.col("packed_bytes"), 6))
+
+
+@query
+def doc_delta_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = postings.postings(table(spark, sf_dir, "documents")).groupBy("term").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
+    d = lists.select("term", F.size("ids").alias("df"), codec.deltas(F.col("ids")).alias("d"))
+    return d.select("term", "df", codec.varint_size(F.col("d")).alias("varint_bytes"), codec.bitpack_size(F.col("d")).alias("bitpack_bytes"))
+
+
+@query
+def position_delta_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = postings.postings(table(spark, sf_dir, "documents")).select("term", "doc_id", codec.deltas(F.col("positions")).alias("d"))
+    return p.select("term", "doc_id", codec.varint_size(F.col("d")).alias("varint_bytes"), codec.bitpack_size(F.col("d")).alias("bitpack_bytes"), codec.packed_size(F.col("d")).alias("packed_bytes"))
+
+
+@query
+def skip_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = postings.skips(postings.term_stats(table(spark, sf_dir, "documents")))
+    return out.select("term", "df", F.col("levels").cast("long").alias("levels"), F.array_join("skips", " ").alias("skips"))
+
+
+@query
+def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = postings.postings(table(spark, sf_dir, "documents"))
+    coded = p.select("term", "doc_id", codec.encoded(codec.deltas(F.col("positions"))).alias("b"))
+    back = codec.undelta(codec.decoded(F.col("b")))
+    return coded.select("term", "doc_id", F.array_join(back, " ").alias("positions"))
+
+
+# ---- near-duplicates
+
+
+def _pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+
+
+@query
+def shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = neardup.shingled(table(spark, sf_dir, "documents"))
+    return s.select("doc_id", F.size("shingles").alias("n"), F.sha2(F.array_join(F.array_sort("shingles"), "|"), 256).alias("digest"))
+
+
+@query
+def jaccard_full_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = neardup.full_scan(*_pair(spark, sf_dir), threshold=0.05)
+    return out.select("item_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query
+def jaccard_query_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = neardup.full_scan(*_pair(spark, sf_dir), threshold=0.001)
+    w = Window.partitionBy("item_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
+    return out.withColumn("rank", F.row_number().over(w)).filter("rank <= 3").select("item_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query
+def minhash_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = neardup.minhash(neardup.shingled(table(spark, sf_dir, "benchmark"), name="item_id"), name="item_id")
+    return s.select("item_id", F.array_join("signature", " ").alias("signature"))
+
+
+@query
+def lsh_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = neardup.minhash(neardup.shingled(table(spark, sf_dir, "benchmark"), name="item_id"), name="item_id")
+    return neardup.buckets(s, "item_id")
+
+
+def _lsh_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.buckets(neardup.minhash(neardup.shingled(neardup.check_ids(table(spark, sf_dir, "documents")))))
+
+
+@query
+def lsh_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.stats(_lsh_table(spark, sf_dir))
+
+
+@query
+def lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partners of every document whose id is divisible by 20."""
+    b = _lsh_table(spark, sf_dir)
+    asked = b.filter(F.col("doc_id") % QUERY_EVERY == 0).withColumnRenamed("doc_id", "query_id")
+    return neardup.candidates(asked, b, "query_id")
+
+
+@query
+def lsh_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    asked = d.filter(F.col("doc_id") % QUERY_EVERY == 0).select(F.col("doc_id").alias("query_id"), "text")
+    return neardup.find_duplicates(asked, d, query="query_id").withColumn("score", F.round("score", 6))
+
+
+@query
+def fnv_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", fnv64("c_mktsegment").alias("h"))
+
+
+# ---- vectors
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    base = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return base, base.filter(F.col("vec_id") % QUERY_EVERY == 0)
+
+
+@query
+def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unit = vectors.normalised(F.col("embedding"))
+    out = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", unit.alias("u"))
+    return out.select("vec_id", F.round(F.sqrt(vectors.inner(F.col("embedding"), F.col("embedding"))), 4).alias("norm"), F.round(vectors.inner(F.col("u"), F.col("u")), 6).alias("unit"))
+
+
+@query
+def knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = vectors.knn(*_vectors(spark, sf_dir), k=10)
+    return out.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query
+def knn_self_is_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = vectors.knn(*_vectors(spark, sf_dir), k=1)
+    return out.select("query_id", "vec_id")
+
+
+def _recall(find: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        base, asked = _vectors(spark, sf_dir)
+        return vectors.recall(vectors.knn(base, asked, 100), find(base, asked))
+
+    return run
+
+
+FINDERS: dict[str, tuple[str, str, Callable[[DataFrame, DataFrame], DataFrame]]] = {
+    "recall_signlsh": ("LSH", "bits=2048", lambda b, q: vectors.knn_sign_lsh(b, q, 100, bits=2048)),
+    "recall_ivf": ("IVF", "lists=16,probes=8", lambda b, q: vectors.ivf_pq(b, q, 100, lists=16, probes=8, m=16, rerank=400)),
+    "recall_ivfpq": ("IVF+PQ", "lists=16,probes=12,m=32", lambda b, q: vectors.ivf_pq(b, q, 100, lists=16, probes=12, m=32)),
+    "recall_graph": ("HNSW", "links=32,build=128,width=256", lambda b, q: vectors.knn_graph(b, q, 100, links=32, build=128, width=256)),
+}
+QUERIES |= {name: _recall(find) for name, (_, _, find) in FINDERS.items()}
+
+
+@query
+def best_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of two settings of each family by recall, with the bits or probes standing in for latency."""
+    base, asked = _vectors(spark, sf_dir)
+    truth = vectors.knn(base, asked, 100)
+    tries = [("LSH", f"bits={b}", float(b), vectors.knn_sign_lsh(base, asked, 100, bits=b)) for b in (256, 1024)]
+    tries += [("IVF+PQ", f"probes={p}", float(p), vectors.ivf_pq(base, asked, 100, lists=16, probes=p, m=16)) for p in (4, 8)]
+    rows = [vectors.recall(truth, found).select(F.lit(f).alias("family"), F.lit(c).alias("config"), "recall", F.lit(t).alias("latency")) for f, c, t, found in tries]
+    return vectors.best_by_family(reduce(DataFrame.unionAll, rows))
+
+
+# ---- points
+
+
+def _points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    p = table(spark, sf_dir, "part").select(F.col("p_retailprice").alias("x"), F.col("p_size").cast("double").alias("y"))
+    s = F.col("s_suppkey")
+    q = table(spark, sf_dir, "supplier").select(s.alias("query_id"), (F.lit(900.5) + F.pmod(s * 37, F.lit(99))).alias("x"), (F.lit(1.5) + F.pmod(s * 13, F.lit(48))).alias("y"))
+    return p, q
+
+
+def _found(df: DataFrame) -> DataFrame:
+    return df.select("query_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), F.round("d2", 6).alias("d2"))
+
+
+@query
+def geo_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(geo.nearest_small(*_points(spark, sf_dir)))
+
+
+@query
+def geo_nearest_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(geo.nearest(*_points(spark, sf_dir)))
+
+
+@query
+def geo_insert_then_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, q = _points(spark, sf_dir)
+    return _found(geo.nearest(geo.insert(p, q), q))
+
+
+@query
+def geo_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geo.bounding_box(_points(spark, sf_dir)[0])
+
+
+# ---- keyed tables
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("value"))
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests by customer number, shifted so that some keys are unknown."""
+    return table(spark, sf_dir, "orders").select((F.col("o_custkey") + F.when(F.col("o_orderkey") % 3 == 0, 1_000_000).otherwise(0)).alias("key"), F.col("o_totalprice").alias("value"))
+
+
+@query
+def kv_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed.get(_customers(spark, sf_dir), _orders(spark, sf_dir).select("key").distinct())
+
+
+@query
+def kv_insert_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed.insert(_customers(spark, sf_dir), _orders(spark, sf_dir))[1]
+
+
+@query
+def kv_insert_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed.insert(_customers(spark, sf_dir), _orders(spark, sf_dir))[0]
+
+
+@query
+def kv_update_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed.update(_customers(spark, sf_dir), _orders(spark, sf_dir))[1]
+
+
+@query
+def kv_update_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed.update(_customers(spark, sf_dir), _orders(spark, sf_dir))[0]
+
+
+@query
+def kv_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed.delete(_customers(spark, sf_dir), _orders(spark, sf_dir))[0]
+
+
+@query
+def kv_delete_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed.delete(_customers(spark, sf_dir), _orders(spark, sf_dir))[1]
+
+
+@query
+def kv_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders(spark, sf_dir).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("key").alias("keys"))
+
+
+@query
+def kv_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ops = {"signup": "insert", "purchase": "insert", "click": "update", "error": "delete"}
+    op = F.lit("get")
+    for event, name in ops.items():
+        op = F.when(F.col("event_type") == event, name).otherwise(op)
+    e = table(spark, sf_dir, "events")
+    return keyed.replay(e.select(F.col("event_id").alias("seq"), op.alias("op"), F.col("user_id").alias("key"), "value"))
+
+
+@query
+def kv_directory_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = table(spark, sf_dir, "orders").select(hash_key("o_orderkey").alias("h")).distinct()
+    return keyed.directory_stats(h, 64)
+
+
+@query
+def perfect_hash_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("key"), F.col("n_nationkey").cast("double").alias("value"))
+    return keyed.perfect_slots(n)
+
+
+@query
+def perfect_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("key"), F.col("n_nationkey").cast("double").alias("value"))
+    slots = keyed.perfect_slots(n)
+    asked = n.select("key").unionAll(table(spark, sf_dir, "region").select(F.col("r_name").alias("key")))
+    return keyed.get(slots, asked)
+
+
+# ---- maps over an event log
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("key"), "event_type", "value")
+
+
+@query
+def map_put_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed.put_last(_log(spark, sf_dir).select("seq", "key", F.col("event_type").alias("value")))
+
+
+@query
+def map_merge_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _log(spark, sf_dir).select("seq", "key", F.substring("event_type", 1, 1).alias("value"))
+    return keyed.merge(log, lambda old, new: F.concat(old, new))
+
+
+@query
+def map_merge_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed.merge_sum(_log(spark, sf_dir)).withColumn("value", F.round("value", 4))
+
+
+@query
+def map_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed.map_buckets(_log(spark, sf_dir))
+
+
+@query
+def map_bucket_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed.bucket_histogram(_log(spark, sf_dir), 64)
+
+
+@query
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming aggregate, over the table as a batch."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = upsert.windowed(e)
+    return out.select(F.date_format("start", "yyyy-MM-dd").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+# ---- markup, formatting, statistics
+
+
+@query
+def clean_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", text.clean_markup(F.col("html")).alias("text"))
+
+
+@query
+def article_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").withColumn("ns", F.col("page_id") % 3)
+    p = p.withColumn("body", F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("#REDIRECT "), "url")).otherwise(F.col("html")))
+    return p.filter(text.is_article(F.col("ns"), F.col("body"))).select("page_id")
+
+
+@query
+def format_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("o_orderkey") * F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.format_bytes(n).alias("bytes"), text.format_count(n).alias("count"))
+
+
+@query
+def wrapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = text.wrap(F.col("text"), 60)
+    out = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(lines).alias("line", "text"))
+    return out.select("item_id", F.col("line").cast("long").alias("line"), "text")
+
+
+@query
+def ci95_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    a = statistics.mean_ci95(e, "event_type", "value")
+    b = statistics.mean_ci95(e, "event_type", "value", sample=False).select("event_type", F.col("ci95").alias("ci95_population"))
+    return a.join(b, "event_type").select("event_type", "n", *(F.round(c, 6).alias(c) for c in ("mean", "ci95", "ci95_population")))
