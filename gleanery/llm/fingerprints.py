@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gleanery.llm.common import lower_ascii, missing, split_words
+from gleanery.llm.common import drawn, lower_ascii, missing, split_words
 
 #: Everything that ends a word.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -20,6 +20,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 SCALE = 8
 #: Documents in one neighbour group at about, and groups at most.
 GROUP_ROWS, GROUPS = 512, 65_536
+#: Ids that the bounds of one group rest on.
+SAMPLED = 20
 
 
 def below(scale: int) -> int:
@@ -74,43 +76,41 @@ def encode(hashes: Column) -> Column:
     return F.array_join(F.transform(hashes, lambda x: F.lpad(F.hex(x), 16, "0")), "")
 
 
-def with_next(docs: DataFrame, cells_from: DataFrame | None = None) -> DataFrame:
+def _cell(doc_id: Column, bounds: list[int]) -> Column:
+    """How many of the ascending bounds are at or below an id, 0 for null: first by every side-th bound, then inside."""
+    if not bounds:
+        return F.lit(0)
+    side = max(1, int(len(bounds) ** 0.5))
+    # split of a literal folds to one constant array, however long
+    array = lambda some: F.split(F.lit(",".join(map(str, some))), ",").cast("array<bigint>")
+    upto = F.size(F.filter(array(bounds[::side]), lambda x: x <= doc_id))
+    inside = F.size(F.filter(F.slice(array(bounds), (upto - 1) * side + 1, F.lit(side)), lambda x: x <= doc_id))
+    return F.when(doc_id.isNull() | (upto == 0), F.lit(0)).otherwise((upto - 1) * side + inside)
+
+
+def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, text, next_text): the text of the following row by ascending doc_id, the first row's after the last.
 
     Null ids come first; rows of one id are ordered by text hash. Texts are shuffled once, into groups of consecutive
-    ids; the first row of each group also goes to the group before it. Group bounds are quantiles of the ids, counted
-    over all of them; at most GROUPS longs come to the driver.
+    ids; the first row of each group also goes to the group before it. Where groups end does not change the result:
+    bounds are quantiles of ids drawn by hash, at most GROUPS longs on the driver.
     """
-    ids = (docs if cells_from is None else cells_from).select("doc_id").filter("doc_id is not null")
+    ids = docs.select("doc_id").filter("doc_id is not null")
     total = ids.count()
     n = max(1, min(GROUPS, total // GROUP_ROWS))
     bounds: list[int] = []
     if n > 1:
-        got = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n).alias("q")).first().q
+        # quantiles of about SAMPLED ids for each group: a task's share of these is small, however many tasks there are
+        got = drawn(ids, "doc_id", SAMPLED * n).agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n).alias("q")).first().q
         bounds = sorted(set(got))
-    side = max(1, int(len(bounds) ** 0.5))
-    rows = [bounds[i : i + side] for i in range(0, len(bounds), side)]
-    if rows:
-        heads = F.array(*(F.lit(r[0]) for r in rows))
-        cells = F.array(*(F.array(*(F.lit(x) for x in r)) for r in rows))
-        upto = F.size(F.filter(heads, lambda x: x <= F.col("doc_id")))
-        inside = F.size(F.filter(F.get(cells, upto - 1), lambda x: x <= F.col("doc_id")))
-        cell = F.when(F.col("doc_id").isNull() | (upto == 0), F.lit(0)).otherwise((upto - 1) * side + inside)
-    else:
-        cell = F.lit(0)
+    cell = _cell(F.col("doc_id"), bounds)
     base = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), cell.cast("int").alias("cell"))
     firsts = docs.select("doc_id", cell.cast("int").alias("cell")).groupBy("cell").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id")).alias("m")).orderBy("cell").collect()
     lead_to = {row.cell: firsts[i - 1].cell for i, row in enumerate(firsts)}  # at most GROUPS rows
-    if len(firsts) > 1:
-        least = [(r.cell, r.m.doc_id, lead_to[r.cell]) for r in firsts]
-        starts = docs.sparkSession.createDataFrame(least, "c int, least bigint, before int")
-        base = base.join(F.broadcast(starts), F.col("cell") == F.col("c"))
-        is_first = F.col("doc_id").eqNullSafe(F.col("least"))
-        copy = F.struct(F.col("before").alias("g"), F.lit(1).alias("copy"))
-    else:
-        base = base.withColumns({"least": F.lit(None).cast("bigint")})
-        is_first = F.lit(True)
-        copy = F.struct(F.lit(0).alias("g"), F.lit(1).alias("copy"))
+    starts = docs.sparkSession.createDataFrame([(r.cell, r.m.doc_id, lead_to[r.cell]) for r in firsts], "c int, least bigint, before int")
+    base = base.join(F.broadcast(starts), F.col("cell") == F.col("c"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("least"))
+    copy = F.struct(F.col("before").alias("g"), F.lit(1).alias("copy"))
     own = F.struct(F.col("cell").alias("g"), F.lit(0).alias("copy"))
     spread = base.select("doc_id", "text", "h", F.explode(F.when(is_first, F.array(own, copy)).otherwise(F.array(own))).alias("x"))
     w = Window.partitionBy("x.g").orderBy("x.copy", F.col("doc_id").asc_nulls_first(), "h")

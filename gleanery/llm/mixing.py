@@ -50,10 +50,11 @@ def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = (5, 2, 1),
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take so that their words come as near to budget, from below, as they can.
+    """How many documents of each length to take so that their words come near to budget.
 
     Lengths are distinct and positive. Every length first gives its share, rounded down; shares with the largest
-    remainders are rounded up while more than DP_WORDS words are open; a bounded knapsack settles the rest.
+    remainders are rounded up while more than DP_WORDS words are open; a bounded knapsack settles the rest from below, and one
+    document may go over if that is nearer.
     """
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     total = int((lengths * counts).sum())
@@ -80,7 +81,12 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         n = min(2, int(take[i]), max(0, DP_WORDS - left) // int(lengths[i]))
         take[i] -= n
         left += n * int(lengths[i])
-    return take + _knapsack(lengths, counts - take, min(left, DP_WORDS))
+    take += _knapsack(lengths, counts - take, min(left, DP_WORDS))
+    left = budget - int((take * lengths).sum())
+    over = np.where(take < counts, np.abs(lengths - left), left)
+    if left and over.min() < left:  # one document more comes nearer, from above
+        take[over.argmin()] += 1
+    return take
 
 
 def _knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:

@@ -61,3 +61,12 @@ def test_estimates(spark):
 def test_plan_is_native(spark):
     plan = fingerprints(data.documents(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_cells_count_bounds(spark):
+    import bisect
+
+    for n in (0, 1, 2, 5, 16, 17):
+        bounds = [3 * i - 4 for i in range(n)]
+        df = spark.range(-10, 60).select("id", module._cell(F.col("id"), bounds).alias("c"))
+        assert all(r.c == bisect.bisect_right(bounds, r.id) for r in df.collect())

@@ -21,7 +21,7 @@ def test_stages_take_effect(spark):
     line = "this very line of boilerplate is in many documents"
     rows = [(i, f"{t}\n{line}" if i % 7 == 0 else t, lang, "s" if i % 2 else "t", None) for i, t, lang, _, _ in rows]
     passage = data.prose(2, 25)
-    rows += [(2000 + i, data.prose(3, 80), "en", "s", None) for i in range(5)]  # copies
+    rows += [(2000 + i, data.prose(3, 80), "en", "s", None) for i in range(2)]  # copies, too few for the line dedup
     rows += [(3000, f"{data.prose(4, 20)} {passage} {data.prose(6, 20)}", "en", "t", None), (4000, None, None, None, None)]
     sf = folder(spark, rows, labels, [(1, passage)])
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -36,7 +36,7 @@ def test_stages_take_effect(spark):
     toxic = {i for i, _, t in labels if t}
     assert len(toxic & set(clean)) <= 4 and {r[0] for r in rows} - toxic - set(clean) <= toxic | set(list({r[0] for r in rows} - toxic - set(clean))[:4])
     assert set(lines) == set(clean) and sum(line in (r.text or "") for r in lines.values()) == 1
-    assert set(lines) - set(single) == {2001, 2002, 2003, 2004}
+    assert set(lines) - set(single) == {2001}
     assert set(single) - set(safe) == {3000}
     assert set(mixed) <= set(safe) and all(0 < r.taken <= 2 * r["size"] for r in mixed.values())
     assert Counter(r.source for r in mixed.values()).keys() == {"s", "t"}
