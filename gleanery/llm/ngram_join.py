@@ -198,7 +198,7 @@ def _count(plan: _Plan):
     return run
 
 
-_RECORD = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("d0", pa.int64()), ("d1", pa.int64()), ("u", pa.int64()), ("toks", pa.list_(pa.int64())), ("cells", pa.list_(pa.int32()))])
+_RECORD = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("d0", pa.int64()), ("d1", pa.int64()), ("u", pa.int64()), ("toks", pa.list_(pa.int64())), ("cells", pa.list_(pa.int32())), ("odd", pa.list_(pa.int64()))])
 
 
 def _gather(plan: _Plan):
@@ -225,17 +225,20 @@ def _gather(plan: _Plan):
         digest = np.frombuffer(b"".join(rows["digest"].to_pylist()), np.int64).reshape(-1, 2)
         alone = n - np.diff(at)
         prefix = n - (plan.percent * n + 99) // 100 + 1
-        toks, cells = [], []
+        toks, cells, odd = [], [], []
         for i in range(len(n)):
             s = t[at[i] : at[i + 1]]
             if len(s) and alone[i] < prefix[i]:
                 toks.append(s.astype(np.int64))
-                cells.append(np.bincount((s >> np.uint64(BITS - 6)).astype(np.int64), minlength=CELLS).astype(np.int32))
+                count = np.bincount((s >> np.uint64(BITS - 8)).astype(np.int64), minlength=4 * CELLS)
+                cells.append(count.reshape(CELLS, 4).sum(1).astype(np.int32))
+                odd.append(np.packbits((count & 1).astype(np.uint8)).view(np.int64))
             else:
                 toks.append(None)
                 cells.append(None)
+                odd.append(None)
         uid = (np.int64(chunk) << np.int64(20)) + np.arange(len(n), dtype=np.int64)
-        return pa.table([pa.array(uid), rows["doc_id"], rows["n"], pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(alone), pa.array(toks, pa.list_(pa.int64())), pa.array(cells, pa.list_(pa.int32()))], schema=_RECORD)
+        return pa.table([pa.array(uid), rows["doc_id"], rows["n"], pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(alone), pa.array(toks, pa.list_(pa.int64())), pa.array(cells, pa.list_(pa.int32())), pa.array(odd, pa.list_(pa.int64()))], schema=_RECORD)
 
     return run
 
@@ -251,7 +254,10 @@ class _Join:
         self.scratch, self.reps, self.percent, self.step = scratch, reps, percent, 0
         prefix = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
         shown = F.slice("toks", F.lit(1), (prefix - F.col("u")).cast("int"))
-        entries = reps.select("uid", "n", "u", F.posexplode(shown).alias("i", "token")).select("token", "uid", "n", (F.col("u") + F.col("i")).alias("pos"))
+        # lengths of one class are within the threshold of each other
+        size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int") if percent < 100 else F.col("n").cast("int")
+        bits = [F.get("odd", F.lit(i)).alias(f"o{i}") for i in range(4)]
+        entries = reps.select("uid", "n", "u", size.alias("size"), *bits, F.posexplode(shown).alias("i", "token")).select("token", "uid", "n", "u", "size", (F.col("u") + F.col("i")).alias("pos"), *(f"o{i}" for i in range(4)))
         self.entries = scratch.table(entries, "entries")
 
     def _name(self, what: str) -> str:
@@ -269,11 +275,14 @@ class _Join:
         return self.entries.join(labels, "uid", "left").withColumn("c", F.coalesce("root", "uid")).drop("root")
 
     def hub_pairs(self, labels: DataFrame | None, tested: DataFrame | None) -> DataFrame:
-        """For each set the hub that it shares most prefix shingles with, from another component."""
-        own = self._labelled(labels)
-        one = F.struct("c", "uid", "n", "pos")
-        hubs = own.groupBy("token").agg(F.min(one).alias("h1"), F.max(one).alias("h2")).filter("h1.c < h2.c")
-        met = own.join(hubs, "token").withColumn("h", F.when(F.col("c") == F.col("h1.c"), F.col("h2")).otherwise(F.col("h1")))
+        """For each set the hub of another component that it shares most prefix shingles with.
+
+        A bucket has a hub for each class of lengths: the set that has the shingle earliest, which the positional filter
+        lets meet the most others.
+        """
+        own = self._labelled(labels).select("token", "uid", "n", "pos", "size", "c")
+        hubs = own.groupBy("token", "size").agg(F.min(F.struct("pos", "uid", "n", "c")).alias("h"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").drop("c0", "c1")
+        met = own.join(hubs, ["token", "size"]).filter(F.col("c") != F.col("h.c"))
         met = met.filter(self._possible(F.col("n"), F.col("h.n"), F.col("pos"), F.col("h.pos")))
         pairs = met.select(F.least("uid", "h.uid").alias("a"), F.greatest("uid", "h.uid").alias("b"), "uid").groupBy("uid", "a", "b").agg(F.count(F.lit(1)).alias("shared"))
         if tested is not None:
@@ -282,14 +291,22 @@ class _Join:
         return best.select("m.a", "m.b").distinct()
 
     def all_pairs(self, labels: DataFrame | None, tested: DataFrame | None) -> DataFrame:
-        """Every candidate pair across components; in a bucket, rows of its largest component meet only others."""
+        """Every candidate pair across components; in a bucket, rows of its largest component meet only others.
+
+        Shingles that one side lacks are bounded from below by those that nobody shares and by parities in 256 cells.
+        """
         own = self._labelled(labels)
         per = own.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k"))
         top = per.groupBy("token").agg(F.max(F.struct("k", "c")).alias("m"), F.count(F.lit(1)).alias("cs")).filter("cs > 1").select("token", F.col("m.c").alias("main"))
-        left = own.join(top, "token").filter("c <> main").select("token", F.col("uid").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("c").alias("xc"), "main")
-        fits = (F.col("c") != F.col("xc")) & ((F.col("c") == F.col("main")) | (F.col("x") < F.col("uid")))
-        pairs = left.join(own.withColumnRenamed("token", "t2"), (F.col("token") == F.col("t2")) & fits & self._possible(F.col("n"), F.col("xn"), F.col("pos"), F.col("xp")))
-        pairs = pairs.select(F.least("uid", "x").alias("a"), F.greatest("uid", "x").alias("b")).distinct()
+        open_ = own.join(top, "token")
+        names = ["uid", "n", "u", "pos", "c", *(f"o{i}" for i in range(4))]
+        left = open_.filter("c <> main").select("token", "main", *(F.col(x).alias(f"x_{x}") for x in names))
+        right = open_.select(F.col("token").alias("t2"), *names)
+        fits = (F.col("c") != F.col("x_c")) & ((F.col("c") == F.col("main")) | (F.col("x_uid") < F.col("uid")))
+        differ = F.col("u") + F.col("x_u") + sum((F.bit_count(F.col(f"o{i}").bitwiseXOR(F.col(f"x_o{i}"))) for i in range(4)), F.lit(0))
+        suffix = F.col("n") + F.col("x_n") - differ >= 2 * _least_overlap(F.col("n"), F.col("x_n"), self.percent)
+        pairs = left.join(right, (F.col("token") == F.col("t2")) & fits & self._possible(F.col("n"), F.col("x_n"), F.col("pos"), F.col("x_pos")) & suffix)
+        pairs = pairs.select(F.least("uid", "x_uid").alias("a"), F.greatest("uid", "x_uid").alias("b")).distinct()
         return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
@@ -334,11 +351,11 @@ def _records(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFra
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     sent = rows.mapInArrow(_send(plan), "part long, chunk long, payload binary")
     back = sent.groupBy("part").applyInArrow(_count(plan), "chunk long, rows boolean, payload binary")
-    out = back.groupBy("chunk").applyInArrow(_gather(plan), "uid long, doc_id long, n long, d0 long, d1 long, u long, toks array<long>, cells array<int>")
+    out = back.groupBy("chunk").applyInArrow(_gather(plan), "uid long, doc_id long, n long, d0 long, d1 long, u long, toks array<long>, cells array<int>, odd array<long>")
     return scratch.table(out, "records")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, hub_rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, hub_rounds: int = 4) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id.
 
     Two documents link if 100 * |A and B| >= percent * |A or B| over their distinct word shingles; component_id is the
@@ -354,19 +371,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, hub_ro
     join = _candidates(records, classes, percent, scratch)
     labels = tested = links = None
     if not join.entries.isEmpty():
-        for turn in range(hub_rounds + 1):
-            found = (join.all_pairs if turn == hub_rounds else join.hub_pairs)(labels, tested)
-            pairs = scratch.table(found, f"pairs{turn}")
-            if pairs.isEmpty():
-                if turn < hub_rounds:
-                    continue
-                break
+        turn, last = 0, False
+        while not last:
+            last = turn >= hub_rounds
+            pairs = scratch.table((join.all_pairs if last else join.hub_pairs)(labels, tested), f"pairs{turn}")
             new = scratch.table(join.verified(pairs).select("a", "b"), f"links{turn}")
             tested = pairs if tested is None else tested.unionAll(pairs)
             if new.isEmpty():
+                turn = max(turn + 1, hub_rounds)  # hubs have nothing more to find: on to all pairs
                 continue
             links = new if links is None else links.unionAll(new)
             labels = scratch.table(components(links, scratch, f"stars{turn}"), f"labels{turn}")
+            turn += 1
     if labels is not None:
         named = classes.join(labels, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
         least = named.groupBy("root").agg(F.min("least").alias("component"))
@@ -381,7 +397,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, hub_ro
 
 
 def _candidates(records: DataFrame, classes: DataFrame, percent: int, scratch: Scratch) -> _Join:
-    reps = records.filter("toks is not null").join(classes.select("uid"), "uid", "left_semi").select("uid", "n", "u", "toks", "cells")
+    reps = records.filter("toks is not null").join(classes.select("uid"), "uid", "left_semi").select("uid", "n", "u", "toks", "cells", "odd")
     return _Join(scratch, scratch.table(reps, "reps"), percent)
 
 
