@@ -84,10 +84,11 @@ def is_article(ns: Column, text: Column) -> Column:
 def format_bytes(n: Column, digits_gb: int = 1) -> Column:
     """B, KB, MB or GB by powers of 1024."""
     kb, mb, gb = 1 << 10, 1 << 20, 1 << 30
+    half_even = lambda x, d: F.bround(x, d)  # noqa: E731  quotients by powers of two are exact, so ties are ties
     return (
-        F.when(n >= gb, F.format_string(f"%.{digits_gb}f GB", n / gb))
-        .when(n >= mb, F.format_string("%.1f MB", n / mb))
-        .when(n >= kb, F.format_string("%.1f KB", n / kb))
+        F.when(n >= gb, F.format_string(f"%.{digits_gb}f GB", half_even(n / gb, digits_gb)))
+        .when(n >= mb, F.format_string("%.1f MB", half_even(n / mb, 1)))
+        .when(n >= kb, F.format_string("%.1f KB", half_even(n / kb, 1)))
         .otherwise(F.format_string("%d B", n.cast("long")))
     )
 

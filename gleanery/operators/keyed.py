@@ -15,6 +15,8 @@ from gleanery.functions.hashing import fnv1a_32, next_prime, table_hashes
 
 MAX_DEPTH, MAX_CAPACITY = 20, 1 << 20
 LOAD, FIRST_BUCKETS = 0.75, 16
+#: Sequence numbers that one fold of an operation log covers.
+STRETCH = 4096
 
 
 class DuplicateKey(ValueError):
@@ -63,11 +65,15 @@ def replay(log: DataFrame) -> DataFrame:
     """(key, value, alive, inserts, updates, deletes, rejected) after the log (seq, op, key, value).
 
     insert fails on a live key, update and delete on any other; get changes nothing. The order of a key's operations
-    matters, so each key's log is folded in seq order.
+    matters. Each stretch of STRETCH numbers is folded for both ways that it may begin, and a key's stretches are then
+    chained, so a key with very many operations is no one task's work.
     """
-    rows = log.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", "op", F.col("value").alias("v")))).alias("ops"))
     kind = dict(log.dtypes)["value"]
-    start = F.struct(F.lit(False).alias("alive"), F.lit(None).cast(kind).alias("value"), *(F.lit(0).cast("long").alias(c) for c in ("inserts", "updates", "deletes", "rejected")))
+    counts = ("inserts", "updates", "deletes", "rejected")
+
+    def begin(alive: bool) -> Column:
+        # keep: the value is still the one before the stretch
+        return F.struct(F.lit(alive).alias("alive"), F.lit(True).alias("keep"), F.lit(None).cast(kind).alias("value"), *(F.lit(0).cast("long").alias(c) for c in counts))
 
     def step(s: Column, x: Column) -> Column:
         ins, upd, rem = (x["op"] == o for o in ("insert", "update", "delete"))
@@ -75,6 +81,7 @@ def replay(log: DataFrame) -> DataFrame:
         count = lambda name, on: (s[name] + F.when(on, 1).otherwise(0)).alias(name)
         return F.struct(
             F.when(ok, ~rem).otherwise(s["alive"]).alias("alive"),
+            (s["keep"] & ~ok).alias("keep"),
             F.when(ok & rem, F.lit(None).cast(kind)).when(ok, x["v"]).otherwise(s["value"]).alias("value"),
             count("inserts", ok & ins),
             count("updates", ok & upd),
@@ -82,7 +89,16 @@ def replay(log: DataFrame) -> DataFrame:
             count("rejected", ~ok & (ins | upd | rem)),
         )
 
-    return rows.select("key", F.aggregate("ops", start, step).alias("s")).select("key", "s.value", "s.alive", "s.inserts", "s.updates", "s.deletes", "s.rejected")
+    def chain(s: Column, x: Column) -> Column:
+        got = F.when(s["alive"], x["live"]).otherwise(x["dead"])
+        value = F.when(got["keep"], s["value"]).otherwise(got["value"])
+        return F.struct(got["alive"].alias("alive"), F.lit(True).alias("keep"), value.alias("value"), *((s[c] + got[c]).alias(c) for c in counts))
+
+    stretch = F.floor(F.col("seq") / STRETCH).alias("stretch")
+    ops = log.groupBy("key", stretch).agg(F.array_sort(F.collect_list(F.struct("seq", "op", F.col("value").alias("v")))).alias("ops"))
+    folded = ops.select("key", F.struct("stretch", F.aggregate("ops", begin(False), step).alias("dead"), F.aggregate("ops", begin(True), step).alias("live")).alias("x"))
+    rows = folded.groupBy("key").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    return rows.select("key", F.aggregate("xs", begin(False), chain).alias("s")).select("key", "s.value", "s.alive", *(f"s.{c}" for c in counts))
 
 
 def directory_stats(hashes: DataFrame, capacity: int) -> DataFrame:
@@ -94,14 +110,14 @@ def directory_stats(hashes: DataFrame, capacity: int) -> DataFrame:
     if not 0 < capacity <= MAX_CAPACITY:
         raise ValueError(f"capacity is between 1 and {MAX_CAPACITY}")
     deep = hashes.select(F.pmod("h", F.lit(1 << MAX_DEPTH)).alias("low")).groupBy("low").agg(F.count(F.lit(1)).alias("n"))
-    nodes = deep.select("n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(MAX_DEPTH)), lambda d: F.struct(d.alias("d"), F.pmod("low", F.shiftleft(F.lit(1), d.cast("int")).cast("long")).alias("p")))).alias("x"))
+    nodes = deep.select("n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(MAX_DEPTH)), lambda d: F.struct(d.alias("d"), F.pmod("low", F.pow(F.lit(2), d).cast("long")).alias("p")))).alias("x"))
     nodes = nodes.groupBy(F.col("x.d").alias("d"), F.col("x.p").alias("p")).agg(F.sum("n").alias("n"))
     # every split makes one bucket two; the deepest split is one level above the deepest bucket
     split = nodes.filter(F.col("n") > capacity).agg(F.count(F.lit(1)).alias("splits"), F.max("d").alias("deepest"))
     size = hashes.agg(F.count(F.lit(1)).alias("size"))
     # loads of leaves: nodes that do not split and whose parent does
     parent = nodes.filter(F.col("n") > capacity).select((F.col("d") + 1).alias("d"), F.col("p").alias("pp"))
-    leaf = nodes.filter(F.col("n") <= capacity).withColumn("pp", F.pmod("p", F.shiftleft(F.lit(1), F.greatest(F.col("d") - 1, F.lit(0)).cast("int")).cast("long")))
+    leaf = nodes.filter(F.col("n") <= capacity).withColumn("pp", F.pmod("p", F.pow(F.lit(2), F.greatest(F.col("d") - 1, F.lit(0))).cast("long")))
     load = leaf.join(parent, ["d", "pp"], "left_semi").unionByName(leaf.filter("d = 0")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("max_load"))
     out = size.crossJoin(split).crossJoin(load)  # one row each
     full = F.coalesce("deepest", F.lit(-1)) >= MAX_DEPTH
@@ -130,7 +146,7 @@ def map_buckets(keys: DataFrame) -> DataFrame:
     """One row: size and buckets of a map that doubles from 16 while over 0.75 full."""
     n = keys.select("key").distinct().agg(F.count(F.lit(1)).alias("size"))
     grow = F.ceil(F.log2(F.greatest(F.col("size") / LOAD / FIRST_BUCKETS, F.lit(1.0)))).cast("int")
-    return n.select("size", F.shiftleft(F.lit(FIRST_BUCKETS), grow).cast("long").alias("buckets"))
+    return n.select("size", (F.lit(FIRST_BUCKETS) * F.pow(F.lit(2), grow)).cast("long").alias("buckets"))
 
 
 def bucket_histogram(keys: DataFrame, buckets: int) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gleanery.functions import codec
+from gleanery.functions.plan import computed
 from gleanery.functions.text import index_tokens
 
 
@@ -44,6 +46,11 @@ def term_frequency(posts: DataFrame, term: str, doc_id: int) -> DataFrame:
     return posts.filter((F.col("term") == term) & (F.col("doc_id") == doc_id)).agg(F.coalesce(F.max("tf"), F.lit(0)).alias("tf"))
 
 
+def positions(posts: DataFrame, term: str, doc_id: int) -> DataFrame:
+    """(positions) of a term in a document; no row if it has none."""
+    return posts.filter((F.col("term") == term) & (F.col("doc_id") == doc_id)).select("positions")
+
+
 def lookup(docs: DataFrame, doc_id: int) -> DataFrame:
     """(doc_id, title, text) of one document, empty strings for nulls; no row if there is none."""
     title = F.coalesce(F.col("title"), F.lit("")) if "title" in docs.columns else F.lit("")
@@ -69,18 +76,37 @@ def flat_list(posts: DataFrame) -> DataFrame:
     tfs = F.transform("p", lambda x: x["tf"])
     skip = codec.flat_skips(F.size("p")).cast("array<long>")
     parts = [n, ids, F.array(F.size(where).cast("long")), where, n, tfs, F.array(F.size(skip).cast("long")), skip]
-    return lists.select("term", F.size("p").cast("long").alias("df"), F.concat(*parts).alias("flat"))
+    return computed(lists, ["term"], df=F.size("p").cast("long"), flat=F.concat(*parts))
 
 
 def list_sizes(posts: DataFrame) -> DataFrame:
     """(term, df, n_ints, raw_bytes, varint_bytes, bitpack_bytes, packed_bytes) of the flat posting lists."""
     f = F.col("flat")
-    return flat_list(posts).select(
-        "term",
-        "df",
-        F.size(f).cast("long").alias("n_ints"),
-        (4 * F.size(f)).cast("long").alias("raw_bytes"),
-        codec.varint_size(f).alias("varint_bytes"),
-        codec.bitpack_size(f).alias("bitpack_bytes"),
-        codec.packed_size(f).alias("packed_bytes"),
+    sizes = computed(
+        flat_list(posts),
+        ["term", "df"],
+        n_ints=F.size(f).cast("long"),
+        raw_bytes=(4 * F.size(f)).cast("long"),
+        varint_bytes=codec.varint_size(f),
+        bitpack_bytes=codec.bitpack_size(f),
     )
+    return sizes.withColumn("packed_bytes", F.least("varint_bytes", "bitpack_bytes"))
+
+
+#: Words of the query language, which can be no search terms.
+KEYWORDS = ("and", "or", "not", "adj", "near")
+
+
+def rarest_half(sizes: DataFrame) -> DataFrame:
+    """(term, packed_bytes) of the half of the terms with the smaller packed lists; at the border, by term.
+
+    Only the counts of distinct sizes, which are few, are ordered in one place; terms are ranked within the border size.
+    """
+    sizes = sizes.filter(~F.col("term").isin(*KEYWORDS)).select("term", "packed_bytes")
+    per = sizes.groupBy("packed_bytes").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.orderBy("packed_bytes").rowsBetween(Window.unboundedPreceding, -1)
+    steps = per.withColumns({"before": F.coalesce(F.sum("n").over(upto), F.lit(0)), "half": F.floor(F.sum("n").over(Window.partitionBy()) / 2)})
+    steps = steps.withColumn("open", F.col("half") - F.col("before")).filter("open > 0").select("packed_bytes", "open", "n")
+    ranked = sizes.join(steps, "packed_bytes")
+    border = ranked.filter("open < n").withColumn("r", F.row_number().over(Window.partitionBy("packed_bytes").orderBy("term"))).filter("r <= open")
+    return ranked.filter("open >= n").select("term", "packed_bytes").unionAll(border.select("term", "packed_bytes"))

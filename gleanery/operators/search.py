@@ -8,12 +8,12 @@ join: from documents that row needs no shuffle at all, from postings one groupin
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.functions.plan import computed
 from gleanery.functions.text import index_tokens
 
 K1, B = 1.5, 0.75
@@ -146,18 +146,33 @@ def _near_positions(a: Column, b: Column, k: int) -> Column:
 
 
 class Compiled:
-    """A query as columns over p0, p1, ...: the positions of each term, null where a document lacks it."""
+    """A query over rows with p0, p1, ...: the positions of each term, null where a document lacks it.
 
-    def __init__(self, node: Node, count: Callable[[Column], int] | None = None):
+    Positions and matches of composed nodes become columns of `rows` as they are needed, each computed once.
+    """
+
+    def __init__(self, node: Node, rows: DataFrame):
         self.terms = evaluated_terms(node)
-        self.count = count
-        self.match = self._match(node)
+        self.rows = rows
+        self._matches: dict[Node, Column] = {}
+        self._places: dict[Node, Column] = {}
+        self.match = F.coalesce(self._match(node), F.lit(False))
         self.node = node
 
+    def _bind(self, column: Column) -> Column:
+        name = f"q{len(self.rows.columns)}"
+        self.rows = computed(self.rows, self.rows.columns, **{name: column})
+        return F.col(name)
+
     def _p(self, word: str) -> Column:
         return F.col(f"p{self.terms.index(word)}")
 
     def _match(self, node: Node) -> Column:
+        if node not in self._matches:
+            self._matches[node] = self._find_match(node)
+        return self._matches[node]
+
+    def _find_match(self, node: Node) -> Column:
         if isinstance(node, Term):
             return self._p(node.word).isNotNull()
         if isinstance(node, Not):
@@ -169,24 +184,29 @@ class Compiled:
             return left | right
         if node.kind == "and":
             return left & right
-        a, b = self._positions(node.left), self._positions(node.right)
+        a, b = self.positions(node.left), self.positions(node.right)
         if node.kind == "adj":
             meets = F.arrays_overlap(F.transform(a, lambda x: x + 1), b)
         elif node.k <= SMALL_NEAR:
             meets = F.arrays_overlap(F.flatten(F.transform(a, lambda x: F.sequence(x - node.k, x + node.k))), b)
         else:
             meets = F.exists(a, lambda x: F.exists(b, lambda y: F.abs(x - y) <= node.k))
-        return left & right & F.coalesce(meets, F.lit(False))
+        return self._bind(left & right & F.coalesce(meets, F.lit(False)))
 
-    def _positions(self, node: Node) -> Column:
+    def positions(self, node: Node) -> Column:
         """Sorted distinct positions that an enclosing operator sees; only read where the node matches."""
         if isinstance(node, Term):
             return self._p(node.word)
         if isinstance(node, Not):
             return F.lit(None).cast("array<int>")
         if node.kind == "and" and isinstance(node.right, Not):
-            return self._positions(node.left)
-        a, b = self._positions(node.left), self._positions(node.right)
+            return self.positions(node.left)
+        if node not in self._places:
+            self._places[node] = self._bind(self._find_positions(node))
+        return self._places[node]
+
+    def _find_positions(self, node: Op) -> Column:
+        a, b = self.positions(node.left), self.positions(node.right)
         if node.kind == "and":
             return _sorted_union(a, b)
         if node.kind == "or":
@@ -201,20 +221,21 @@ class Compiled:
 
     def _right_leads(self, node: Op) -> bool:
         """NEAR walks the operand with fewer documents; which one it is shows only where both share a position."""
-        if self.count is None or not set(evaluated_terms(node.left)) & set(evaluated_terms(node.right)):
+        if not set(evaluated_terms(node.left)) & set(evaluated_terms(node.right)):
             return False
-        return self.count(self._match(node.right)) < self.count(self._match(node.left))
+        counts = [self.rows.filter(F.coalesce(m, F.lit(False))).count() for m in (self._match(node.left), self._match(node.right))]
+        return counts[1] < counts[0]
 
 
 def _term_row(docs: DataFrame, terms: list[str]) -> DataFrame:
     """(doc_id, doc_len, p0, p1, ...) from documents, without a shuffle."""
-    rows = docs.select("doc_id", index_tokens(F.col("text")).alias("t"))
+    rows = computed(docs, ["doc_id"], t=index_tokens(F.col("text")))
 
     def at(word: str) -> Column:
         where = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: F.get("t", i) == word)
         return F.when(F.array_contains("t", word), where)
 
-    return rows.select("doc_id", F.size("t").cast("long").alias("doc_len"), *(at(w).alias(f"p{i}") for i, w in enumerate(terms)))
+    return computed(rows, ["doc_id"], doc_len=F.size("t").cast("long"), **{f"p{i}": at(w) for i, w in enumerate(terms)})
 
 
 def _posting_row(posts: DataFrame, lengths: DataFrame, terms: list[str]) -> DataFrame:
@@ -237,20 +258,20 @@ class Engine:
             return _posting_row(self.posts, self.lengths, terms)
         return _term_row(self.docs, terms)
 
-    def _compiled(self, query: str) -> tuple[Compiled, DataFrame]:
+    def _compiled(self, query: str) -> Compiled:
         node = parse(query)
-        rows = self._rows(evaluated_terms(node))
-        return Compiled(node, lambda match: rows.filter(match).count()), rows
+        return Compiled(node, self._rows(evaluated_terms(node)))
 
     def evaluate(self, query: str) -> DataFrame:
         """(doc_id) of the matching documents, unranked."""
-        q, rows = self._compiled(query)
-        return rows.filter(F.coalesce(q.match, F.lit(False))).select("doc_id")
+        q = self._compiled(query)
+        return q.rows.filter(q.match).select("doc_id")
 
     def positions(self, query: str) -> DataFrame:
         """(doc_id, positions) of the matching documents."""
-        q, rows = self._compiled(query)
-        return rows.filter(F.coalesce(q.match, F.lit(False))).select("doc_id", q._positions(q.node).alias("positions"))
+        q = self._compiled(query)
+        found = q.positions(q.node)  # may add columns to the rows
+        return q.rows.filter(q.match).select("doc_id", found.alias("positions"))
 
     def _stats(self, terms: list[str]) -> DataFrame:
         """One row: n, avg and the document frequency of each term, over the whole corpus."""
@@ -258,7 +279,7 @@ class Engine:
             n = self.lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avg"))
             df = self.posts.filter(F.col("term").isin(terms)).agg(*(F.count(F.when(F.col("term") == w, 1)).alias(f"df{i}") for i, w in enumerate(terms)))
             return n.crossJoin(df)  # one row by one row
-        rows = self.docs.select(index_tokens(F.col("text")).alias("t"))
+        rows = computed(self.docs, [], t=index_tokens(F.col("text")))
         return rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("avg"), *(F.count(F.when(F.array_contains("t", w), 1)).alias(f"df{i}") for i, w in enumerate(terms)))
 
     def search(self, query: str) -> DataFrame:
@@ -266,8 +287,8 @@ class Engine:
 
         The score sums over all evaluated terms, also those that only the right side of an AND NOT has.
         """
-        q, rows = self._compiled(query)
-        hits = rows.filter(F.coalesce(q.match, F.lit(False)))
+        q = self._compiled(query)
+        hits = q.rows.filter(q.match)
         if not q.terms:
             return hits.select("doc_id", F.lit(0.0).alias("score"))
         hits = hits.crossJoin(F.broadcast(self._stats(q.terms)))  # one row

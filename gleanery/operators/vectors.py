@@ -95,7 +95,7 @@ def knn_sign_lsh(base: DataFrame, queries: DataFrame, k: int = 100, bits: int =
         a, b = (np.packbits(x @ planes > 0, axis=1) for x in (m, v))
         out = np.empty((len(a), len(b)))
         for i in range(len(a)):
-            out[i] = -np.bitwise_count(a[i] ^ b).sum(1)
+            out[i] = -np.bitwise_count(a[i] ^ b).sum(1).astype(np.float64)  # counts are unsigned
         return out
 
     return _scan(base, queries, k, score)

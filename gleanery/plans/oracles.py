@@ -73,7 +73,7 @@ def _with(tree: str | tuple) -> tuple[str, str]:
     return f"WITH {TOK}, {', '.join(s.parts)}", top
 
 
-NESTED = ("adj", ("near", ("or", "the", "of"), ("or", "the", "to"), 2, "shared"), "and")
+NESTED = ("adj", ("near", ("or", "the", "of"), ("or", "the", "to"), 2, "shared"), "in")
 TREES: dict[str, str | tuple] = {
     "search_term": "the",
     "search_and": ("and", "the", "of"),
@@ -98,6 +98,11 @@ for _name, _tree in TREES.items():
 _head, _top = _with(NESTED)
 ORACLES["search_positions"] = f"{_head} SELECT doc_id, string_agg(pos::VARCHAR, ' ' ORDER BY pos) AS positions FROM {_top} GROUP BY doc_id"
 
+for _name, _tree in {"set_intersect": ("and", "of", "the"), "set_union": ("or", "of", "the"), "set_difference": ("minus", "of", "the"), "set_adjacent": ("adj", "of", "the"), "set_near": ("near", "of", "the", 3, "shared")}.items():
+    _head, _top = _with(_tree)
+    ORACLES[_name] = f"{_head} SELECT doc_id, string_agg(pos::VARCHAR, ' ' ORDER BY pos) AS positions FROM {_top} GROUP BY doc_id"
+ORACLES["set_advance"] = f"WITH {TOK} SELECT min(doc_id) AS doc_id FROM post WHERE term = 'the' AND doc_id >= 100 HAVING count(*) > 0"
+
 
 def _bm25(tree: str | tuple, terms: list[str], tail: str = "") -> str:
     head, top = _with(tree)

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from gleanery.functions import codec, text
 from gleanery.functions.hashing import fnv64, hash_key
-from gleanery.operators import geo, keyed, neardup, postings, search, statistics, vectors
+from gleanery.operators import geo, keyed, neardup, postings, search, sets, statistics, vectors
 from gleanery.streaming import upsert
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,7 +32,7 @@ SEARCHES = {
     "search_adj_chain": "is ADJ of ADJ the",
     "search_near_and_not": "in NEAR/2 the AND NOT was",
     "search_precedence": "the AND of ADJ to",
-    "search_near_nested": "((the OR of) NEAR/2 (the OR to)) ADJ and",
+    "search_near_nested": "((the OR of) NEAR/2 (the OR to)) ADJ in",
     "search_near_far": "the NEAR/40 worthless",
     "search_groups": "(le OR die) AND (la OR der) AND NOT of",
 }
@@ -155,23 +155,39 @@ def score_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.round("score", 6).alias("score"), F.col("bar").cast("long").alias("bar"))
 
 
+# ---- posting lists
+
+
+def _lists(spark: SparkSession, sf_dir: str, *words: str) -> list[DataFrame]:
+    p = postings.postings(table(spark, sf_dir, "documents"))
+    return [p.filter(F.col("term") == w).select("doc_id", "positions") for w in words]
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", F.array_join("positions", " ").alias("positions"))
+
+
+SETS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
+    "set_intersect": sets.intersect,
+    "set_union": sets.union,
+    "set_difference": sets.difference,
+    "set_adjacent": sets.adjacent,
+    "set_near": lambda a, b: sets.near(a, b, 3),
+}
+QUERIES |= {name: (lambda spark, sf_dir, f=f: _shown(f(*_lists(spark, sf_dir, "of", "the")))) for name, f in SETS.items()}
+
+
+@query
+def set_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sets.advance(_lists(spark, sf_dir, "the")[0], 100).select("doc_id")
+
+
 # ---- compression
 
 
 @query
 def rare_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms whose packed list is in the smaller half; ties at the border go by term."""
-    sizes = postings.list_sizes(postings.postings(table(spark, sf_dir, "documents"))).filter(~F.col("term").isin("and", "or", "not", "adj", "near"))
-    sizes = sizes.select("term", "packed_bytes")
-    per = sizes.groupBy("packed_bytes").agg(F.count(F.lit(1)).alias("n"))
-    # one row for each distinct size, which are few
-    upto = Window.orderBy("packed_bytes").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy()
-    steps = per.withColumns({"upto": F.sum("n").over(upto), "half": F.floor(F.sum("n").over(whole) / 2)}).withColumn("open", F.col("half") - (F.col("upto") - F.col("n")))
-    ranked = sizes.join(F.broadcast(steps.filter("open > 0").select("packed_bytes", "open", "n")), "packed_bytes")
-    whole_size = ranked.filter("open >= n").select("term", "packed_bytes")
-    border = ranked.filter("open < n").withColumn("r", F.row_number().over(Window.partitionBy("packed_bytes").orderBy("term"))).filter("r <= open").select("term", "packed_bytes")
-    return whole_size.unionAll(border)
+    return postings.rarest_half(postings.list_sizes(postings.postings(table(spark, sf_dir, "documents"))))
 
 
 @query

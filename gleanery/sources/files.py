@@ -17,9 +17,9 @@ class BadInput(ValueError):
 
 def read_wiki_xml(spark: SparkSession, path: str, tag: str = "page") -> DataFrame:
     """(id, title, ns, text) of the pages of XML files, bz2 or plain; pages that don't parse are left out."""
-    schema = "title string, ns int, id string, revision struct<text: string>, broken string"
-    reader = spark.read.schema(schema).option("rowTag", tag).option("columnNameOfCorruptRecord", "broken")
-    return reader.xml(path).filter("broken is null").select("id", "title", "ns", F.coalesce("revision.text", F.lit("")).alias("text"))
+    schema = "title string, ns int, id string, revision struct<text: string>"
+    reader = spark.read.schema(schema).option("rowTag", tag).option("mode", "DROPMALFORMED")
+    return reader.xml(path).select("id", "title", "ns", F.coalesce("revision.text", F.lit("")).alias("text"))
 
 
 def articles(pages: DataFrame) -> DataFrame:
@@ -67,10 +67,12 @@ def read_points_lenient(spark: SparkSession, path: str) -> DataFrame:
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     """(key, value) from files with a header line, split at the last comma, so keys may have commas or be empty.
 
-    A line that doesn't fit is an error when it is read; so is a file without a header.
+    A line that doesn't fit is an error when it is read; so is an input that is empty. A file is read as one row.
     """
-    lines = spark.read.option("wholetext", "true").text(path).select(F.split("value", "\r?\n").alias("l"), F.col("value").alias("all"))
-    body = F.when(F.col("all") == "", F.raise_error(F.lit("an empty file has no header")).cast("array<string>")).otherwise(F.slice("l", F.lit(2), F.size("l")))
+    lines = spark.read.text(path, wholetext=True).select(F.split("value", "\r?\n").alias("l"))
+    if lines.isEmpty():
+        raise BadInput("an empty file has no header")
+    body = F.slice("l", F.lit(2), F.size("l"))
     rows = lines.select(F.posexplode(body).alias("i", "line"), F.size("l").alias("n"))
     rows = rows.filter("not (line = '' and i = n - 2)")  # what follows the last line end
     key, value = last_comma(F.col("line"))
@@ -80,7 +82,7 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_vectors(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
-    """(vec_id, embedding) from a header `n d` and lines that end in d numbers; shorter lines are left out."""
+    """(vec_id, embedding) from a header `n d` and lines that end in d numbers; other lines are left out."""
     lines = spark.read.text(path)
     head = lines.first()
     if head is None or len(parts := head.value.split()) != 2 or not all(p.isdigit() for p in parts):
@@ -88,7 +90,8 @@ def read_vectors(spark: SparkSession, path: str, most: int | None = None) -> Dat
     d = int(parts[1])
     words = F.split(F.trim("value"), r"\s+")
     rows = lines.filter(F.col("value") != head.value).select(words.alias("w")).filter(F.size("w") >= d)
-    vectors = rows.select(F.slice("w", -d, d).cast("array<float>").alias("embedding")).withColumn("vec_id", F.monotonically_increasing_id())
+    numbers = F.transform(F.slice("w", -d, d), lambda x: x.try_cast("float"))
+    vectors = rows.select(numbers.alias("embedding")).filter(F.forall("embedding", lambda x: x.isNotNull())).withColumn("vec_id", F.monotonically_increasing_id())
     out = vectors.select("vec_id", "embedding")
     return out if most is None else out.orderBy("vec_id").limit(most)
 
@@ -107,7 +110,7 @@ def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Da
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, bytes, modified, lines, preselected) of text files; the first half by name is preselected."""
+    """(path, bytes, modified, lines, preselected) of text files that are not empty; the first half by name is preselected."""
     files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
     lines = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("lines"))
     out = files.join(lines, "path", "left").withColumn("lines", F.coalesce("lines", F.lit(0)))

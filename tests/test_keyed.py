@@ -36,7 +36,7 @@ def test_strict_operations(spark):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_replay_equals_a_dict(spark, seed):
     rng = random.Random(seed)
-    log = [(i, rng.choice(["insert", "update", "delete", "get"]), rng.randrange(60), rng.randrange(1000)) for i in range(4000)]
+    log = [(i * 7, rng.choice(["insert", "update", "delete", "get"]), rng.randrange(60), rng.randrange(1000)) for i in range(4000)]
     mirror, counts = {}, {}
     for _, op, k, v in log:
         c = counts.setdefault(k, {"insert": 0, "update": 0, "delete": 0, "bad": 0})

@@ -66,10 +66,10 @@ def test_vectors(spark, tmp_path):
 
 
 def test_listing(spark, tmp_path):
-    for i in range(4):
+    for i in range(1, 5):
         (tmp_path / f"f{i}.jsonl").write_text("x\n" * i)
     rows = files.list_files(spark, str(tmp_path / "*.jsonl")).orderBy("path").collect()
-    assert [(r.lines, r.bytes, r.preselected) for r in rows] == [(0, 0, True), (1, 2, True), (2, 4, False), (3, 6, False)]
+    assert [(r.lines, r.bytes, r.preselected) for r in rows] == [(1, 2, True), (2, 4, True), (3, 6, False), (4, 8, False)]
     assert files.newest_first(files.list_files(spark, str(tmp_path / "*.jsonl"))).count() == 4
 
 
