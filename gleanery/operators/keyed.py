@@ -38,10 +38,12 @@ def insert(table: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Of several requests for one key the smallest value's is first; the others find that the key exists.
     """
-    asked = new.groupBy("key").agg(F.array_sort(F.collect_list("value")).alias("values"))
-    met = asked.join(table.select("key", F.lit(True).alias("had")), "key", "left")
-    each = met.select("key", "had", F.posexplode("values").alias("i", "value"))
-    status = F.when((F.col("i") == 0) & F.col("had").isNull(), "inserted").otherwise("exists")
+    per = new.groupBy("key", "value").agg(F.count(F.lit(1)).alias("n"))  # equal requests are added up before they meet
+    first = per.groupBy(F.col("key").alias("k")).agg(F.min("value").alias("first"))
+    met = per.join(first, F.col("key").eqNullSafe(F.col("k"))).join(table.select("key", F.lit(True).alias("had")), "key", "left")
+    each = met.select("key", "value", "had", "first", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("i"))
+    wins = (F.col("i") == 1) & F.col("value").eqNullSafe(F.col("first")) & F.col("had").isNull()
+    status = F.when(wins, "inserted").otherwise("exists")
     report = each.select("key", "value", status.alias("status"))
     return table.select("key", "value").unionAll(report.filter("status = 'inserted'").select("key", "value")), report
 
