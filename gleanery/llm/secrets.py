@@ -5,8 +5,8 @@ cover, its alphabet, the path it lies under and the words beside it. It is train
 bounded table (text, path, start, end, label) that callers may bring; without one, findings are made from seeded templates of
 real formats and of what is mistaken for them (digests, ids, long words, placeholders, addresses).
 
-The dictionary is the DICTIONARY most frequent words of about SAMPLE documents, chosen by hash of their id; it and
-the transition table come to the driver. The scan is one pass over whole texts with no shuffle.
+The dictionary is the DICTIONARY most frequent words of all documents, counted within a task first; it and the
+transition table come to the driver. The scan is a second pass over whole texts, with no shuffle.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import re
 import string
+import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -24,10 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import drawn, missing
+from gleanery.llm.common import missing
 from gleanery.llm.trees import Forest
 
-SAMPLE, DICTIONARY, FINDINGS = 5_000, 30_000, 50_000
+DICTIONARY, FINDINGS, FILLER = 30_000, 50_000, 2_000
+#: Words a task holds before it hands their counts on.
+HELD = 200_000
+#: Partitions that the most frequent words are taken from.
+MERGED = 16
 #: Formats of well-known credentials, then assignments to telling names, then any long token. Only formats
 #: of one fixed length have an upper one; open quantifiers give nothing back, so matching stays linear.
 KNOWN = (
@@ -48,6 +53,7 @@ HARMLESS = ("commit", "sha", "md5", "hash", "checksum", "digest", "uuid", "guid"
 LETTERS = string.ascii_lowercase
 N_FEATURES = 22
 WORD = re.compile(r"[^\W\d_]+")
+COUNTED = re.compile(r"(?<![^\W\d_])[^\W\d_]{3,24}+(?![^\W\d_])")
 PIECE = re.compile(r"[A-Za-z]{3,}")
 CLASS = str.maketrans({**dict.fromkeys(string.ascii_lowercase, "a"), **dict.fromkeys(string.ascii_uppercase, "A"), **dict.fromkeys(string.digits, "0")})
 
@@ -206,21 +212,33 @@ def made_findings(n: int = 4_000, seed: int = 23, filler: list[str] | None = Non
     return out
 
 
-def dictionary(docs: DataFrame, sample: int = SAMPLE, most: int = DICTIONARY) -> dict[str, int]:
-    """The most frequent lower-cased words of three letters or more in about `sample` documents."""
+def dictionary(docs: DataFrame, most: int = DICTIONARY) -> dict[str, int]:
+    """The most frequent lower-cased words of 3 to 24 letters in all documents."""
+
+    def told(found: Counter) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                found.update(w for w in WORD.findall(text.lower()) if 3 <= len(w) <= 24)
-        yield pa.record_batch([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
-
-    some = drawn(docs, "doc_id", sample).select("text").filter("text is not null").mapInArrow(count, "word string, n long")
-    top = some.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 2").orderBy(F.desc("n"), "word").limit(most)
+                found.update(COUNTED.findall(text.lower()))
+                if len(found) > HELD:
+                    yield told(found)
+                    found.clear()
+        yield told(found)
+
+    each = docs.select("text").filter("text is not null").mapInArrow(count, "word string, n long")
+    top = each.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 2")
+    top = top.repartition(MERGED).orderBy(F.desc("n"), "word").limit(most)  # each partition sends up to `most` rows to the driver
     return {r.word: r.n for r in top.collect()}
 
 
+def filler(counts: dict[str, int], most: int = FILLER) -> list[str]:
+    """Words of the dictionary for made findings, drawn by hash."""
+    return sorted(counts, key=lambda w: (zlib.crc32(w.encode()), w))[:most]
+
+
 def train(words: Words, findings: list[tuple[str, str, int, int, int]]) -> Forest:
     """Fits on at most FINDINGS labelled findings; a span's kind is that of the candidate at its place, if there is one."""
     x, y = [], []
@@ -242,7 +260,7 @@ def scan(docs: DataFrame, findings: list[tuple[str, str, int, int, int]] | None
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", place.alias("path"))
     counts = dictionary(rows)
     words = Words(counts)
-    forest = train(words, made_findings(filler=sorted(counts)[:2000] or None) if findings is None else findings)
+    forest = train(words, made_findings(filler=filler(counts) or None) if findings is None else findings)
     shared = docs.sparkSession.sparkContext.broadcast((words, forest))
     names = [n for n, _ in PATTERNS]
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("score", pa.float64())])

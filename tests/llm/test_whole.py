@@ -27,3 +27,20 @@ def test_long_candidates_are_whole():
 def test_coverage_counts_the_whole_candidate():
     words = secrets.Words({"cedar": 5})
     assert words.covered("cedar" * 60 + "7" * 300) == 0.5
+
+
+def test_dictionary_counts_all_documents(spark):
+    rows = [(i, "everywhere " + "seldom " * (i % 1000 == 7) + "a" * 25, "en", "s", None) for i in range(7000)]
+    assert secrets.dictionary(data.table(spark, [*rows, (None, None, None, None, None)])) == {"everywhere": 7000, "seldom": 7}
+
+
+def test_dictionary_is_whole_when_handed_on_early(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "HELD", 2)
+    rows = [(i, "Oak pine ELM oak, fir_yew", "en", "s", None) for i in range(9)]
+    assert secrets.dictionary(data.table(spark, rows)) == {"oak": 18, "pine": 9, "elm": 9, "fir": 9, "yew": 9}
+
+
+def test_filler_is_no_head_of_the_alphabet():
+    words = [a + b + c for a in string.ascii_lowercase for b in string.ascii_lowercase for c in "aeiou"]
+    drawn = secrets.filler(dict.fromkeys(words, 3), 500)
+    assert len(set(drawn)) == 500 and len({w[0] for w in drawn}) == 26
