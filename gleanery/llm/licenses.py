@@ -2,8 +2,8 @@
 
 Candidate blocks are runs of lines around license words. A block is compressed once alone and once with each template
 as zstandard raw dictionary; a template that describes the block makes it much smaller. Templates are ranked by that
-reduction, and the best are confirmed, or not, by an exact comparison of wordings: the aligned words that a license
-lets vary may differ, and the share of equal words must reach `least`.
+reduction. Confirmed are only whole wordings, whole sentences of the text, that equal a template's line word by word but
+for the slots it declares; all else is reported unconfirmed, with the words that differ from the best template.
 
 One pass over whole texts, no shuffle. Templates are a parameter and fixed in number.
 """
@@ -58,6 +58,13 @@ WORD = re.compile(r"[0-9a-z]+(?:[.-][0-9a-z]+)*")
 BLOCK = 4_000
 #: Templates that the comparison of wordings looks at.
 TRIED = 3
+SLOT = re.compile(r"\{\{(\w+)\}\}")
+MARK = re.compile(r"\d{1,2}|[a-z]|i{1,3}")
+#: Words of a name in a slot at most, and words that a wording is looked up by.
+NAME, FIRST = 12, 3
+TOKEN = re.compile(r"[0-9A-Za-z]+(?:[.-][0-9A-Za-z]+)*")
+#: Where a sentence ends: at its mark, at a blank line, or where the next line does not go on in small letters.
+BREAK = re.compile(r"[.!?:;](?=\s|$)|\n(?=[^\w\n]*(?:[A-Z0-9]|\n|$))")
 
 
 def blocks(text: str) -> Iterator[tuple[int, int]]:
@@ -99,6 +106,42 @@ def sentences(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
         last = e
 
 
+class Wording:
+    """One whole wording: words that must be equal, with slots between them that a license lets vary."""
+
+    def __init__(self, text: str):
+        parts = SLOT.split(text)
+        self.fixed = [WORD.findall(t.lower()) for t in parts[::2]]
+        self.marks = [name == "mark" for name in parts[1::2]]
+        self.words = [w for p in self.fixed for w in p]
+
+    def end(self, words: list[str], at: int) -> tuple[int, list[str]] | None:
+        """Where the wording that starts at a word ends, and the words in its slots; None if any other word differs."""
+        filled: list[str] = []
+        for k, part in enumerate(self.fixed):
+            if k:
+                for n in range(2 if self.marks[k - 1] else NAME + 1):
+                    if words[at + n : at + n + len(part)] == part and (not self.marks[k - 1] or all(MARK.fullmatch(w) for w in words[at : at + n])):
+                        break
+                else:
+                    return None
+                filled += words[at : at + n]
+                at += n
+            elif words[at : at + len(part)] != part:
+                return None
+            at += len(part)
+        return at, filled
+
+
+def _apart(text: str, start: int, end: int) -> bool:
+    """Whether a span is whole sentences, with no word of its first or last sentence outside it."""
+    before, after = text[max(0, start - 400) : start].rstrip(" \t*#/;-<>\"'(["), text[end : end + 400]
+    if before and not (before[-1] in ".!?:;" or before[-1] == "\n" and (not text[start].islower() or before[:-1].rstrip(" \t*#/;-")[-1:] in "\n.!?:;")):
+        return False
+    rest = re.match(r"[^\w\n.!?:;]*", after)[0]
+    return len(rest) == len(after) or BREAK.match(after, len(rest)) is not None
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str]):
         import zstandard
@@ -107,11 +150,16 @@ class Scanner:
         self.plain = zstandard.ZstdCompressor(level=3)
         self.given = []
         for t in templates.values():
-            d = zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            plain = "\n".join(" ".join(WORD.findall(line)) for line in SLOT.sub(" ", t.lower()).split("\n"))
+            d = zstandard.ZstdCompressionDict(plain.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=3)
             self.given.append(zstandard.ZstdCompressor(level=3, dict_data=d))
-        self.words = [WORD.findall(t.lower()) for t in templates.values()]
-        self.lines = [[w for line in t.split("\n") if (w := WORD.findall(line.lower()))] for t in templates.values()]
+        self.lines = [[w for line in t.split("\n") if (w := Wording(line)).fixed[0]] for t in templates.values()]
+        self.matchers: dict[tuple[int, int], SequenceMatcher] = {}
+        self.first: dict[tuple[str, ...], list[tuple[int, Wording]]] = {}
+        for i, wording in sorted(((i, w) for i, ws in enumerate(self.lines) for w in ws), key=lambda x: -len(x[1].words)):
+            self.first.setdefault(tuple(wording.fixed[0][:FIRST]), []).append((i, wording))
+        self.short = sorted({len(k) for k in self.first}, reverse=True)
         self.memo: dict[str, tuple] = {}
 
     def __call__(self, block: str) -> tuple[str | None, float, float, list[str]]:
@@ -124,6 +172,28 @@ class Scanner:
             self.memo[key] = out
         return out
 
+    def exact(self, text: str) -> Iterator[tuple[int, int, str, float, list[str]]]:
+        """Whole wordings in a text, from left to right: start, end, name, size reduction, words in slots."""
+        spots = [m.span() for m in TOKEN.finditer(text)]
+        words = [text[a:b].lower() for a, b in spots]
+        at = 0
+        while at < len(words):
+            found = None
+            for n in self.short:
+                for i, wording in self.first.get(tuple(words[at : at + n]), ()):
+                    got = wording.end(words, at)
+                    if got and _apart(text, spots[at][0], spots[got[0] - 1][1]) and (found is None or got[0] > found[0]):
+                        found = (*got, i)
+            if found is None:
+                at += 1
+                continue
+            upto, filled, i = found
+            raw = " ".join(words[at:upto]).encode()
+            alone = len(self.plain.compress(raw))
+            end = spots[upto - 1][1]
+            yield spots[at][0], end + (text[end : end + 1] in (".", "!")), self.names[i], (alone - len(self.given[i].compress(raw))) / alone, filled
+            at = upto
+
     def _judge(self, key: str) -> tuple[str | None, float, float, list[str]]:
         raw, words = key.encode(), key.split()
         if not words:
@@ -133,36 +203,40 @@ class Scanner:
         rank = sorted(range(len(saved)), key=lambda i: (-saved[i], self.names[i]))[:TRIED]
         best: tuple[float, float, int, list[str]] = (-1.0, 0.0, -1, [])
         for i in rank:
-            for line in [*self.lines[i], self.words[i]]:
-                share, differ = self._compare(words, line)
+            for j, line in enumerate(self.lines[i]):
+                if min(len(words), len(line.words)) / max(len(words), len(line.words)) < best[0]:
+                    continue  # cannot be nearer
+                share, differ = self._compare(words, i, j)
                 if (share, saved[i]) > best[:2]:
                     best = (share, saved[i], i, differ)
         return self.names[best[2]], best[1], best[0], best[3]
 
-    @staticmethod
-    def _compare(words: list[str], template: list[str]) -> tuple[float, list[str]]:
-        """Share of the longer of block and the part of the template it covers that is equal; the words that differ."""
-        m = SequenceMatcher(None, words, template, autojunk=False)
+    def _compare(self, words: list[str], i: int, j: int) -> tuple[float, list[str]]:
+        """Share of the longer of block and whole wording that is equal; the words that differ, of the wording in the part the block covers."""
+        template = self.lines[i][j].words
+        if (m := self.matchers.get((i, j))) is None:
+            m = self.matchers[i, j] = SequenceMatcher(None, (), template, autojunk=False)
+        m.set_seq1(words)
         same = [b for b in m.get_matching_blocks() if b.size]
         if not same:
             return 0.0, words
-        part = same[-1].b + same[-1].size - same[0].b
-        equal = sum(b.size for b in same)
-        differ = [w for tag, a, b, c, d in m.get_opcodes() if tag != "equal" for w in words[a:b] + (template[c:d] if same[0].b <= c and d <= same[0].b + part else [])]
-        return equal / max(len(words), part), differ
+        part = same[-1].b + same[-1].size
+        differ = [w for tag, a, b, c, d in m.get_opcodes() if tag != "equal" for w in words[a:b] + (template[c:d] if same[0].b <= c and d <= part else [])]
+        return sum(b.size for b in same) / max(len(words), len(template)), differ
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, saved: float = 0.3, least: float = 0.9) -> DataFrame:
     """One row for each candidate sentence: doc_id, start, end (code points), license, saved, equal, differing, confirmed.
 
-    saved is the size reduction by the best template, equal the share of equal words; a candidate is confirmed if they
-    reach `saved` and `least`. license names the best template, also where it was not confirmed. Null and
+    saved is the size reduction by the best template, equal the share of words that are equal or in a slot; a candidate is
+    confirmed if it is a whole wording and they reach `saved` and `least`. differing holds, where it is one, the words in its
+    slots. license names the best template, also where it was not confirmed. What follows a whole wording is not judged with it. Null and
     empty texts have no candidates; rows that repeat give theirs again; a null id stays null; other columns are ignored.
     """
     missing(docs, ("doc_id", "text"))
     texts = dict(TEMPLATES if templates is None else templates)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("license", pa.string()), ("saved", pa.float64()), ("equal", pa.float64()), ("differing", pa.list_(pa.string()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("license", pa.string()), ("saved", pa.float64()), ("equal", pa.float64()), ("differing", pa.list_(pa.string())), ("exact", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(texts)
@@ -170,10 +244,12 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, save
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text and HINT.search(text):
+                    sure = [*scanner.exact(text)]
+                    out += [(doc_id, a, b, name, gain, 1.0, filled, True) for a, b, name, gain, filled in sure]
                     for a, b in blocks(text):
-                        out += [(doc_id, s, e, *scanner(text[s:e])) for s, e in sentences(text, a, b)]
+                        out += [(doc_id, s, e, *scanner(text[s:e]), False) for s, e in sentences(text, a, b) if not any(x < e and s < y for x, y, *_ in sure)]
             cols = list(zip(*out, strict=True)) if out else [[]] * len(schema)
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
 
-    out = rows.mapInArrow(run, "doc_id long, start long, end long, license string, saved double, equal double, differing array<string>")
-    return out.withColumn("confirmed", (F.col("saved") >= saved) & (F.col("equal") >= least))
+    out = rows.mapInArrow(run, "doc_id long, start long, end long, license string, saved double, equal double, differing array<string>, exact boolean")
+    return out.withColumn("confirmed", F.col("exact") & (F.col("saved") >= saved) & (F.col("equal") >= least)).drop("exact")

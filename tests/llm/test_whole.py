@@ -3,7 +3,7 @@
 import random
 import string
 
-from gleanery.llm import secrets
+from gleanery.llm import licenses, secrets
 from tests.llm import data
 
 
@@ -44,3 +44,22 @@ def test_filler_is_no_head_of_the_alphabet():
     words = [a + b + c for a in string.ascii_lowercase for b in string.ascii_lowercase for c in "aeiou"]
     drawn = secrets.filler(dict.fromkeys(words, 3), 500)
     assert len(set(drawn)) == 500 and len({w[0] for w in drawn}) == 26
+
+
+def scanned(spark, texts, templates=None):
+    rows = [(i, t, "en", "s", None) for i, t in enumerate(texts)]
+    return licenses.scan_licenses(data.table(spark, rows), templates).collect()
+
+
+def test_licenses_confirm_only_exact_wordings(spark):
+    near = ["This work is licensed under the GNU Affero General Public License, version 3.", "This work is licensed under the GNU Lesser General Public License, version 3.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "Licensed under the MIT License except for trade."]
+    out = scanned(spark, near)
+    assert {r.doc_id for r in out} == set(range(4)) and not any(r.confirmed for r in out)
+    assert all(w in next(r.differing for r in out if r.doc_id == i) for i, w in enumerate(["affero", "lesser", "attribution-noderivatives", "except"]))
+
+
+def test_licenses_differ_in_slots_only(spark):
+    one = {"X": "Neither the name of {{holder}} nor the names of its contributors may be used under this license."}
+    out = scanned(spark, ["Neither the name of Foo Bar Inc nor the names of its contributors may be used under this license.", "Neither the name of Foo nor the names of its contributors may not be used under this license."], one)
+    assert [(r.doc_id, r.confirmed, r.differing) for r in out if r.confirmed] == [(0, True, ["foo", "bar", "inc"])]
+    assert {r.doc_id for r in out} == {0, 1}
