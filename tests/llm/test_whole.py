@@ -63,3 +63,39 @@ def test_licenses_differ_in_slots_only(spark):
     out = scanned(spark, ["Neither the name of Foo Bar Inc nor the names of its contributors may be used under this license.", "Neither the name of Foo nor the names of its contributors may not be used under this license."], one)
     assert [(r.doc_id, r.confirmed, r.differing) for r in out if r.confirmed] == [(0, True, ["foo", "bar", "inc"])]
     assert {r.doc_id for r in out} == {0, 1}
+
+
+BSD2 = """Copyright (c) 2019, Jane Roe
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
+ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+THIRD = """3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software without
+   specific prior written permission.
+"""
+
+
+def test_whole_license_texts(spark):
+    gpl = licenses.pkgutil.get_data("gleanery.llm", "license_texts/GPL-3.0.txt").decode()
+    out = scanned(spark, [BSD2.format(""), BSD2.format(THIRD), BSD2.format("").split("THIS SOFTWARE")[0], gpl])
+    sure = [r for r in out if r.confirmed]
+    assert sorted((r.doc_id, r.license) for r in sure) == [(0, "BSD-2-Clause"), (1, "BSD-3-Clause"), (3, "GPL-3.0")]
+    assert next(r.end - r.start for r in sure if r.doc_id == 3) > 30_000
