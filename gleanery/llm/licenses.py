@@ -1,7 +1,7 @@
 """License scans by conditional compression.
 
-Candidate blocks are runs of lines around license words. A block is compressed once alone and once with each template
-as zstandard raw dictionary; a template that describes the block makes it much smaller. Templates are ranked by that
+Candidate blocks are whole wordings, and runs of whole sentences around license words. A block is compressed once alone and
+once with each template as zstandard raw dictionary; a template that describes the block makes it much smaller. Templates are ranked by that
 reduction. Confirmed are only whole wordings, whole sentences of the text, that equal a template's line word by word but
 for the slots it declares; all else is reported unconfirmed, with the words that differ from the best template.
 
@@ -72,6 +72,8 @@ HINT = re.compile(r"(?i)licen[sc]|copyright|permission is|redistribut|warrant|pu
 WORD = re.compile(r"[0-9a-z]+(?:[.-][0-9a-z]+)*")
 #: Characters of a block at most; longer runs go in pieces of that many, cut at white space where there is any.
 BLOCK = 4_000
+GAP, TEXT, MARGIN = 300, 200, 1_500
+BLANK = re.compile(r"\n[^\S\n]*\n")
 #: Templates that the comparison of wordings looks at.
 TRIED = 3
 SLOT = re.compile(r"\{\{(\w+)\}\}")
@@ -83,20 +85,45 @@ TOKEN = re.compile(r"[0-9A-Za-z]+(?:[.-][0-9A-Za-z]+)*")
 BREAK = re.compile(r"[.!?:;](?=\s|$)|\n(?=[^\w\n]*(?:[A-Z0-9]|\n|$))")
 
 
-def blocks(text: str) -> Iterator[tuple[int, int]]:
-    """Spans of runs of lines that have a license word, each run in pieces of BLOCK characters or fewer."""
-    at, start, upto = 0, None, 0
-    for line in text.split("\n"):
-        end = at + len(line)
-        if HINT.search(line):
-            start = at if start is None else start
-            upto = end
-        elif start is not None:
-            yield from _pieces(text, start, upto)
-            start = None
-        at = end + 1
-    if start is not None:
-        yield from _pieces(text, start, upto)
+def blocks(text: str, sure: list[tuple[int, int]] = ()) -> Iterator[tuple[int, int]]:
+    """Spans of runs of sentences with a license word, outside the spans that are sure, in pieces of BLOCK characters or fewer.
+
+    Sentences go over line ends. A run goes over GAP characters without such a word, and one of TEXT characters or more on
+    to blank lines, at most MARGIN characters away.
+    """
+    at = 0
+    for a, b in [*sure, (len(text), len(text))]:
+        last = None
+        for s, e in _runs(text, at, a):
+            if e - s >= TEXT:
+                before = [m.end() for m in BLANK.finditer(text, max(at, s - MARGIN), s)]
+                after = BLANK.search(text, e, min(a, e + MARGIN))
+                s, e = before[-1] if before else max(at, s - MARGIN), after.start() if after else min(a, e + MARGIN)
+            if last and s <= last[1]:
+                last = last[0], max(e, last[1])
+                continue
+            if last:
+                yield from _pieces(text, *last)
+            last = s, e
+        if last:
+            yield from _pieces(text, *last)
+        at = b
+
+
+def _runs(text: str, at: int, end: int) -> Iterator[tuple[int, int]]:
+    """Runs of sentences with a license word between two places, without white space at their ends."""
+    run = None
+    for stop in [*(m.end() for m in BREAK.finditer(text, at, end)), end]:
+        part = text[at:stop]
+        if HINT.search(part):
+            s, e = at + len(part) - len(part.lstrip()), at + len(part.rstrip())
+            if run and s - run[1] > GAP:
+                yield run
+                run = None
+            run = (run[0], e) if run else (s, e)
+        at = stop
+    if run:
+        yield run
 
 
 def _pieces(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
@@ -108,20 +135,6 @@ def _pieces(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
     yield start, end
 
 
-def sentences(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
-    """The parts of a block around each license word: from sentence end to sentence end."""
-    last = start
-    ends = [start + m.end() for m in re.finditer(r"[.!?:](?=\s|$)", text[start:end])]
-    if not ends or ends[-1] < end:
-        ends.append(end)
-    for e in ends:
-        if HINT.search(text, last, e):
-            a = last + len(text[last:e]) - len(text[last:e].lstrip())
-            if a < e:
-                yield a, e
-        last = e
-
-
 class Wording:
     """One whole wording: words that must be equal, with slots between them that a license lets vary."""
 
@@ -242,7 +255,7 @@ class Scanner:
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, saved: float = 0.3, least: float = 0.9) -> DataFrame:
-    """One row for each candidate sentence: doc_id, start, end (code points), license, saved, equal, differing, confirmed.
+    """One row for each candidate block: doc_id, start, end (code points), license, saved, equal, differing, confirmed.
 
     saved is the size reduction by the best template, equal the share of words that are equal or in a slot; a candidate is
     confirmed if it is a whole wording and they reach `saved` and `least`. differing holds, where it is one, the words in its
@@ -262,8 +275,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, save
                 if text and HINT.search(text):
                     sure = [*scanner.exact(text)]
                     out += [(doc_id, a, b, name, gain, 1.0, filled, True) for a, b, name, gain, filled in sure]
-                    for a, b in blocks(text):
-                        out += [(doc_id, s, e, *scanner(text[s:e]), False) for s, e in sentences(text, a, b) if not any(x < e and s < y for x, y, *_ in sure)]
+                    out += [(doc_id, a, b, *scanner(text[a:b]), False) for a, b in blocks(text, [x[:2] for x in sure])]
             cols = list(zip(*out, strict=True)) if out else [[]] * len(schema)
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
 

@@ -2,6 +2,7 @@
 
 import random
 import string
+import textwrap
 
 from gleanery.llm import licenses, secrets
 from tests.llm import data
@@ -99,3 +100,17 @@ def test_whole_license_texts(spark):
     sure = [r for r in out if r.confirmed]
     assert sorted((r.doc_id, r.license) for r in sure) == [(0, "BSD-2-Clause"), (1, "BSD-3-Clause"), (3, "GPL-3.0")]
     assert next(r.end - r.start for r in sure if r.doc_id == 3) > 30_000
+
+
+def test_license_blocks_are_whole(spark):
+    wrapped = textwrap.fill(licenses.TEMPLATES["MIT"].split("\n")[2], 78)
+    good = wrapped.replace("THE SOFTWARE IS", "\n\nTHE SOFTWARE IS", 1)
+    evil = wrapped.replace("THE SOFTWARE IS", "\n\nThe Software shall be used for\nGood, not Evil.\n\nTHE SOFTWARE IS", 1)
+    changed = wrapped.replace("to deal", "to look")
+    out = scanned(spark, [good, wrapped.split("\n")[0], evil, changed, "Licensed under the Apache\nLicense, Version 2.0."])
+    assert {(r.doc_id, r.license) for r in out if r.confirmed} == {(0, "MIT"), (4, "Apache-2.0")}
+    for i, words in ((2, {"good", "evil"}), (3, {"look", "deal"})):
+        (r,) = (r for r in out if r.doc_id == i)
+        assert words <= set(r.differing) and r.license == "MIT" and r.equal > 0.9 and r.end - r.start > 1000
+    (r,) = (r for r in out if r.doc_id == 1)
+    assert r.equal < 0.2
