@@ -14,6 +14,8 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -74,7 +76,11 @@ class Lexicon:
         return best
 
 
-def learn(counts: list[tuple[str, int, int]], toxic: int, clean: int, least: int = 3, odds: float = 2.0) -> dict[str, float]:
+#: Toxic documents a term needs, and the log of the ratio of its rates, to be learned.
+LEAST, ODDS = 3, 2.0
+
+
+def learn(counts: list[tuple[str, int, int]], toxic: int, clean: int, least: int = LEAST, odds: float = ODDS) -> dict[str, float]:
     """Weights of the terms that toxic documents have far more often: (term, in toxic, in clean) counts of documents."""
     out = {}
     for term, a, b in counts:
@@ -205,14 +211,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
 
     per = chosen.select("text", "y", "fold").mapInArrow(count, "term string, fold int, a long, b long")
     per = per.groupBy("term").agg(*(F.sum(F.when(F.col("fold") == k, F.col(c))).alias(f"{c}{k}") for k in range(FOLDS) for c in "ab"))
-    total = sum((F.coalesce(F.col(f"a{k}"), F.lit(0)) for k in range(FOLDS)), F.lit(0))
-    rest = sum((F.coalesce(F.col(f"b{k}"), F.lit(0)) for k in range(FOLDS)), F.lit(0))
-    table = per.withColumns({"a": total, "b": rest}).filter("a >= 3 and a > b").orderBy(F.desc("a"), "term").limit(TERMS).na.fill(0).collect()
     sizes = {(r.fold, r.y): r.n for r in chosen.groupBy("fold", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
 
-    def lexicon(without: int | None) -> Lexicon:
+    def rates(without: int | None) -> tuple[list[int], int, int]:
         use = [k for k in range(FOLDS) if k != without]
-        toxic, clean = (sum(sizes.get((k, y), 0) for k in use) for y in (1, 0))
+        return use, *(sum(sizes.get((k, y), 0) for k in use) for y in (1, 0))
+
+    def may_count(without: int | None) -> Column:
+        use, toxic, clean = rates(without)
+        a, b = (sum((F.coalesce(F.col(f"{c}{k}"), F.lit(0)) for k in use), F.lit(0)) for c in "ab")
+        return (a >= LEAST) & ((a + 0.5) / (toxic + 1) >= (b + 0.5) / (clean + 1) * float(np.exp(ODDS) * (1 - 1e-9)))
+
+    total = sum((F.coalesce(F.col(f"a{k}"), F.lit(0)) for k in range(FOLDS)), F.lit(0))
+    any_of = reduce(or_, map(may_count, [None, *range(FOLDS)]))  # what no lexicon below would learn stays out
+    table = per.filter(any_of).withColumn("a", total).orderBy(F.desc("a"), "term").limit(TERMS).na.fill(0).collect()
+
+    def lexicon(without: int | None) -> Lexicon:
+        use, toxic, clean = rates(without)
         return Lexicon(learn([(r.term, sum(r[f"a{k}"] for k in use), sum(r[f"b{k}"] for k in use)) for r in table], toxic, clean))
 
     by_fold, whole = [lexicon(k) for k in range(FOLDS)], lexicon(None)

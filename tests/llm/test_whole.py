@@ -4,7 +4,7 @@ import random
 import string
 import textwrap
 
-from gleanery.llm import licenses, secrets
+from gleanery.llm import licenses, secrets, toxicity
 from tests.llm import data
 
 
@@ -114,3 +114,15 @@ def test_license_blocks_are_whole(spark):
         assert words <= set(r.differing) and r.license == "MIT" and r.equal > 0.9 and r.end - r.start > 1000
     (r,) = (r for r in out if r.doc_id == 1)
     assert r.equal < 0.2
+
+
+def test_terms_of_a_rare_class_are_learned(spark):
+    rows, labels = [], []
+    for i in range(3000):
+        toxic = i % 50 == 0
+        said = toxic and i % 100 == 0 or not toxic and i % 30 == 1
+        rows.append((i, data.prose(i, 12) + " zorgle" * said, "en", "s", None))
+        labels.append((i, int(toxic)))
+    lexicon = toxicity.train(data.table(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")).lexicon
+    assert sum(t for _, t in labels) == 60 and sum("zorgle" in r[1] for r in rows) > 100
+    assert "zorgle" in lexicon.words and "alder" not in lexicon.words
