@@ -21,8 +21,9 @@ from pyspark.sql.window import Window
 from gleanery.llm.common import Scratch, missing, split_words
 
 SPACE = r"[\x20\x09-\x0D]+"
-#: Words that are left to the dynamic programme at most; n documents of one length go to about sqrt(n / BUCKET) buckets.
-DP_WORDS, BUCKET = 1 << 16, 32
+#: Words that are left to the dynamic programme: DP_WORDS, or LONGEST of the source's longest documents if that is more, in
+#: steps of one unit if these are more than DP_SUMS. n documents of one length go to about sqrt(n / BUCKET) buckets.
+DP_WORDS, LONGEST, DP_SUMS, BUCKET = 1 << 16, 4, 1 << 22, 32
 
 
 def n_words(text: Column) -> Column:
@@ -53,7 +54,7 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that their words come near to budget.
 
     Lengths are distinct and positive. Every length first gives its share, rounded down; shares with the largest
-    remainders are rounded up while more than DP_WORDS words are open; a bounded knapsack settles the rest from below, and one
+    remainders are rounded up while more words are open than the programme takes; a bounded knapsack settles the rest from below, and one
     document may go over if that is nearer.
     """
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
@@ -62,26 +63,27 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         return counts.copy()
     if budget <= 0:
         return np.zeros_like(counts)
+    most = max(DP_WORDS, LONGEST * int(lengths.max()))
     exact = [Fraction(int(c) * budget, total) for c in counts]
     take = np.array([int(x) for x in exact], np.int64)
     left = budget - int((take * lengths).sum())
     for i in sorted(range(len(lengths)), key=lambda i: (int(exact[i]) - exact[i], -int(lengths[i]))):
-        if left <= DP_WORDS:
+        if left <= most:
             break
         if take[i] < counts[i] and lengths[i] <= left:
             take[i] += 1
             left -= int(lengths[i])
     for i in np.argsort(-lengths):  # only if single steps could not bring it down
-        if left <= DP_WORDS:
+        if left <= most:
             break
         n = min(int(counts[i] - take[i]), left // int(lengths[i]))
         take[i] += n
         left -= n * int(lengths[i])
     for i in np.argsort(lengths):  # two documents of each length, the short ones first, are open again
-        n = min(2, int(take[i]), max(0, DP_WORDS - left) // int(lengths[i]))
+        n = min(2, int(take[i]), max(0, most - left) // int(lengths[i]))
         take[i] -= n
         left += n * int(lengths[i])
-    take += _knapsack(lengths, counts - take, min(left, DP_WORDS))
+    take += _knapsack(lengths, counts - take, min(left, most))
     left = budget - int((take * lengths).sum())
     over = np.where(take < counts, np.abs(lengths - left), left)
     if left and over.min() < left:  # one document more comes nearer, from above
@@ -90,7 +92,13 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
 
 
 def _knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """Reachable sums up to budget; each sum remembers the item that reached it first."""
+    """Reachable sums up to budget; each sum remembers the item that reached it first.
+
+    Lengths count in units of their common divisor. If that leaves over DP_SUMS sums, the unit is larger and lengths are
+    rounded up to it, so that sums stay below budget and miss the nearest by less than a unit for each document.
+    """
+    unit = max(int(np.gcd.reduce(lengths)), -(-budget // DP_SUMS))
+    lengths, budget = -(-lengths // unit), budget // unit
     item: list[tuple[int, int]] = []
     reached = np.zeros(budget + 1, bool)
     reached[0] = True

@@ -4,7 +4,9 @@ import random
 import string
 import textwrap
 
-from gleanery.llm import licenses, secrets, toxicity
+import numpy as np
+
+from gleanery.llm import licenses, mixing, secrets, toxicity
 from tests.llm import data
 
 
@@ -126,3 +128,14 @@ def test_terms_of_a_rare_class_are_learned(spark):
     lexicon = toxicity.train(data.table(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")).lexicon
     assert sum(t for _, t in labels) == 60 and sum("zorgle" in r[1] for r in rows) > 100
     assert "zorgle" in lexicon.words and "alder" not in lexicon.words
+
+
+def test_few_long_documents_are_fitted():
+    for lengths, counts, budget in (([100_000, 90_000, 70_000], [1, 1, 1], 160_000), ([900_001, 700_000, 500_003], [3, 3, 3], 2_100_004), ([90_000_000, 70_000_000, 100_000_000], [1, 1, 1], 160_000_000)):
+        take = mixing.fit(np.array(lengths), np.array(counts), budget)
+        assert (take <= counts).all() and int((take * lengths).sum()) == budget
+    rng = np.random.default_rng(3)
+    lengths = np.unique(rng.integers(200_000, 3_000_000, 60))
+    counts = rng.integers(1, 4, len(lengths))
+    budget = int((lengths * counts).sum()) // 3
+    assert abs(int((mixing.fit(lengths, counts, budget) * lengths).sum()) - budget) < 100
