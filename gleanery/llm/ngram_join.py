@@ -416,11 +416,22 @@ def similar_pairs(docs: DataFrame, shingle: int = 5, percent: int = 80) -> tuple
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the rows whose component holds a smaller doc_id; one row stays of rows that repeat an id."""
-    found = near_duplicates(docs, shingle, percent)
-    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = found.filter("component_id = doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    if again.isEmpty():
-        return kept
-    return kept.join(again.select("doc_id"), "doc_id", "left_anti").select(*docs.columns).unionAll(kept.join(again.select("doc_id"), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    """One row of docs for each component: that with the smallest doc_id, and of these the smallest hash of id and text.
+
+    Null ids come last. Texts without shingles are components of their own; rows that repeat id and text are one row.
+    """
+    missing(docs, ("doc_id", "text"))
+    key = "_row"
+    while key in docs.columns:
+        key += "_"
+    scratch = Scratch(docs.sparkSession)
+    hashed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    keys = scratch.table(hashed.groupBy(F.col(key).alias("row")).agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("k")), "keys")
+    found = near_duplicates(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), shingle, percent)
+    named = keys.join(found.select(F.col("doc_id").alias("row"), "component_id").distinct(), "row")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "k")).alias("m"))
+    first = scratch.table(first.select(F.col("m.row").alias(key), F.col("m.k").alias("k")), "first")
+    scratch.keep("first")
+    once = hashed.join(first.filter("k = 1").select(key), key, "left_semi")
+    again = hashed.join(first.filter("k > 1").select(key), key, "left_semi").dropDuplicates([key])
+    return once.select(*docs.columns).unionAll(again.select(*docs.columns))

@@ -6,7 +6,7 @@ import textwrap
 
 import numpy as np
 
-from gleanery.llm import licenses, mixing, secrets, toxicity
+from gleanery.llm import licenses, mixing, ngram_join, secrets, toxicity
 from tests.llm import data
 
 
@@ -139,3 +139,10 @@ def test_few_long_documents_are_fitted():
     counts = rng.integers(1, 4, len(lengths))
     budget = int((lengths * counts).sum()) // 3
     assert abs(int((mixing.fit(lengths, counts, budget) * lengths).sum()) - budget) < 100
+
+
+def test_one_of_each_goes_by_row(spark):
+    a, b, c = (data.prose(i, 40) for i in (1, 2, 3))
+    rows = [(1, a, "en", "s", None), (2, a, "en", "s", None), (2, b, "en", "s", None), (None, c, "en", "s", None), (None, c, "fr", "s", None), (4, b.upper(), "en", "s", None), (7, "", "en", "s", None), (8, None, "en", "s", None)]
+    kept = ngram_join.one_of_each(data.table(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted([(1, a), (2, b), (0, c), (7, ""), (8, "")])
