@@ -79,6 +79,14 @@ def missing(df: DataFrame, names: Iterable[str]) -> None:
         raise ValueError(f"columns missing: {', '.join(gone)}")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def drawn(df: DataFrame, key: str, n: int, seed: int = 29) -> DataFrame:
     """All rows if they are n at most, else about n of them (each with the same chance) by hash of the key."""
     total = df.count()

@@ -58,5 +58,5 @@ def clashing(spark):
     """The same with columns named like what operators add."""
     from pyspark.sql import functions as F
 
-    extra = ["h", "t", "w", "pos", "n", "chunk", "rest", "size", "score", "text_hash", "start", "k", "items", "root", "key", "cell", "x", "_told", "lang_pred", "_toxicity", "n_lines", "component_id", "contaminated", "target", "name"]
+    extra = ["h", "t", "w", "pos", "n", "chunk", "rest", "size", "score", "text_hash", "start", "k", "items", "root", "key", "cell", "x", "_told", "lang_pred", "_toxicity", "n_lines", "component_id", "contaminated", "target", "name", "_d", "_t", "own", "to", "sender", "taken", "repeat", "bucket", "l"]
     return documents(spark).select("*", *(F.lit(f"own {c}").alias(c) for c in extra))
