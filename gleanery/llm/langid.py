@@ -3,8 +3,9 @@
 A known word adds its log frequency in each language. An unseen word falls back to its character n-grams, the longest
 length of which any is known: five characters, then four, down to one. Word ends count as characters.
 
-The model is fitted on about PER_LANG labelled documents of each language, chosen by hash of their id, and holds at most
-WORDS words and GRAMS n-grams of each length. These come to the driver, texts don't. Scoring is one pass, no shuffle.
+The model is fitted on about PER_LANG labelled documents of each language, chosen by hash of their id, and holds the WORDS
+most frequent words and the GRAMS most frequent n-grams of each length of each language. These come to the driver, texts
+don't. Scoring is one pass, no shuffle: a text's words become row numbers of one matrix, and the rows are added.
 """
 
 from __future__ import annotations
@@ -17,25 +18,34 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from gleanery.llm.common import missing
+from gleanery.llm.common import Scratch, free_name, missing
 from gleanery.llm.toxicity import held_out
 
 WORD = re.compile(r"[^\W\d_]+")
+GAP = re.compile(r"[\W\d_]")
 LENGTHS = (5, 4, 3, 2, 1)
-PER_LANG, WORDS, GRAMS = 3_000, 150_000, 40_000
-MEMO = 300_000
+#: Parameters of the model: labelled documents of each language, words and n-grams (of each length) of each language.
+PER_LANG, WORDS, GRAMS = 3_000, 40_000, 10_000
+#: Bytes of unseen words that a worker remembers, characters of the longest such word, characters of a text taken at once.
+MEMO_BYTES, LONG, PIECE = 32 << 20, 40, 1 << 18
 UNKNOWN = "und"
 
 
-def words_of(text: str | None) -> list[str]:
-    """Lower-cased runs of letters."""
-    return WORD.findall(text.lower()) if text else []
+def words_of(text: str | None) -> Iterator[list[str]]:
+    """Lower-cased runs of letters, in lists for pieces of a text that end between words."""
+    at, n = 0, len(text or "")
+    while at < n:
+        cut = GAP.search(text, at + PIECE) if at + PIECE < n else None
+        end = cut.start() if cut else n
+        yield WORD.findall(text[at:end].lower())
+        at = end
 
 
-def grams_of(word: str, n: int) -> list[str]:
+def grams_of(word: str, n: int) -> Iterator[str]:
     padded = f" {word} " if n > 1 else word
-    return [padded[i : i + n] for i in range(len(padded) - n + 1)]
+    return (padded[i : i + n] for i in range(len(padded) - n + 1))
 
 
 class Model:
@@ -45,56 +55,71 @@ class Model:
         self.langs = langs
         self.words = {w: i for i, w in enumerate(words)}
         self.rows = self._log(words)
-        self.grams = {n: dict(zip(some, self._log(some), strict=True)) for n, some in grams.items()}
+        self.grams = {n: ({g: i for i, g in enumerate(some)}, self._log(some)) for n, some in grams.items()}
 
     def _log(self, counts: dict[str, np.ndarray]) -> np.ndarray:
         if not counts:
-            return np.zeros((0, len(self.langs)))
+            return np.zeros((0, len(self.langs)), np.float32)
         c = np.array(list(counts.values()), float) + 0.5
         logs = np.log(c / c.sum(0))
-        return logs - logs.mean(1, keepdims=True)
+        return (logs - logs.mean(1, keepdims=True)).astype(np.float32)
 
     def unseen(self, word: str) -> np.ndarray:
         for n in LENGTHS:
-            some = self.grams.get(n, {})
-            known = [some[g] for g in grams_of(word, n) if g in some]
-            if known:
-                return np.sum(known, axis=0) / len(known) * min(len(known), 3)
+            known, rows = self.grams.get(n, ({}, None))
+            at = [known[g] for g in grams_of(word, n) if g in known]
+            if at:
+                return rows[at].sum(0, dtype=float) / len(at) * min(len(at), 3)
         return np.zeros(len(self.langs))
 
 
-class Scorer:
-    """One worker's view of a model, with a bounded memory of unseen words."""
+class Scorer(dict):
+    """One worker's view of a model: a row number for each word, and rows of unseen words within a bound of bytes."""
 
     def __init__(self, model: Model):
-        self.model, self.memo, self.extra = model, {}, []
+        super().__init__(model.words)
+        self.model, self.fixed = model, len(model.rows)
+        # a row of zeros stands for words that are added up apart
+        self.rows = np.vstack([model.rows, np.zeros((max(1, MEMO_BYTES // (200 + 4 * len(model.langs))), len(model.langs)), np.float32)])
+        self.apart = np.zeros(len(model.langs))
+        self.memo: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        at = self.fixed + 1 + len(self.memo)
+        if len(word) > LONG or at >= len(self.rows):
+            self.apart += self.model.unseen(word)
+            return self.fixed
+        self.rows[at] = self.model.unseen(word)
+        self.memo.append(word)
+        self[word] = at
+        return at
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        words, m = words_of(text), self.model
-        if not any(c.isalpha() for w in words for c in w) or not m.langs:
+        total, n, letters, m = np.zeros(len(self.model.langs)), 0, False, self.model
+        self.apart[:] = 0
+        if self.fixed + 1 + len(self.memo) >= len(self.rows):
+            for w in self.memo:
+                del self[w]
+            self.memo.clear()
+        for words in words_of(text):
+            if words:
+                total += self.rows.take(np.fromiter(map(self.__getitem__, words), np.intp, len(words)), 0).sum(0, dtype=float)
+                n += len(words)
+                letters = letters or any(c.isalpha() for w in words for c in w)
+        if not letters or not m.langs:
             return UNKNOWN, 0.0
-        known, other = [], np.zeros(len(m.langs))
-        for w, k in Counter(words).items():
-            at = m.words.get(w)
-            if at is not None:
-                known.extend([at] * k)
-                continue
-            row = self.memo.get(w)
-            if row is None:
-                row = m.unseen(w)
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                self.memo[w] = row
-            other += row * k
-        total = other + (m.rows[known].sum(0) if known else 0.0)
-        z = total / np.sqrt(len(words))
+        z = (total + self.apart) / np.sqrt(n)
         p = np.exp(z - z.max())
         best = int(p.argmax())
         return m.langs[best], float(p[best] / p.sum())
 
 
-def train(docs: DataFrame, folds: int = 4, fold: int = 2, per_lang: int = PER_LANG) -> Model:
-    """Learns from text and lang of documents with a lang, but for those whose crc32(doc_id) mod folds is fold."""
+def train(docs: DataFrame, folds: int = 4, fold: int = 2, per_lang: int = PER_LANG, words: int = WORDS, grams: int = GRAMS) -> Model:
+    """Learns from text and lang of documents with a lang, but for those whose crc32(doc_id) mod folds is fold.
+
+    Rows that repeat are learned from again, null ids are never held out, rows without a text or lang are left out. Without
+    any row the model has no language. Words and n-grams that occur once in all are left out.
+    """
     missing(docs, ("doc_id", "text", "lang"))
     spark = docs.sparkSession
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), folds, fold))
@@ -109,47 +134,50 @@ def train(docs: DataFrame, folds: int = 4, fold: int = 2, per_lang: int = PER_LA
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Counter] = {}
         for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found.setdefault(lang, Counter()).update(words_of(text))
-        for lang, words in found.items():
-            terms: Counter = Counter({(0, w): k for w, k in words.items()})
-            for w, k in words.items():
-                for n in LENGTHS:
-                    for g in grams_of(w, n):
-                        terms[n, g] += k
-            yield pa.record_batch([pa.array([n for n, _ in terms], pa.int32()), pa.array([t for _, t in terms]), pa.array([lang] * len(terms)), pa.array(list(terms.values()), pa.int64())], ["kind", "term", "lang", "n"])
-
+            for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                for some in words_of(text.as_py()):
+                    found.setdefault(lang, Counter()).update(some)
+        for lang, seen in found.items():
+            for n in (0, *LENGTHS):
+                terms: Counter = Counter()
+                for w, k in seen.items():
+                    for g in grams_of(w, n) if n else (w,):
+                        terms[g] += k
+                yield pa.record_batch([pa.array([n] * len(terms), pa.int32()), pa.array(list(terms)), pa.array([lang] * len(terms)), pa.array(list(terms.values()), pa.int64())], ["kind", "term", "lang", "n"])
+
+    scratch = Scratch(spark)
     sums = chosen.mapInArrow(count, "kind int, term string, lang string, n long").groupBy("kind", "term", "lang").agg(F.sum("n").alias("n"))
+    sums = scratch.table(sums, "terms")
+    rank = F.row_number().over(Window.partitionBy("kind", "lang").orderBy(F.desc("n"), "term"))
+    most = F.when(F.col("kind") == 0, words).otherwise(grams)
+    top = sums.withColumn("r", rank).filter(F.col("r") <= max(words, grams)).filter(F.col("r") <= most).select("kind", "term").distinct()
     each = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"l{i}") for i, x in enumerate(langs)]
-    table = sums.groupBy("kind", "term").agg(F.sum("n").alias("all"), *each).filter("all > 1")
+    table = sums.join(top, ["kind", "term"], "left_semi").groupBy("kind", "term").agg(F.sum("n").alias("all"), *each).filter("all > 1").drop("all")
 
-    def best(kind: int, most: int) -> dict[str, np.ndarray]:
-        top = table.filter(F.col("kind") == kind).orderBy(F.desc("all"), "term").limit(most).toPandas()
-        return dict(zip(top["term"], top[[f"l{i}" for i in range(len(langs))]].to_numpy(), strict=True))
+    def best(kind: int) -> dict[str, np.ndarray]:
+        of = rows[rows["kind"] == kind].sort_values("term")
+        return dict(zip(of["term"], of[[f"l{i}" for i in range(len(langs))]].to_numpy(), strict=True))
 
-    table = table.persist()
-    try:
-        return Model(langs, best(0, WORDS), {n: best(n, GRAMS) for n in LENGTHS})
-    finally:
-        table.unpersist()
+    rows = table.toPandas()  # at most len(langs) * (words + 5 * grams) rows
+    scratch.keep()
+    return Model(langs, best(0), {n: best(n) for n in LENGTHS})
 
 
 def detect(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score, replacing columns of these names; see identify."""
+    """docs with lang_pred and score, replacing columns of these names, all others kept; see identify."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     held: dict = {}
 
-    @F.pandas_udf("lang_pred string, score double")
-    def told(texts):
-        import pandas as pd
-
+    @F.arrow_udf("lang_pred string, score double")
+    def told(texts: pa.Array) -> pa.Array:
         if "scorer" not in held:
             held["scorer"] = Scorer(shared.value)
-        scorer = held["scorer"]
-        return pd.DataFrame([scorer(t) for t in texts], columns=["lang_pred", "score"])
+        out = [held["scorer"](t.as_py()) for t in texts]
+        return pa.StructArray.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], ["lang_pred", "score"])
 
-    out = docs.withColumn("_told", told(F.col("text")))
-    return out.withColumns({"lang_pred": F.col("_told.lang_pred"), "score": F.col("_told.score")}).drop("_told")
+    name = free_name(docs, "told")
+    out = docs.withColumn(name, told(F.col("text")))
+    return out.withColumns({"lang_pred": F.col(f"{name}.lang_pred"), "score": F.col(f"{name}.score")}).drop(name)
 
 
 def identify(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:

@@ -1,6 +1,7 @@
 """Toxicity, language ID, secrets and licenses: held-out accuracy and awkward rows."""
 
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -106,6 +107,69 @@ def test_language_awkward(spark, make):
     assert {r.lang_pred for r in langid.identify(nothing).collect()} <= {"und"}
 
 
+@pytest.mark.parametrize("piece", [langid.PIECE, 7])
+def test_language_equals_brute_force(spark, monkeypatch, piece):
+    """The whole model and every score by plain Python over all training rows; texts also in small pieces."""
+    monkeypatch.setattr(langid, "PIECE", piece)
+    rows = data.rows() + [(300 + i, data.prose(900 + i, 30) + " x½ é1ß ΑΣ", "fr" if i % 2 else "de", "s", 1) for i in range(12)]
+    learned = [r for r in rows if r[1] is not None and r[2] is not None and not (r[0] is not None and zlib.crc32(str(r[0]).encode()) % 4 == 2)]
+    langs = sorted({r[2] for r in learned})
+    split = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    pad = lambda w, n: f" {w} " if n > 1 else w
+    grams = lambda w, n: [pad(w, n)[i : i + n] for i in range(len(pad(w, n)) - n + 1)]
+    counts = {n: {x: Counter() for x in langs} for n in (0, 1, 2, 3, 4, 5)}
+    for _, text, lang, *_ in learned:
+        for w in split(text):
+            counts[0][lang][w] += 1
+            for n in range(1, 6):
+                counts[n][lang].update(grams(w, n))
+    known = {n: sorted(t for t in set().union(*c.values()) if sum(c[x][t] for x in langs) > 1) for n, c in counts.items()}
+    logs = {}
+    for n, terms in known.items():
+        a = np.array([[counts[n][x][t] + 0.5 for x in langs] for t in terms])
+        a = np.log(a / a.sum(0))
+        logs[n] = dict(zip(terms, a - a.mean(1, keepdims=True), strict=True))
+
+    def row(w):
+        if w in logs[0]:
+            return logs[0][w]
+        for n in (5, 4, 3, 2, 1):
+            if some := [logs[n][g] for g in grams(w, n) if g in logs[n]]:
+                return sum(some) / len(some) * min(len(some), 3)
+        return np.zeros(len(langs))
+
+    want = Counter()
+    for doc_id, text, *_ in rows:
+        words = split(text)
+        if not any(c.isalpha() for w in words for c in w):
+            want[doc_id, "und", 0.0] += 1
+            continue
+        z = sum(map(row, words)) / np.sqrt(len(words))
+        p = np.exp(z - z.max())
+        want[doc_id, langs[int(p.argmax())], round(float(p.max() / p.sum()), 4)] += 1
+    model = langid.train(data.table(spark, rows))
+    scorer = langid.Scorer(model)
+    assert Counter((r[0], *(lambda a, b: (a, round(b, 4)))(*scorer(r[1]))) for r in rows) == want
+    out = langid.identify(data.table(spark, rows)).collect()
+    assert Counter((r.doc_id, r.lang_pred, round(r.score, 4)) for r in out) == want
+
+
+def test_language_keeps_columns(spark):
+    docs = data.clashing(spark)
+    out = langid.detect(docs, langid.train(docs))
+    assert {*out.columns} == {*docs.columns, "score", "lang_pred"} and out.count() == docs.count()
+    assert {r._told for r in out.collect()} == {"own _told"}
+
+
+def test_memory_of_unseen_words_is_bounded(monkeypatch):
+    monkeypatch.setattr(langid, "MEMO_BYTES", 2_000)
+    m = langid.Model(["l", "r"], {"word": np.array([1, 8])}, {1: {"a": np.array([1, 9]), "b": np.array([9, 1])}})
+    small, texts = langid.Scorer(m), [" ".join(f"{x}{'c' * i}" for i in range(30) for x in "ab") + " word" * k for k in range(40)]
+    assert [small(t) for t in texts + texts] == [langid.Scorer(m)(t) for t in texts + texts]
+    assert len(small) < 40
+    assert langid.Scorer(m)("b" * 3_000_000)[0] == "l"
+
+
 def test_backoff_takes_the_longest_known_gram():
     grams = {n: {} for n in langid.LENGTHS}
     grams[3] = {"abc": np.array([9, 0]), "xyz": np.array([0, 9])}
