@@ -61,7 +61,7 @@ fit AS (
   FROM p JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id
 )
 SELECT p.page_id, host, path, rule, coalesce(fit.verdict, CASE
-  WHEN regexp_matches(host, '(^|[.-])(spam-farm|link-farm|cheap-pills|cheap-meds|cheap-drugs|casino|porn|xxx|doubleclick)([.-]|$)') OR starts_with(path, '/wp-login.php') THEN 'block'
+  WHEN regexp_matches(host, '(^|[.-])(spam-farm|link-farm|cheap-pills|cheap-meds|cheap-drugs|xxx|doubleclick)([.-]|$)') OR contains(host, 'casino') OR contains(host, 'porn') OR regexp_matches(host, '(^|[.-])poker') OR starts_with(path, '/wp-login.php') THEN 'block'
   ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN fit USING (page_id)
 """
