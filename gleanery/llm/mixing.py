@@ -11,6 +11,7 @@ documents share is dealt out over seeded buckets before it is ranked.
 from __future__ import annotations
 
 from fractions import Fraction
+from math import ceil, sqrt
 
 import numpy as np
 import pandas as pd
@@ -18,11 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gleanery.llm.common import Scratch, missing, split_words
+from gleanery.llm.common import Scratch, free_name, missing, split_words
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: Words that are left to the dynamic programme: DP_WORDS, or LONGEST of the source's longest documents if that is more, in
-#: steps of one unit if these are more than DP_SUMS. n documents of one length go to about sqrt(n / BUCKET) buckets.
+#: steps of one unit if these are more than DP_SUMS. If n documents are of the commonest length, there are sqrt(n / BUCKET) buckets.
 DP_WORDS, LONGEST, DP_SUMS, BUCKET = 1 << 16, 4, 1 << 22, 32
 
 
@@ -128,22 +129,23 @@ def _knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarra
     return out
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: Fraction = Fraction(3, 2), cap: int = 2, seed: int = 17) -> DataFrame:
-    """One row for each row of docs: doc_id, source, size, source_size, target, taken.
+#: Sources whose row goes to every task by broadcast at most: about 4 MB.
+FEW = 50_000
 
-    size is the number of words (null text: 0), taken the words the mix takes with repeats, a multiple of size and at
-    most cap times it. Null is a source of its own. Rows that tie in seeded order (equal ids) are exchangeable.
-    One row for each source comes to the driver. No rows give no rows; other columns are ignored.
-    """
+
+def _mix(docs: DataFrame, rest: list[str], weights: tuple[int, ...], share: Fraction, cap: int, seed: int) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, passes and the other columns in a struct `rest`, for each row."""
     missing(docs, ("doc_id", "text", "source"))
-    scratch = Scratch(docs.sparkSession)
-    order = F.xxhash64(F.col("doc_id"), F.lit(seed))
-    sized = scratch.table(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), order.alias("h")), "sized")
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    order = F.xxhash64(F.col("doc_id"), F.xxhash64("text"), F.lit(seed))
+    kept = F.struct(*(F.col(f"`{c}`") for c in rest)) if rest else F.struct(F.lit(0).alias("none"))
+    sized = scratch.table(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), order.alias("h"), kept.alias("rest")), "sized")
     hist = scratch.table(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("docs")), "lengths")
-    totals = {r.source: int(r.s) for r in hist.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("s")).collect()}
-    goal = targets(totals, weights, share, cap)
-    rows = [(i, s, totals[s], goal[s]) for i, s in enumerate(sorted(totals, key=lambda s: (s is None, s or "")))]
-    named = F.broadcast(docs.sparkSession.createDataFrame(rows, "k int, name string, source_size long, target double"))
+    totals = {r.source: (int(r.s), r.most) for r in hist.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("s"), F.max("docs").alias("most")).collect()}
+    goal = targets({s: n for s, (n, _) in totals.items()}, weights, share, cap)
+    rows = [(i, s, totals[s][0], goal[s]) for i, s in enumerate(sorted(totals, key=lambda s: (s is None, s or "")))]
+    named = spark.createDataFrame(rows, "k int, name string, source_size long, target double")
+    named = F.broadcast(named) if len(rows) <= FEW else named
 
     def plan(part: pd.DataFrame) -> pd.DataFrame:
         size, target = int(part.source_size.iloc[0]), float(part.target.iloc[0])
@@ -153,16 +155,41 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: Fraction =
         real = part["size"].to_numpy() > 0
         if passes < cap:
             extra[real] = fit(part["size"].to_numpy()[real], part["docs"].to_numpy()[real], round(target - passes * size))
-        return part.assign(passes=passes, extra=extra)[["k", "size", "docs", "source_size", "target", "passes", "extra"]]
+        return part.assign(passes=passes, extra=extra)[["k", "size", "source_size", "target", "passes", "extra"]]
 
     by_name = F.col("source").eqNullSafe(F.col("name"))
-    planned = hist.join(named, by_name).groupBy("k").applyInPandas(plan, "k int, size long, docs long, source_size long, target double, passes int, extra long")
-    planned = scratch.table(planned, "plan").withColumn("buckets", F.ceil(F.sqrt(F.col("docs") / BUCKET)))
-    placed = sized.join(named.select("k", "name"), by_name).join(planned, ["k", "size"]).withColumn("bucket", F.pmod(F.xxhash64("h"), F.col("buckets")))
+    planned = hist.join(named, by_name).groupBy("k").applyInPandas(plan, "k int, size long, source_size long, target double, passes int, extra long")
+    planned = scratch.table(planned, "plan")
+    # documents of one source and length are dealt over buckets before anything is joined with them
+    buckets = ceil(sqrt(max([1, *(most for _, most in totals.values())]) / BUCKET))
     keys = ["k", "size", "bucket"]
+    placed = sized.join(named.select("k", "name"), by_name).withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
     upto = Window.partitionBy("k", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cells = placed.groupBy(*keys, "extra").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
-    cells = cells.select(*keys, (F.col("extra") - F.col("before")).alias("open"))
+    cells = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
+    cells = cells.join(planned, ["k", "size"]).select(*keys, "source_size", "target", "passes", (F.col("extra") - F.col("before")).alias("open"))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))
-    out = placed.join(cells, keys).withColumn("more", (rank <= F.col("open")).cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("passes") + F.col("more"))).alias("taken"))
+    out = placed.withColumn("rank", rank).join(cells, keys).withColumn("times", F.col("passes") + (F.col("rank") <= F.col("open")).cast("long"))
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times", "rest")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: Fraction = Fraction(3, 2), cap: int = 2, seed: int = 17) -> DataFrame:
+    """One row for each row of docs: doc_id, source, size, source_size, target, taken.
+
+    size is the number of words (null text: 0), taken the words the mix takes with repeats, a multiple of size and at
+    most cap times it. Null is a source of its own. Rows that tie in seeded order (equal ids and texts) are exchangeable.
+    One row for each source comes to the driver. No rows give no rows; other columns are ignored.
+    """
+    return _mix(docs, [], weights, share, cap, seed).drop("times", "rest")
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: Fraction = Fraction(3, 2), cap: int = 2, seed: int = 17) -> DataFrame:
+    """The rows of docs that the mix takes, all their columns, and size, source_size, target, taken and repeats.
+
+    A document that the mix takes twice is one row with repeats 2; it is read so often. See mix for all else. An added
+    column that docs has too gets underscores at its end.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "source")]
+    out = _mix(docs, others, weights, share, cap, seed).filter("taken > 0")
+    added = {"size": "size", "source_size": "source_size", "target": "target", "taken": "taken", "repeats": "times"}
+    own = [F.col(c) if c in ("doc_id", "source") else F.col(f"rest.`{c}`").alias(c) for c in docs.columns]
+    return out.select(*own, *(F.col(c).alias(free_name(docs, name)) for name, c in added.items()))

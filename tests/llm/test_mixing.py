@@ -87,3 +87,32 @@ def test_reruns_agree_and_buckets_are_whole(spark, monkeypatch):
 
 def test_empty(spark):
     assert mix(data.empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("make", [data.documents, data.clashing])
+def test_mixed_documents(spark, make):
+    docs = make(spark)
+    out = mixing.mixed_documents(docs)
+    assert out.columns[: len(docs.columns)] == docs.columns and len(set(out.columns)) == len(docs.columns) + 5
+    want = Counter((r.doc_id, r.source, r["size"], r.taken) for r in mix(docs).collect() if r.taken)
+    rows = [tuple(r) for r in out.collect()]
+    n = len(docs.columns)
+    assert Counter((r[0], r[3], r[n], r[n + 3]) for r in rows) == want
+    assert all(r[n] == words(r[1]) and r[n + 3] == r[n] * r[n + 4] and r[n + 4] in (1, 2) for r in rows)
+    whole = Counter(tuple(r) for r in docs.collect())
+    assert Counter(r[:n] for r in rows) <= whole
+
+
+def test_one_length_of_most_documents(spark, monkeypatch):
+    """Two thirds of all documents are of one source and length: no window or join holds them together."""
+    monkeypatch.setattr(mixing, "BUCKET", 1)
+    rows = [(i, "a b c" if i % 3 else data.prose(i, 5 + i % 7), "", "s", 1) for i in range(3000)]
+    out = mix(data.table(spark, rows)).collect()
+    assert abs(sum(r.taken for r in out) - out[0].target) <= 1 and len(out) == 3000
+
+
+def test_more_sources_than_a_broadcast_takes(spark, monkeypatch):
+    docs = data.documents(spark)
+    want = Counter(tuple(r) for r in mix(docs).collect())
+    monkeypatch.setattr(mixing, "FEW", 1)
+    assert Counter(tuple(r) for r in mix(docs).collect()) == want
