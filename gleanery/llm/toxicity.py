@@ -43,8 +43,7 @@ WORD = re.compile(r"[^\W\d_]+")
 #: Letters broken by a digit or sign, as in id1ot or st*pid, and letters set apart, as in m.o.r.o.n.
 BROKEN = re.compile(r"[^\W\d_][\d@$!|*]+[^\W\d_]")
 APART = re.compile(r"(?<!\S)(?:[^\W\d_][ .*_-]){3,}[^\W\d_](?!\S)")
-#: Characters to either side of a break that belong to its word at most.
-REACH = 30
+TAIL = re.compile(r"\S*+")
 BEGIN = (4, 5, 6, 7)
 FOLDS, TERMS = 4, 40_000
 SAMPLE = 20_000
@@ -95,14 +94,16 @@ def learn(counts: list[tuple[str, int, int]], toxic: int, clean: int, least: int
 
 
 def broken_words(text: str) -> Iterator[str]:
+    """Runs without white space that have a broken word, and words whose letters are set apart."""
     upto = 0
     for m in BROKEN.finditer(text):
         if m.start() < upto:
             continue
-        before, after = text[max(0, m.start() - REACH) : m.start()], text[m.end() : m.end() + REACH]
-        tail = re.match(r"\S*", after)[0]
-        upto = m.end() + len(tail)
-        yield re.search(r"\S*$", before)[0] + m[0] + tail
+        start = m.start()
+        while start > upto and not text[start - 1].isspace():
+            start -= 1
+        upto = TAIL.match(text, m.end()).end()
+        yield text[start:upto]
     yield from APART.findall(text)
 
 
@@ -149,7 +150,7 @@ def features(text: str | None, lexicon: Lexicon, memo: dict[str, tuple[float, bo
         out[3] = wt.sum() / n
         out[4] = wt.max()
         out[5] = float(len(seen))
-        out[6] = float(min(len(hits), 100))
+        out[6] = float(np.log1p(len(hits)))
         within = np.searchsorted(h, h + 50) - np.arange(len(h))
         out[7] = float(within.max()) / min(n, 50)
         out[8] = np.sort(wt)[-5:].sum()
@@ -164,7 +165,7 @@ def features(text: str | None, lexicon: Lexicon, memo: dict[str, tuple[float, bo
     out[13] = text.count("!") / n
     out[14] = marks / max(1, len(text))
     out[15] = broken / n
-    out[16] = float(min(hidden, 20))
+    out[16] = float(np.log1p(hidden))
     out[17] = text.count("?") / n
     out[18] = letters / n
     out[19] = sum(map(text.count, "*#$%&@")) / n
@@ -185,11 +186,12 @@ class Model:
         self.lexicon, self.trees = lexicon, trees
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 3, fold: int = 1) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 3, fold: int = 1, most: int = TERMS) -> Model:
     """Fits on labelled documents whose crc32(doc_id) mod folds is not fold; see held_out.
 
-    labels needs doc_id and toxic (0 or 1). Rows with a null in either are left out; of several labels of one id the
-    largest counts. Without both classes, all documents get the smoothed rate of the labels.
+    About `sample` labelled documents are drawn; the lexicon is learned from the `most` terms at most that most toxic ones
+    have. labels needs doc_id and toxic (0 or 1). Rows with a null in either are left out; of several labels of one id the
+    largest counts, of several texts that of the least hash. Without both classes, all documents get the smoothed rate of the labels.
     """
     missing(docs, ("doc_id", "text"))
     missing(labels, ("doc_id", "toxic"))
@@ -199,7 +201,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
     known = scratch.table(drawn(scratch.table(known, "all"), "id", sample), "known")  # about `sample` rows of 12 bytes
     part = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(FOLDS)).cast("int").alias("fold")
     chosen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), F.col("doc_id") == F.col("id"))
-    chosen = scratch.table(chosen.select("id", "text", "y", part).dropDuplicates(["id"]), "train")
+    one = F.min_by("text", F.struct(F.xxhash64("text"), "text"))  # of several texts of one id always the same
+    chosen = scratch.table(chosen.groupBy("id", "y").agg(one.alias("text")).select("id", "text", "y", part), "train")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0, 0])
@@ -224,7 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
 
     total = sum((F.coalesce(F.col(f"a{k}"), F.lit(0)) for k in range(FOLDS)), F.lit(0))
     any_of = reduce(or_, map(may_count, [None, *range(FOLDS)]))  # what no lexicon below would learn stays out
-    table = per.filter(any_of).withColumn("a", total).orderBy(F.desc("a"), "term").limit(TERMS).na.fill(0).collect()
+    table = per.filter(any_of).withColumn("a", total).orderBy(F.desc("a"), "term").limit(most).na.fill(0).collect()
 
     def lexicon(without: int | None) -> Lexicon:
         use, toxic, clean = rates(without)
