@@ -17,12 +17,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import Scratch, lower_ascii, missing, split_words
+from gleanery.llm.common import Scratch, free_name, lower_ascii, missing, split_words
 
 #: Everything but digits, a-z and what lies beyond ASCII, on lower-cased text.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Shingles in one broadcast: about 16 MB of longs.
-BLOCK = 400_000
+#: Shingles in one broadcast: about 48 MB.
+BLOCK = 1_500_000
 
 
 def words_of(text: Column) -> Column:
@@ -133,5 +133,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5) -> DataFrame:
     """docs without the rows that hold an occurrence of a benchmark window."""
-    hit = decontaminate(docs, benchmark, window, shingle).filter("contaminated").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_t")), "left_anti")
+    d, t = free_name(docs, "d"), free_name(docs, "t")
+    found = decontaminate(docs.select("doc_id", "text"), benchmark, window, shingle)
+    hit = found.filter("contaminated").select(F.col("doc_id").alias(d), F.col("text_hash").alias(t)).distinct()
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit[d]) & (F.xxhash64(docs["text"]) == hit[t]), "left_anti")
