@@ -38,8 +38,8 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: doc_id, source, size, source_size, target and the words taken, of documents that it takes any of."""
-    return mixing.mix(docs).filter("taken > 0")
+    """The documents that the mix takes, all columns, with size, source_size, target, taken and how often each is read."""
+    return mixing.mixed_documents(docs)
 
 
 STAGES = [
