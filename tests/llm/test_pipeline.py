@@ -1,5 +1,7 @@
 from collections import Counter
 
+import pytest
+
 from gleanery.llm.common import Scratch
 from tests.llm import data
 from tests.llm.test_decontaminate import ITEMS
@@ -42,6 +44,27 @@ def test_stages_take_effect(spark):
     assert Counter(r.source for r in mixed.values()).keys() == {"s", "t"}
     out = p.run(spark, sf)
     assert {tuple(r) for r in out.collect()} == {tuple(r) for r in mixed.values()}
+    assert all(r.text == safe[i].text and r.taken == r["size"] * r.repeats for i, r in mixed.items())
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_awkward_tables(spark, stage):
+    """Clashing names change nothing, null texts alone and empty tables go through."""
+    import corpus_pipeline as p
+
+    passage = data.prose(60, 30)
+    sf = folder(spark, data.rows(), [(37, 1, 1), (74, 1, 0), (None, 1, 1), (10, 0, None)], [(1, passage), (2, None), (None, "x")])
+    f = p.STAGES[stage][1]
+    plain, clash = data.documents(spark), data.clashing(spark)
+    want = f(spark, plain, sf)
+    got = f(spark, clash, sf)
+    assert Counter(tuple(r)[:5] for r in got.collect()) == Counter(tuple(r)[:5] for r in want.collect())
+    assert got.columns[: len(clash.columns)] == clash.columns
+    nulls = data.table(spark, [(i if i % 3 else None, None, None, None, None) for i in range(7)])
+    for docs in (nulls, data.empty(spark)):
+        left = f(spark, docs, sf).count()
+        # rows without a text: repeated ones are one row after the join, the mix takes none
+        assert left == {2: 5, 4: 0}.get(stage, 7) * (docs is nulls)
 
 
 def test_names():
