@@ -44,6 +44,9 @@ WORD = re.compile(r"[^\W\d_]+")
 BROKEN = re.compile(r"[^\W\d_][\d@$!|*]+[^\W\d_]")
 APART = re.compile(r"(?<!\S)(?:[^\W\d_][ .*_-]){3,}[^\W\d_](?!\S)")
 TAIL = re.compile(r"\S*+")
+GAP = re.compile(r"[\W\d_]")
+#: Words that a worker remembers, characters of a text that are split at once.
+MEMO, PIECE = 300_000, 1 << 18
 BEGIN = (4, 5, 6, 7)
 FOLDS, TERMS = 4, 40_000
 SAMPLE = 20_000
@@ -107,63 +110,80 @@ def broken_words(text: str) -> Iterator[str]:
     yield from APART.findall(text)
 
 
-def features(text: str | None, lexicon: Lexicon, memo: dict[str, tuple[float, bool, bool]]) -> list[float]:
+class Words(dict):
+    """Numbers of the words that a worker has met, and arrays of what the features need of each; see fresh()."""
+
+    def __init__(self, lexicon: Lexicon):
+        super().__init__()
+        self.lexicon = lexicon
+        self.weight, self.marks, self.length = np.zeros(1 << 12), np.zeros(1 << 12, np.uint8), np.zeros(1 << 12, np.int32)
+
+    def __missing__(self, raw: str) -> int:
+        i, low = len(self), raw.lower()
+        if i == len(self.weight):
+            self.weight, self.marks, self.length = (np.concatenate([a, np.zeros_like(a)]) for a in (self.weight, self.marks, self.length))
+        seed = low in SEED
+        self.weight[i] = max(self.lexicon.weight(low), 3.0 * seed)
+        self.marks[i] = seed | (low in PERSON) << 1 | (len(raw) > 2 and raw.isupper()) << 2 | raw[0].isupper() << 3
+        self.length[i] = len(raw)
+        self[raw] = i
+        return i
+
+    def fresh(self) -> Words:
+        """These, or none again if they are more than MEMO: what a worker holds stays bounded, but for one text's own words."""
+        return self if len(self) <= MEMO else Words(self.lexicon)
+
+    def numbers(self, text: str) -> np.ndarray:
+        """The numbers of a text's words in order, taken in pieces that end between words."""
+        at, out = 0, []
+        while at < len(text):
+            cut = GAP.search(text, at + PIECE) if at + PIECE < len(text) else None
+            end = cut.start() if cut else len(text)
+            found = WORD.findall(text[at:end])
+            out.append(np.fromiter(map(self.__getitem__, found), np.int32, len(found)))
+            at = end
+        return np.concatenate(out)
+
+
+def features(text: str | None, words: Words) -> list[float]:
     """N_FEATURES dense numbers; null, empty and wordless texts give mostly zeros."""
     out = [0.0] * N_FEATURES
     if not text:
         return out
-    words = WORD.findall(text)
-    n = max(1, len(words))
-    weights, seeds, person, caps, seen = [], 0, [], 0, set()
-    hits: list[int] = []
-    for i, raw in enumerate(words):
-        got = memo.get(raw)
-        if got is None:
-            low = raw.lower()
-            w = lexicon.weight(low)
-            got = (w, low in SEED, low in PERSON)
-            if len(memo) < 500_000:
-                memo[raw] = got
-        if got[0] or got[1]:
-            hits.append(i)
-            weights.append(max(got[0], 3.0 if got[1] else 0.0))
-            seen.add(raw)
-            seeds += got[1]
-        if got[2]:
-            person.append(i)
-        if len(raw) > 2 and raw.isupper():
-            caps += 1
+    every = words.numbers(text)
+    n = max(1, len(every))
+    marks = words.marks[every]
+    letters = int(words.length[every].sum())
+    hits = np.flatnonzero(words.weight[every] > 0)
+    person = np.flatnonzero(marks & 2)
     hidden, broken = 0, 0
     for m in broken_words(text):
         broken += 1
         plain = "".join(WORD.findall(m.lower().translate(LOOKALIKE)))
         bare = "".join(WORD.findall(m.lower()))
-        hidden += any(x in SEED or lexicon.weight(x) > 0 for x in (plain, bare) if len(x) > 3)
-    letters = sum(map(len, words))
-    upper = sum(1 for w in words if w[0].isupper())
-    marks = len(text) - letters - text.count(" ") - text.count("\n")
-    out[0] = np.log1p(len(words))
-    if hits:
-        h, wt = np.array(hits), np.array(weights)
+        hidden += any(x in SEED or words.lexicon.weight(x) > 0 for x in (plain, bare) if len(x) > 3)
+    others = len(text) - letters - text.count(" ") - text.count("\n")
+    out[0] = np.log1p(len(every))
+    if len(hits):
+        weights = words.weight[every[hits]]
         out[1] = len(hits) / n
-        out[2] = seeds / n
-        out[3] = wt.sum() / n
-        out[4] = wt.max()
-        out[5] = float(len(seen))
+        out[2] = int((marks & 1).sum()) / n
+        out[3] = weights.sum() / n
+        out[4] = weights.max()
+        out[5] = float(len(np.unique(every[hits])))
         out[6] = float(np.log1p(len(hits)))
-        within = np.searchsorted(h, h + 50) - np.arange(len(h))
+        within = np.searchsorted(hits, hits + 50) - np.arange(len(hits))
         out[7] = float(within.max()) / min(n, 50)
-        out[8] = np.sort(wt)[-5:].sum()
-        if person:
-            p = np.array(person)
-            at = np.searchsorted(p, h)
-            gap = np.minimum(np.abs(h - p[np.minimum(at, len(p) - 1)]), np.abs(h - p[np.maximum(at - 1, 0)]))
+        out[8] = np.sort(weights)[-5:].sum()
+        if len(person):
+            at = np.searchsorted(person, hits)
+            gap = np.minimum(np.abs(hits - person[np.minimum(at, len(person) - 1)]), np.abs(hits - person[np.maximum(at - 1, 0)]))
             out[9] = float((gap <= 5).mean())
     out[10] = len(person) / n
-    out[11] = caps / n
-    out[12] = upper / n
+    out[11] = int((marks >> 2 & 1).sum()) / n
+    out[12] = int((marks >> 3 & 1).sum()) / n
     out[13] = text.count("!") / n
-    out[14] = marks / max(1, len(text))
+    out[14] = others / max(1, len(text))
     out[15] = broken / n
     out[16] = float(np.log1p(hidden))
     out[17] = text.count("?") / n
@@ -172,10 +192,6 @@ def features(text: str | None, lexicon: Lexicon, memo: dict[str, tuple[float, bo
     return out
 
 
-def _rows(texts: list[str | None], lexicon: Lexicon, memo: dict) -> np.ndarray:
-    return np.array([features(t, lexicon, memo) for t in texts], float).reshape(-1, N_FEATURES)
-
-
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     """crc32 of the id as text; a null id is not held out."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
@@ -236,10 +252,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
     by_fold, whole = [lexicon(k) for k in range(FOLDS)], lexicon(None)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memos: list[dict] = [{} for _ in range(FOLDS)]
+        words = [Words(x) for x in by_fold]
         for batch in batches:
-            ids, texts, ys, ks = (c.to_pylist() for c in batch.columns)
-            x = [features(t, by_fold[k], memos[k]) for t, k in zip(texts, ks, strict=True)]
+            ids, ys, ks = (batch.column(i).to_pylist() for i in (0, 2, 3))
+            x = []
+            for text, k in zip(batch.column(1), ks, strict=True):
+                words[k] = words[k].fresh()
+                x.append(features(text.as_py(), words[k]))
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array(x, pa.list_(pa.float64()))], ["id", "y", "x"])
 
     rows = chosen.select("id", "text", "y", "fold").mapInArrow(describe, "id long, y int, x array<double>").toPandas().sort_values("id")
@@ -256,13 +275,15 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     held: dict = {}
 
-    @F.pandas_udf("double")
-    def scored(texts):
-        import pandas as pd
-
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
         m = shared.value
-        memo = held.setdefault("memo", {})
-        return pd.Series(m.trees(_rows(texts.tolist(), m.lexicon, memo)))
+        words, x = held.get("words") or Words(m.lexicon), np.zeros((len(texts), N_FEATURES))
+        for i, text in enumerate(texts):
+            words = words.fresh()
+            x[i] = features(text.as_py(), words)
+        held["words"] = words
+        return pa.array(m.trees(x), pa.float64())
 
     return docs.withColumn(column, scored(F.col("text")))
 
