@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -52,6 +53,14 @@ class Scratch:
         self.drop(*(self.names - set(names)))
 
 
+def settled(df: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """df if a task that runs again is sure to see the same rows in the same order: a scan; all else is stored first."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if re.search(r"Exchange|AdaptiveSparkPlan|ArrowEvalPython|MapInArrow|MapInPandas|BatchEvalPython|Window|Sample|Coalesce\b|rand", plan):
+        return scratch.table(df, name)
+    return df
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z, all else untouched; lower() alone serves texts without a multi-byte character."""
     plain = F.octet_length(text) == F.char_length(text)

@@ -33,7 +33,7 @@ from gleanery.llm.common import Scratch, input_bytes, missing, parts_for
 
 SPACES = b" \t\n\x0b\x0c\r"
 #: Text bytes in a chunk, stored bytes for a shard, places that a chunk sends to at most.
-CHUNK, SHARD_BYTES, FANOUT = 8 << 20, 32 << 20, 1024
+CHUNK, SHARD_BYTES, FANOUT = 4 << 20, 32 << 20, 1024
 #: Lines in a message from a group of chunks to a shard at about, and bytes of a line at about.
 MESSAGE, LINE_BYTES = 64, 400
 NO_ID = np.iinfo(np.int64).min

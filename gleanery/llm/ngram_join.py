@@ -8,55 +8,75 @@ first and can match nothing, so most documents drop out before any join.
 How it runs:
 
 1. Documents are read once, in chunks. A chunk sorts its shingle hashes and sends each range of the hash space one
-   packed message (sorted differences, local row numbers). Copies inside a chunk send one set.
+   packed message: each hash once, with the row that has it, or, if several rows do, with their number; which rows these
+   are stays in a message of the chunk to itself. Copies inside a chunk send one set.
 2. Each range counts in how many sets a hash occurs and sends back, per chunk, only the hashes of two or more.
 3. Each chunk orders these by frequency: a document's prefix and its array for verification are known.
 4. Equal sets form a class, and one document stands for it. Prefix entries are joined on the shingle.
 5. A group of near copies would give all its pairs. To find components it needs far fewer: in each bucket two hubs of
    different components are compared with the rest, components are merged, and buckets within one component are done.
-   What is left after the hub rounds is joined in full across components, so no link that joins two is missed.
+   What is left after the hub rounds is joined in full across components, so no link that joins two is missed. There the
+   smaller set of a pair needs a shared shingle in its shorter, indexing prefix, and meets only classes of lengths that its
+   position leaves open: templates that many documents share, but not enough for a link, meet nobody.
 6. Each pair is verified once: length and positional filters on the prefix entry, a suffix filter that bounds
    the overlap by cell counts of the hash space, then the exact intersection.
 
-Rows are numbered by chunk, so the input must be a stored table or otherwise come in the same order when a task is
-run again.
+Rows are numbered by chunk; an input that is more than a scan of stored files is therefore stored first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import Scratch, missing, parts_for
+from gleanery.llm.common import Scratch, missing, parts_for, settled
 
 #: Hashes have so many bits; they fit a signed long.
 BITS = 56
 CELLS = 64
-#: Odd factors, one for each word of a shingle and one for its length.
-FACTORS = np.random.default_rng(20240607).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+PIECE, SPACE = 1 << 20, re.compile(rb"[ \t\n\x0b\x0c\r]")
 #: Shingles in a chunk at least and at most: 16 bytes each.
 CHUNK_LEAST, CHUNK_MOST = 1_500_000, 16_000_000
 #: Input bytes for one range of the hash space.
 RANGE_BYTES = 4 << 20
 
 
-def shingle_hashes(text: bytes | None, k: int) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles; fewer than k words make one shingle, no words none."""
+@cache
+def factors(k: int) -> np.ndarray:
+    """Odd factors, one for the length of a shingle and one for each of its k words."""
+    return np.random.default_rng(20240607).integers(1, 1 << 63, k + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def word_hashes(text: bytes | None) -> np.ndarray:
+    """Hashes of the lower-cased words in order; long texts are split in pieces that end between words."""
     import xxhash
 
-    words = text.lower().split() if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    m = min(k, len(w))
-    h = np.full(len(w) - m + 1, m, np.uint64) * FACTORS[-1]
+    at, n, out = 0, len(text or b""), []
+    while at < n:
+        cut = SPACE.search(text, at + PIECE) if at + PIECE < n else None
+        end = cut.start() if cut else n
+        words = text[at:end].lower().split()
+        out.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
+        at = end
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def shingle_hashes(text: bytes | None, k: int) -> np.ndarray:
+    """Sorted distinct hashes of the k-word shingles; fewer than k words make one shingle, no words none."""
+    w = word_hashes(text)
+    if not len(w):
+        return w
+    m, by = min(k, len(w)), factors(k)
+    h = np.full(len(w) - m + 1, m, np.uint64) * by[0]
     for i in range(m):
-        h += w[i : i + len(h)] * FACTORS[i]
+        h += w[i : i + len(h)] * by[i + 1]
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
@@ -95,11 +115,13 @@ def _unpack(data: bytes, n_columns: int) -> list[np.ndarray]:
     return out
 
 
-def _ipc(batch: pa.RecordBatch) -> bytes:
+def _own(rows: pa.RecordBatch, tokens: np.ndarray, local: np.ndarray) -> bytes:
+    """A chunk's message to itself: its rows, and sorted hashes that several of them have, each with one of these."""
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema) as w:
-        w.write_batch(batch)
-    return sink.getvalue().to_pybytes()
+    with pa.ipc.new_stream(sink, rows.schema) as w:
+        w.write_batch(rows)
+    packed = _pack(np.diff(tokens, prepend=np.uint64(0)), local)
+    return len(packed).to_bytes(8, "little") + packed + sink.getvalue().to_pybytes()
 
 
 @dataclass(frozen=True)
@@ -113,30 +135,43 @@ class _Plan:
 _MESSAGE = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("payload", pa.binary())])
 
 
-def _send(plan: _Plan):
+def _task() -> int:
+    from pyspark import TaskContext
+
+    return TaskContext.get().partitionId()
+
+
+def _send(plan: _Plan, task: Callable[[], int] = _task):
     """documents -> a message for each chunk and hash range, and one with the chunk's rows."""
 
     def flush(chunk: int, ids: list, sizes: list, digests: list, sets: list, owners: list) -> pa.RecordBatch:
         rows = pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "n": pa.array(sizes, pa.int64()), "digest": pa.array(digests, pa.binary())})
-        parts, payloads = [-1 - chunk], [_ipc(rows)]
+        parts, payloads = [-1 - chunk], []
         if sets:
             tokens = np.concatenate(sets)
             local = np.repeat(np.array(owners, np.uint32), [len(s) for s in sets])
             order = np.argsort(tokens)
             tokens, local = tokens[order], local[order]
+            starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+            count = np.diff(np.r_[starts, len(tokens)])
+            several = np.repeat(count > 1, count)
+            payloads.append(_own(rows, tokens[several], local[several]))
+            # 0 stands for rows that the chunk keeps to itself
+            tokens, local, count = tokens[starts], np.where(count > 1, 0, local[starts] + 1), count
             width = np.uint64((1 << BITS) // plan.ranges + 1)
             part = (tokens // width).astype(np.int64)
             cuts = np.flatnonzero(np.diff(part)) + 1
-            for t, who, p in zip(np.split(tokens, cuts), np.split(local, cuts), part[np.r_[0, cuts]] if len(part) else (), strict=True):
+            for t, who, k, p in zip(np.split(tokens, cuts), np.split(local, cuts), np.split(count, cuts), part[np.r_[0, cuts]], strict=True):
                 parts.append(int(p))
-                payloads.append(_pack(np.diff(t, prepend=np.uint64(int(p) * int(width))), who))
+                payloads.append(_pack(np.diff(t, prepend=np.uint64(int(p) * int(width))), who, k))
+        else:
+            payloads.append(_own(rows, np.empty(0, np.uint64), np.empty(0, np.uint32)))
         return pa.record_batch([pa.array(parts, pa.int64()), pa.array([chunk] * len(parts), pa.int64()), pa.array(payloads, pa.binary())], schema=_MESSAGE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
-        from pyspark import TaskContext
 
-        first = TaskContext.get().partitionId() << 16
+        first = task() << 16
         chunk, ids, sizes, digests, sets, owners, seen, held = 0, [], [], [], [], [], set(), 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -170,18 +205,18 @@ def _count(plan: _Plan):
         part = table["part"][0].as_py()
         if part < 0:
             return pa.table([table["chunk"], pa.array([True] * len(table)), table["payload"]], schema=_REPLY)
-        tokens, local, chunks = [], [], []
+        tokens, local, counts, chunks = [], [], [], []
         for chunk, payload in zip(table["chunk"].to_pylist(), table["payload"], strict=True):
-            d, who = _unpack(payload.as_py(), 2)
+            d, who, k = _unpack(payload.as_py(), 3)
             tokens.append(np.cumsum(d, dtype=np.uint64) + np.uint64(part * width))
             local.append(who.astype(np.uint32))
+            counts.append(k.astype(np.int64))
             chunks.append(np.full(len(d), chunk, np.int64))
-        tokens, local, chunks = np.concatenate(tokens), np.concatenate(local), np.concatenate(chunks)
+        tokens, local, counts, chunks = (np.concatenate(x) for x in (tokens, local, counts, chunks))
         order = np.argsort(tokens)
         t = tokens[order]
         starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
-        counts = np.diff(np.r_[starts, len(t)])
-        df = np.repeat(counts, counts)
+        df = np.repeat(np.add.reduceat(counts[order], starts), np.diff(np.r_[starts, len(t)]))
         keep = df > 1
         t, df, order = t[keep], df[keep], order[keep]
         by = np.argsort(chunks[order], kind="stable")
@@ -211,13 +246,22 @@ def _gather(plan: _Plan):
         for is_rows, payload in zip(table["rows"].to_pylist(), table["payload"], strict=True):
             data = payload.as_py()
             if is_rows:
-                rows = pa.ipc.open_stream(data).read_all()
+                cut = 8 + int.from_bytes(data[:8], "little")
+                rows = pa.ipc.open_stream(data[cut:]).read_all()
+                own, own_rows = _unpack(data[8:cut], 2)
+                own = np.cumsum(own, dtype=np.uint64)
                 continue
             d, who, df = _unpack(data[:-8], 3)
             tokens.append(np.cumsum(d, dtype=np.uint64) + np.uint64(int.from_bytes(data[-8:], "little") * width))
             local.append(who.astype(np.int64))
             dfs.append(df.astype(np.int64))
         t, who, df = np.concatenate(tokens), np.concatenate(local), np.concatenate(dfs)
+        several = who == 0
+        first, upto = np.searchsorted(own, t[several]), np.searchsorted(own, t[several], "right")
+        n_rows = upto - first
+        spots = np.repeat(first - np.r_[0, np.cumsum(n_rows)[:-1]], n_rows) + np.arange(int(n_rows.sum())) if len(first) else np.empty(0, np.int64)
+        t, df = np.r_[t[~several], np.repeat(t[several], n_rows)], np.r_[df[~several], np.repeat(df[several], n_rows)]
+        who = np.r_[who[~several] - 1, own_rows[spots].astype(np.int64)]
         order = np.lexsort((t, df, who))
         t, who = t[order], who[order]
         n = rows["n"].to_numpy()
@@ -251,23 +295,25 @@ class _Join:
     """The join on prefix entries between class representatives."""
 
     def __init__(self, scratch: Scratch, reps: DataFrame, percent: int):
-        self.scratch, self.reps, self.percent, self.step = scratch, reps, percent, 0
+        self.reps, self.percent = reps, percent
         prefix = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
         shown = F.slice("toks", F.lit(1), (prefix - F.col("u")).cast("int"))
-        # lengths of one class are within the threshold of each other
-        size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int") if percent < 100 else F.col("n").cast("int")
         bits = [F.get("odd", F.lit(i)).alias(f"o{i}") for i in range(4)]
-        entries = reps.select("uid", "n", "u", size.alias("size"), *bits, F.posexplode(shown).alias("i", "token")).select("token", "uid", "n", "u", "size", (F.col("u") + F.col("i")).alias("pos"), *(f"o{i}" for i in range(4)))
+        entries = reps.select("uid", "n", "u", *bits, F.posexplode(shown).alias("i", "token")).withColumn("pos", F.col("u") + F.col("i"))
+        # the longest set that could still link, if this is the first shared shingle
+        most = F.least(F.floor(((F.col("n") - F.col("pos")) * (100 + percent) - F.col("n") * percent) / percent), F.floor(F.col("n") * 100 / percent))
+        entries = entries.withColumn("hi", most).select("token", "uid", "n", "u", self._size(F.col("n")).alias("size"), "pos", "hi", *(f"o{i}" for i in range(4)))
         self.entries = scratch.table(entries, "entries")
 
-    def _name(self, what: str) -> str:
-        self.step += 1
-        return f"{what}{self.step}"
+    def _size(self, n: Column) -> Column:
+        """Class of lengths: those of one class are within the threshold of each other."""
+        if self.percent == 100:
+            return n.cast("int")
+        return F.floor(F.log(n.cast("double")) / F.log(F.lit(100 / self.percent)) + 1e-9).cast("int")
 
-    def _possible(self, na: Column, nb: Column, pa_: Column, pb: Column) -> Column:
+    def _possible(self, n: Column, hi: Column, other_n: Column, other_hi: Column) -> Column:
         """Length and positional filters."""
-        rest = F.least(na - pa_, nb - pb)
-        return (F.least(na, nb) * 100 >= F.greatest(na, nb) * self.percent) & (rest >= _least_overlap(na, nb, self.percent))
+        return (other_n <= hi) & (n <= other_hi)
 
     def _labelled(self, labels: DataFrame | None) -> DataFrame:
         if labels is None:
@@ -280,10 +326,10 @@ class _Join:
         A bucket has a hub for each class of lengths: the set that has the shingle earliest, which the positional filter
         lets meet the most others.
         """
-        own = self._labelled(labels).select("token", "uid", "n", "pos", "size", "c")
-        hubs = own.groupBy("token", "size").agg(F.min(F.struct("pos", "uid", "n", "c")).alias("h"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").drop("c0", "c1")
+        own = self._labelled(labels).select("token", "uid", "n", "pos", "hi", "size", "c")
+        hubs = own.groupBy("token", "size").agg(F.min(F.struct("pos", "uid", "n", "hi", "c")).alias("h"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").drop("c0", "c1")
         met = own.join(hubs, ["token", "size"]).filter(F.col("c") != F.col("h.c"))
-        met = met.filter(self._possible(F.col("n"), F.col("h.n"), F.col("pos"), F.col("h.pos")))
+        met = met.filter(self._possible(F.col("n"), F.col("hi"), F.col("h.n"), F.col("h.hi")))
         pairs = met.select(F.least("uid", "h.uid").alias("a"), F.greatest("uid", "h.uid").alias("b"), "uid").groupBy("uid", "a", "b").agg(F.count(F.lit(1)).alias("shared"))
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -299,13 +345,19 @@ class _Join:
         per = own.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k"))
         top = per.groupBy("token").agg(F.max(F.struct("k", "c")).alias("m"), F.count(F.lit(1)).alias("cs")).filter("cs > 1").select("token", F.col("m.c").alias("main"))
         open_ = own.join(top, "token")
-        names = ["uid", "n", "u", "pos", "c", *(f"o{i}" for i in range(4))]
-        left = open_.filter("c <> main").select("token", "main", *(F.col(x).alias(f"x_{x}") for x in names))
-        right = open_.select(F.col("token").alias("t2"), *names)
-        fits = (F.col("c") != F.col("x_c")) & ((F.col("c") == F.col("main")) | (F.col("x_uid") < F.col("uid")))
+        names = ["uid", "n", "u", "hi", "c", *(f"o{i}" for i in range(4))]
+        alone = (F.col("c") == F.col("main")).cast("int")
+        # the smaller set of a pair: only its indexing prefix can hold the first shared shingle
+        left = open_.filter("hi >= n").withColumn("at", F.explode(F.sequence("size", self._size(F.col("hi")))))
+        left = left.select("token", "at", alone.alias("tag"), *(F.col(x).alias(f"x_{x}") for x in names))
+        # rows of the main component meet those of the others: tag 1 has only these
+        tags = F.when(F.col("c") == F.col("main"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+        right = open_.select(F.col("token").alias("t2"), F.col("size").alias("s2"), F.explode(tags).alias("tag2"), *names)
+        same = (F.col("token") == F.col("t2")) & (F.col("at") == F.col("s2")) & (F.col("tag") == F.col("tag2"))
+        fits = (F.col("c") != F.col("x_c")) & (F.struct("x_n", "x_uid") < F.struct("n", "uid"))
         differ = F.col("u") + F.col("x_u") + sum((F.bit_count(F.col(f"o{i}").bitwiseXOR(F.col(f"x_o{i}"))) for i in range(4)), F.lit(0))
         suffix = F.col("n") + F.col("x_n") - differ >= 2 * _least_overlap(F.col("n"), F.col("x_n"), self.percent)
-        pairs = left.join(right, (F.col("token") == F.col("t2")) & fits & self._possible(F.col("n"), F.col("x_n"), F.col("pos"), F.col("x_pos")) & suffix)
+        pairs = left.join(right, same & fits & self._possible(F.col("n"), F.col("hi"), F.col("x_n"), F.col("x_hi")) & suffix)
         pairs = pairs.select(F.least("uid", "x_uid").alias("a"), F.greatest("uid", "x_uid").alias("b")).distinct()
         return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
 
@@ -348,7 +400,7 @@ def _records(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFra
     ranges = 4 * parts_for(docs, 4 * RANGE_BYTES)
     chunk = min(CHUNK_MOST, max(CHUNK_LEAST, 64 * ranges))
     plan = _Plan(k, percent, min(ranges, chunk // 64), chunk)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    rows = settled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), scratch, "texts")
     sent = rows.mapInArrow(_send(plan), "part long, chunk long, payload binary")
     back = sent.groupBy("part").applyInArrow(_count(plan), "chunk long, rows boolean, payload binary")
     out = back.groupBy("chunk").applyInArrow(_gather(plan), "uid long, doc_id long, n long, d0 long, d1 long, u long, toks array<long>, cells array<int>, odd array<long>")

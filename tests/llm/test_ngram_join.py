@@ -2,7 +2,9 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from gleanery.llm import ngram_join
 from gleanery.llm.ngram_join import _pack, _unpack, near_duplicates, one_of_each, shingle_hashes, similar_pairs
@@ -127,3 +129,56 @@ def test_hashes_follow_words():
     assert len(a) == 2 and (a == shingle_hashes(b" a B C D E F ", 5)).all()
     assert len(shingle_hashes(b"a b", 5)) == 1 and shingle_hashes(b"a b", 5) != shingle_hashes(b"a c", 5)
     assert len(shingle_hashes(None, 5)) == len(shingle_hashes(b" \n", 5)) == 0
+
+
+def template(n, words=96, own=12):
+    """Texts with one long passage in common, just too little of each for a link."""
+    passage = " ".join(f"t{i}" for i in range(words))
+    return [(i, passage + " " + " ".join(f"x{i}y{j}" for j in range(own)), "en", "a", None) for i in range(n)]
+
+
+@pytest.mark.parametrize("derive", ["repartition", "shuffled"])
+def test_derived_tables(spark, derive):
+    docs = data.documents(spark)
+    docs = docs.repartition(5) if derive == "repartition" else docs.orderBy(F.rand())
+    assert got(near_duplicates(docs)) == expected(data.rows())
+
+
+def test_templates_under_the_threshold_meet_nobody(spark):
+    rows = template(40) + [(100 + i, r[1].replace("t90", f"z{i}"), "en", "a", None) for i, r in enumerate(template(5))]
+    assert got(near_duplicates(data.table(spark, rows))) == expected(rows)
+    many = data.table(spark, template(1500))
+    scratch = ngram_join.Scratch(spark)
+    records = ngram_join._records(many, 5, 80, scratch)
+    classes = records.groupBy("d0", "d1").agg(F.min("uid").alias("uid"))
+    join = ngram_join._candidates(records, classes, 80, scratch)
+    assert join.entries.count() >= 9 * 1500 and join.entries.filter("hi >= n").count() == 0
+    assert join.all_pairs(None, None).count() == 0
+
+
+def test_templates_of_many_lengths(spark):
+    """Sets of different sizes around one passage: some link, most don't."""
+    rng = random.Random(3)
+    rows = [(i, template(i + 1, 96, rng.randrange(2, 34))[i][1], "en", "a", None) for i in range(60)]
+    for rounds in (0, 4):
+        assert got(near_duplicates(data.table(spark, rows), hub_rounds=rounds)) == expected(rows)
+
+
+def test_a_hot_shingle_is_one_entry_of_a_chunk():
+    plan = ngram_join._Plan(5, 80, 4, 1 << 20)
+    texts = pa.record_batch({"doc_id": pa.array(range(300), pa.int64()), "text": pa.array([f"a b c d e u{i} v{i} w{i}".encode() for i in range(300)])})
+    sent = [*ngram_join._send(plan, task=lambda: 0)(iter([texts]))]
+    counts = Counter()
+    for b in sent:
+        for part, payload in zip(b["part"].to_pylist(), b["payload"].to_pylist()):
+            if part >= 0:
+                counts.update(_unpack(payload, 3)[2].tolist())
+    assert counts == {1: 900, 300: 1}
+
+
+def test_shingles_of_any_number_of_words(spark):
+    rows = [(1, " ".join(f"w{i}" for i in range(100)), "en", "a", None), (2, " ".join(f"w{i}" for i in range(100)) + " end", "en", "a", None), (3, "w1", "en", "a", None)]
+    out = {r.doc_id: r for r in near_duplicates(data.table(spark, rows), shingle=90, percent=80).collect()}
+    assert [out[i].n_shingles for i in (1, 2, 3)] == [11, 12, 1] and out[2].component_id == 1 and out[3].component_id == 3
+    long = b" ".join(b"w%d" % (i % 5000) for i in range(400_000))
+    assert len(long) > 2 * ngram_join.PIECE and len(shingle_hashes(long, 5)) == 5000
