@@ -8,6 +8,8 @@ all but the smallest of the hashes above the threshold.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -88,30 +90,46 @@ def _cell(doc_id: Column, bounds: list[int]) -> Column:
     return F.when(doc_id.isNull() | (upto == 0), F.lit(0)).otherwise((upto - 1) * side + inside)
 
 
+def _share(h: Column, parts: Column) -> Column:
+    """Which of `parts` equal ranges of the hash space h is in."""
+    return F.least(F.floor((h / F.lit(2.0**64) + 0.5) * parts), parts - 1).cast("int")
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, text, next_text): the text of the following row by ascending doc_id, the first row's after the last.
 
     Null ids come first; rows of one id are ordered by text hash. Texts are shuffled once, into groups of consecutive
     ids; the first row of each group also goes to the group before it. Where groups end does not change the result:
-    bounds are quantiles of ids drawn by hash, at most GROUPS longs on the driver.
+    bounds are quantiles of ids drawn by hash, at most GROUPS longs on the driver. An id, or null, that has very many rows
+    is dealt over groups by ranges of the text hash.
     """
-    ids = docs.select("doc_id").filter("doc_id is not null")
-    total = ids.count()
-    n = max(1, min(GROUPS, total // GROUP_ROWS))
+    spark = docs.sparkSession
+    counts = docs.agg(F.count("doc_id").alias("known"), F.count(F.lit(1)).alias("rows")).first()
+    n = max(1, min(GROUPS, counts.known // GROUP_ROWS))
+    null_parts = max(1, min(GROUPS, (counts.rows - counts.known) // GROUP_ROWS))
     bounds: list[int] = []
+    spans: dict[int, int] = {}
     if n > 1:
         # quantiles of about SAMPLED ids for each group: a task's share of these is small, however many tasks there are
-        got = drawn(ids, "doc_id", SAMPLED * n).agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n).alias("q")).first().q
-        bounds = sorted(set(got))
+        picked = drawn(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("k")).filter("doc_id is not null"), "k", SAMPLED * n)
+        got = picked.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n).alias("q")).first().q or []
+        spans = {v: k for v, k in Counter(got).items() if k > 1}  # an id that is several quantiles has about so many groups of rows
+        bounds = sorted({*got, *(v + 1 for v in spans if v < (1 << 63) - 1)})
     cell = _cell(F.col("doc_id"), bounds)
-    base = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), cell.cast("int").alias("cell"))
-    firsts = docs.select("doc_id", cell.cast("int").alias("cell")).groupBy("cell").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id")).alias("m")).orderBy("cell").collect()
-    lead_to = {row.cell: firsts[i - 1].cell for i, row in enumerate(firsts)}  # at most GROUPS rows
-    starts = docs.sparkSession.createDataFrame([(r.cell, r.m.doc_id, lead_to[r.cell]) for r in firsts], "c int, least bigint, before int")
-    base = base.join(F.broadcast(starts), F.col("cell") == F.col("c"))
-    is_first = F.col("doc_id").eqNullSafe(F.col("least"))
+    parts = F.lit(1)
+    if spans:
+        each = [1, *(spans.get(v, 1) for v in bounds)]
+        parts = F.get(F.split(F.lit(",".join(map(str, each))), ",").cast("array<int>"), cell.cast("int"))
+    null = F.col("doc_id").isNull()
+    base = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.when(null, -1).otherwise(cell).cast("int").alias("cell"), F.when(null, null_parts).otherwise(parts).alias("parts"))
+    base = base.select("doc_id", "text", "h", "cell", _share(F.col("h"), F.col("parts")).alias("sub"))
+    order = F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "h")
+    firsts = base.groupBy("cell", "sub").agg(F.min(order).alias("m")).orderBy("cell", "sub").collect()  # at most about 3 * GROUPS rows
+    starts = spark.createDataFrame([(r.cell, r.sub, r.m.doc_id, r.m.h, i, (i - 1) % len(firsts)) for i, r in enumerate(firsts)], "c int, s int, least bigint, least_h bigint, g int, before int")
+    base = base.join(F.broadcast(starts), (F.col("cell") == F.col("c")) & (F.col("sub") == F.col("s")))
+    is_first = F.col("doc_id").eqNullSafe(F.col("least")) & (F.col("h") == F.col("least_h"))
     copy = F.struct(F.col("before").alias("g"), F.lit(1).alias("copy"))
-    own = F.struct(F.col("cell").alias("g"), F.lit(0).alias("copy"))
+    own = F.struct("g", F.lit(0).alias("copy"))
     spread = base.select("doc_id", "text", "h", F.explode(F.when(is_first, F.array(own, copy)).otherwise(F.array(own))).alias("x"))
     w = Window.partitionBy("x.g").orderBy("x.copy", F.col("doc_id").asc_nulls_first(), "h")
     return spread.withColumn("next_text", F.lead("text").over(w)).filter("x.copy = 0").select("doc_id", "text", "next_text")

@@ -1,7 +1,9 @@
 import hashlib
+import re
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from gleanery.llm import fingerprints as module
@@ -9,9 +11,17 @@ from gleanery.llm.fingerprints import containment, encode, fingerprints, jaccard
 from tests.llm import data
 
 
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def text_hash(text):
+    return signed(xxhash.xxh64_intdigest(text.encode(), 42))
+
+
 def expected(rows):
-    """(doc_id, n_chars, edited_sha256), without rows whose neighbour is a matter of hash order."""
-    ordered = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (r[0] is not None, r[0] or 0))
+    """(doc_id, n_chars, edited_sha256); rows of one id go by text hash."""
+    ordered = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, text_hash(r[1])))
     out = Counter()
     for (i, text), (_, after) in zip(ordered, ordered[1:] + ordered[:1]):
         half = len(text) // 2
@@ -29,6 +39,45 @@ def test_edits(spark, make, group, monkeypatch):
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
 
 
+def plain_sketch(text, scale=module.SCALE):
+    """A text's fingerprint by plain Python: chained hashes of words, those below the threshold or the least."""
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)) if w]
+    hashes = set()
+    for i in range(max(1, len(words) - 4) if words else 0):
+        h = 42
+        for w in words[i : i + 5]:
+            h = xxhash.xxh64_intdigest(w.encode(), h)
+        hashes.add(signed(h))
+    low = {h for h in hashes if h < -(1 << 63) + (1 << 64) // scale}
+    return low or ({min(hashes)} if hashes else set())
+
+
+def likeness(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+@pytest.mark.parametrize("scale", [module.SCALE, 2])
+def test_sketches_and_likeness_equal_brute_force(spark, scale):
+    rows = data.rows()
+    ordered = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, text_hash(r[1])))
+    want, hexed = Counter(), lambda s: "".join(f"{h & (1 << 64) - 1:016X}" for h in sorted(s))
+    for (i, text), (_, after) in zip(ordered, ordered[1:] + ordered[:1]):
+        edit = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+        a, b, c = (plain_sketch(t, scale) for t in (text, edit, after))
+        want[i, hexed(a), hexed(b), round(likeness(a, b), 9), round(likeness(a, c), 9)] += 1
+    out = fingerprints(data.documents(spark), scale=scale).collect()
+    assert Counter((r.doc_id, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in out) == want
+
+
+def test_an_id_of_many_rows_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(module, "GROUP_ROWS", 20)
+    rows = [(i, data.prose(i, 6), "", "", 1) for i in range(100)]
+    rows += [(50, data.prose(1000 + i, 6), "", "", 1) for i in range(200)] + [(None, data.prose(2000 + i, 6), "", "", 1) for i in range(200)]
+    docs = data.table(spark, rows)
+    out = fingerprints(docs).collect()
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in out) == expected(rows)
+
+
 def test_equal_texts_equal_fingerprints(spark):
     texts = {}
     ids = {r[0]: r[1] for r in data.rows() if r[0] is not None}
