@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,16 +16,22 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BROADCAST_BYTES = 64 << 20
 
 
+#: Folders of sessions that name none: a local session's own temporary one.
+_OWN: dict[str, str] = {}
+_OPEN: list[list[Scratch]] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local session without it gets a temporary folder of its own."""
+    """The folder named by spark.checkpoint.dir; a session on one machine without it gets a temporary folder of its own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
-    if not spark.sparkContext.master.startswith("local"):
+    app = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", app.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    path = "file://" + tempfile.mkdtemp(prefix="gleanery-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if app.applicationId not in _OWN:
+        _OWN[app.applicationId] = "file://" + tempfile.mkdtemp(prefix="gleanery-")
+    return _OWN[app.applicationId]
 
 
 class Scratch:
@@ -34,24 +41,46 @@ class Scratch:
         self.spark = spark
         self.names: set[str] = set()
         self.root = f"{shared_folder(spark).rstrip('/')}/gleanery-{uuid.uuid4().hex}"
+        for some in _OPEN:
+            some.append(self)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         self.names.add(name)
         df.write.option("compression", "zstd").parquet(path := f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _delete(self, path: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
     def drop(self, *names: str) -> None:
         """Deletes tables that nothing lazy reads any more."""
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            self._delete(f"{self.root}/{name}")
             self.names.discard(name)
 
     def keep(self, *names: str) -> None:
         """Deletes all tables but these."""
         self.drop(*(self.names - set(names)))
 
+    def close(self) -> None:
+        """Deletes all tables and their folder."""
+        self._delete(self.root)
+        self.names.clear()
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """All scratch tables that operators make inside go at the end: what is to stay must be written elsewhere by then."""
+    made: list[Scratch] = []
+    _OPEN.append(made)
+    try:
+        yield
+    finally:
+        _OPEN.remove(made)
+        for scratch in made:
+            scratch.close()
+
 
 def settled(df: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """df if a task that runs again is sure to see the same rows in the same order: a scan; all else is stored first."""

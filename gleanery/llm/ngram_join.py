@@ -454,7 +454,13 @@ def _candidates(records: DataFrame, classes: DataFrame, percent: int, scratch: S
 
 
 def similar_pairs(docs: DataFrame, shingle: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """All links between different texts: (a, b, similarity) between representatives, and (doc_id, representative)."""
+    """All links between different sets of shingles: (a, b, similarity) between representatives, and (doc_id, representative).
+
+    Rows of equal sets have one representative, the smallest doc_id among them; a set that only null ids have has null.
+    Null, empty and wordless texts are in neither result; rows that repeat are members again; other columns are ignored;
+    no rows give no rows. In a group of near copies all pairs are links: near_duplicates gives components without them.
+    """
+    missing(docs, ("doc_id", "text"))
     scratch = Scratch(docs.sparkSession)
     records = _records(docs, shingle, percent, scratch)
     classes = scratch.table(records.filter("n > 0").groupBy("d0", "d1").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("least")), "classes")

@@ -1,8 +1,9 @@
+import os
 from collections import Counter
 
 import pytest
 
-from gleanery.llm.common import Scratch
+from gleanery.llm.common import Scratch, shared_folder
 from tests.llm import data
 from tests.llm.test_decontaminate import ITEMS
 from tests.llm.test_models import LABELS, corpus
@@ -42,7 +43,10 @@ def test_stages_take_effect(spark):
     assert set(single) - set(safe) == {3000}
     assert set(mixed) <= set(safe) and all(0 < r.taken <= 2 * r["size"] for r in mixed.values())
     assert Counter(r.source for r in mixed.values()).keys() == {"s", "t"}
+    made = lambda: {*os.listdir(shared_folder(spark).removeprefix("file://"))}
+    before = made()
     out = p.run(spark, sf)
+    assert len(made() - before) == 1  # the result; what the stages wrote on their way is gone
     assert {tuple(r) for r in out.collect()} == {tuple(r) for r in mixed.values()}
     assert all(r.text == safe[i].text and r.taken == r["size"] * r.repeats for i, r in mixed.items())
 
