@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm import decontaminate, line_dedup, mixing, ngram_join, toxicity
-from gleanery.llm.common import Scratch
+from gleanery.llm.common import Scratch, temporary
 
 #: Stages that score or search cannot be said in SQL; tests hold each stage against brute force instead.
 ORACLE_SQL = None
@@ -52,11 +52,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what one stage leaves is a table in the shared folder before the next reads it."""
+    """All stages over documents; what one stage leaves is a table in the shared folder before the next reads it.
+
+    The last stage's table stays in that folder; all others, and what operators wrote on their way, are deleted.
+    """
     scratch = Scratch(spark)
     docs = _table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = scratch.table(stage(spark, docs, sf_dir), f"{k}-{name}")
+        with temporary():
+            docs = scratch.table(stage(spark, docs, sf_dir), f"{k}-{name}")
         if k:
             scratch.drop(f"{k - 1}-{STAGES[k - 1][0]}")
     return docs
