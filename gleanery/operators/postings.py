@@ -22,6 +22,14 @@ def postings(docs: DataFrame) -> DataFrame:
     return out.withColumn("tf", F.size("positions"))
 
 
+def sized_postings(docs: DataFrame) -> DataFrame:
+    """The same with doc_len, the number of tokens of the document."""
+    rows = computed(docs, ["doc_id"], t=index_tokens(F.col("text")))
+    rows = rows.select("doc_id", F.size("t").alias("doc_len"), F.posexplode("t").alias("pos", "term"))
+    out = rows.groupBy("term", "doc_id").agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.max("doc_len").cast("long").alias("doc_len"))
+    return out.select("term", "doc_id", "positions", F.size("positions").alias("tf"), "doc_len")
+
+
 def doc_lengths(docs: DataFrame) -> DataFrame:
     """(doc_id, doc_len): number of tokens; no shuffle."""
     return docs.select("doc_id", F.size(index_tokens(F.col("text"))).cast("long").alias("doc_len"))

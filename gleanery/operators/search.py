@@ -10,11 +10,13 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.functions.plan import computed
 from gleanery.functions.text import index_tokens
+from gleanery.operators.postings import sized_postings
+from gleanery.sources import files
 
 K1, B = 1.5, 0.75
 #: NEAR distances up to which a probe of all offsets is cheaper than a comparison of all pairs.
@@ -238,24 +240,63 @@ def _term_row(docs: DataFrame, terms: list[str]) -> DataFrame:
     return computed(rows, ["doc_id"], doc_len=F.size("t").cast("long"), **{f"p{i}": at(w) for i, w in enumerate(terms)})
 
 
-def _posting_row(posts: DataFrame, lengths: DataFrame, terms: list[str]) -> DataFrame:
-    """The same from postings and document lengths: only the terms' lists are read, one grouping by document."""
-    rows = posts.filter(F.col("term").isin(terms)).groupBy("doc_id")
-    rows = rows.agg(*(F.max(F.when(F.col("term") == w, F.col("positions"))).alias(f"p{i}") for i, w in enumerate(terms)))
-    return rows.join(lengths, "doc_id")
+def _posting_row(posts: DataFrame, terms: list[str]) -> DataFrame:
+    """The same from postings with document lengths: only the terms' lists are read, one grouping by document."""
+    rows = posts.filter(F.col("term").isin(terms))
+    if len(terms) == 1:
+        return rows.select("doc_id", "doc_len", F.col("positions").alias("p0"))
+    lists = (F.max(F.when(F.col("term") == w, F.col("positions"))).alias(f"p{i}") for i, w in enumerate(terms))
+    return rows.groupBy("doc_id").agg(F.max("doc_len").alias("doc_len"), *lists)
 
 
 class Engine:
-    """Search over documents (doc_id, text, maybe title), or over stored postings and lengths."""
-
-    def __init__(self, docs: DataFrame, posts: DataFrame | None = None, lengths: DataFrame | None = None):
-        self.docs, self.posts, self.lengths = docs, posts, lengths
+    """Search over documents (doc_id, text, maybe title), or over stored postings and totals; see open()."""
+
+    def __init__(self, docs: DataFrame, posts: DataFrame | None = None, totals: DataFrame | None = None, path: str | None = None):
+        self.docs, self.posts, self.totals, self.path = docs, posts, totals, path
+        self.buckets: int | None = None
+
+    @classmethod
+    def build(cls, docs: DataFrame, path: str, buckets: int = 16) -> Engine:
+        """Writes an index of docs to path and opens it."""
+        files.write_index(docs, path, buckets)
+        return cls.open(docs.sparkSession, path)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> Engine:
+        """An index that was written; a query reads only the folders of its terms' buckets."""
+        posts, totals, docs = files.read_index(spark, path)
+        out = cls(docs, posts, totals, path)
+        out.buckets = files.index_buckets(spark, path)
+        return out
+
+    def add(self, docs: DataFrame) -> None:
+        """Adds documents with new ids: to the stored index, or to the documents that are searched."""
+        if self.path is not None:
+            files.append_index(docs, self.path)
+            new = Engine.open(docs.sparkSession, self.path)
+            self.docs, self.posts, self.totals = new.docs, new.posts, new.totals
+            return
+        if self.posts is not None:
+            raise ValueError("postings that are not stored can't grow")
+        self.docs = self.docs.unionByName(docs, allowMissingColumns=True)
+
+    def _lists(self, terms: list[str]) -> DataFrame:
+        """The postings where the terms' lists are: their buckets are constants, so only their folders are read."""
+        if self.buckets is None:
+            return self.posts
+        return self.posts.filter(F.col("bucket").isin(*(F.pmod(F.xxhash64(F.lit(w)), F.lit(self.buckets)).cast("int") for w in terms)))
+
+    def postings(self, term: str) -> DataFrame:
+        """(term, doc_id, positions, tf, doc_len) of one term."""
+        posts = self._lists([term]) if self.posts is not None else sized_postings(self.docs)
+        return posts.filter(F.col("term") == term).select("term", "doc_id", "positions", "tf", "doc_len")
 
     def _rows(self, terms: list[str]) -> DataFrame:
         if not terms:
             return self.docs.select("doc_id", F.lit(0).cast("long").alias("doc_len")).filter(F.lit(False))
-        if self.posts is not None and self.lengths is not None:
-            return _posting_row(self.posts, self.lengths, terms)
+        if self.posts is not None:
+            return _posting_row(self._lists(terms), terms)
         return _term_row(self.docs, terms)
 
     def _compiled(self, query: str) -> Compiled:
@@ -275,9 +316,9 @@ class Engine:
 
     def _stats(self, terms: list[str]) -> DataFrame:
         """One row: n, avg and the document frequency of each term, over the whole corpus."""
-        if self.posts is not None and self.lengths is not None:
-            n = self.lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avg"))
-            df = self.posts.filter(F.col("term").isin(terms)).agg(*(F.count(F.when(F.col("term") == w, 1)).alias(f"df{i}") for i, w in enumerate(terms)))
+        if self.posts is not None and self.totals is not None:
+            n = self.totals.agg(F.sum("n_docs").alias("n"), (F.sum("total_tokens") / F.sum("n_docs")).alias("avg"))
+            df = self._lists(terms).filter(F.col("term").isin(terms)).agg(*(F.count(F.when(F.col("term") == w, 1)).alias(f"df{i}") for i, w in enumerate(terms)))
             return n.crossJoin(df)  # one row by one row
         rows = computed(self.docs, [], t=index_tokens(F.col("text")))
         return rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("avg"), *(F.count(F.when(F.array_contains("t", w), 1)).alias(f"df{i}") for i, w in enumerate(terms)))

@@ -20,6 +20,8 @@ ORACLES["term_stats"] = f"WITH {TOK} SELECT term, count(*) AS df, sum(tf)::BIGIN
 ORACLES["term_df_top"] = ORACLES["term_stats"] + " ORDER BY df DESC, term LIMIT 50"
 ORACLES["postings_all"] = f"WITH {TOK} SELECT term, doc_id, tf::INT AS tf, array_to_string(positions, ' ') AS positions FROM post"
 ORACLES["postings_by_term"] = ORACLES["postings_all"] + " WHERE term = 'the'"
+ORACLES["index_build"] = f"WITH {TOK} SELECT (SELECT count(*) FROM d) AS n_docs, (SELECT count(*) FROM tok) AS total_tokens, (SELECT count(*) FROM post) AS postings, (SELECT count(*) FROM tok) AS positions, (SELECT count(DISTINCT term) FROM post) AS terms, (SELECT count(*) FROM d) AS documents"
+ORACLES["term_positions"] = f"WITH {TOK} SELECT array_to_string(positions, ' ') AS positions FROM post WHERE term = 'en' AND doc_id = 0"
 ORACLES["term_frequency"] = f"WITH {TOK} SELECT coalesce(max(tf), 0)::INT AS tf FROM post WHERE term = 'the' AND doc_id = 7"
 ORACLES["document_lookup"] = "SELECT doc_id, '' AS title, coalesce(text, '') AS text FROM documents WHERE doc_id = 7"
 ORACLES["title_fallback"] = "SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND coalesce(source, '') <> '' THEN source ELSE 'Document #' || doc_id END AS title FROM documents"
@@ -120,7 +122,9 @@ ORACLES["bm25_term"] = _bm25("the", ["the"])
 ORACLES["bm25_or"] = _bm25(("or", ("or", "idiot", "clown"), "heention"), ["idiot", "clown", "heention"])
 ORACLES["bm25_and_not_leak"] = _bm25(LEAK, ["the", "of", "worthless"])
 ORACLES["bm25_complex"] = _bm25(COMPLEX, ["the", "of", "to"])
-ORACLES["bm25_postings"] = ORACLES["bm25_complex"]
+ORACLES["bm25_documents"] = ORACLES["bm25_complex"]
+ORACLES["search_after_add"] = ORACLES["bm25_complex"]
+ORACLES["search_documents"] = ORACLES["search_near_and_not"]
 ORACLES["bm25_topk"] = _bm25(("and", "the", "of"), ["the", "of"], " ORDER BY s DESC, doc_id LIMIT 10")
 ORACLES["score_bar"] = "SELECT doc_id, score, floor(10 * score / max(score) OVER ())::BIGINT AS bar FROM (" + _bm25(("and", "the", "of"), ["the", "of"]) + ") ORDER BY score DESC, doc_id LIMIT 20 OFFSET 5"
 
@@ -197,14 +201,33 @@ def _mix(source: str, column: str, keep: str) -> str:
 
 SIGNED = "CASE WHEN {0} >= 9223372036854775808::UHUGEINT THEN ({0}::HUGEINT - 18446744073709551616::HUGEINT)::BIGINT ELSE {0}::BIGINT END"
 SEEDS = _mix(f"(SELECT i, ((i + 2)::UHUGEINT * 11400714819323198485::UHUGEINT) % {TWO64} AS x FROM range(64) r(i))", "x", "i")
-SIGS = f"""s AS ({_shingles('benchmark', 'item_id')}), h AS MATERIALIZED (SELECT item_id, {_fnv('s')} AS h FROM s),
+
+
+def _sigs(source: str, key: str) -> str:
+    """sig(key, i, x): minima for each seed; each distinct shingle is hashed and mixed once."""
+    return f"""s AS MATERIALIZED ({_shingles(source, key)}), u AS MATERIALIZED (SELECT s, {_fnv('s')} AS h FROM (SELECT DISTINCT s FROM s)),
 seed AS MATERIALIZED ({SEEDS}),
-m AS ({_mix('(SELECT item_id, i, xor(h, seed.x) AS x FROM h, seed)', 'x', 'item_id, i')}),
-sig AS MATERIALIZED (SELECT item_id, i, min(x) AS x FROM m GROUP BY item_id, i)"""
-ORACLES["minhash_signature"] = f"WITH {SIGS} SELECT item_id, string_agg(({SIGNED.format('x')})::VARCHAR, ' ' ORDER BY i) AS signature FROM sig GROUP BY item_id"
-ORACLES["lsh_buckets"] = f"""WITH {SIGS}, z AS ({_mix('sig', 'x', 'item_id, i')}),
-k AS (SELECT item_id, (i // 8)::INT AS band, list_reduce(list_prepend(1469598103934665603::UHUGEINT, list(x ORDER BY i)), lambda h, v: (xor(h, v) * 1099511628211::UHUGEINT) % {TWO64}) AS x FROM z GROUP BY ALL)
-SELECT band, {SIGNED.format('x')} AS bucket_key, item_id FROM k"""
+m AS MATERIALIZED (SELECT s, list(x ORDER BY i) AS xs FROM ({_mix('(SELECT s, i, xor(h, seed.x) AS x FROM u, seed)', 'x', 's, i')}) GROUP BY s),
+sig AS MATERIALIZED (SELECT {key}, i, min(xs[i + 1]) AS x FROM s JOIN m USING (s), range(64) r(i) GROUP BY {key}, i)"""
+
+
+def _bands(source: str, key: str) -> str:
+    return f"""{_sigs(source, key)}, z AS ({_mix('sig', 'x', f'{key}, i')}),
+k AS MATERIALIZED (SELECT {key}, (i // 8)::INT AS band, list_reduce(list_prepend(1469598103934665603::UHUGEINT, list(x ORDER BY i)), lambda h, v: (xor(h, v) * 1099511628211::UHUGEINT) % {TWO64}) AS x FROM z GROUP BY ALL)"""
+
+
+def _signatures(source: str, key: str) -> str:
+    return f"WITH {_sigs(source, key)} SELECT {key}, string_agg(({SIGNED.format('x')})::VARCHAR, ' ' ORDER BY i) AS signature FROM sig GROUP BY {key}"
+
+
+ORACLES["minhash_signature"] = _signatures("documents", "doc_id")
+ORACLES["lsh_buckets"] = f"WITH {_bands('documents', 'doc_id')} SELECT band, {SIGNED.format('x')} AS bucket_key, doc_id FROM k"
+ORACLES["lsh_stats"] = f"WITH {_bands('documents', 'doc_id')} SELECT (SELECT count(*) FROM documents) AS documents, count(*) AS buckets, 8 AS bands, 64 AS hashes, 2 AS shingle FROM (SELECT DISTINCT band, x FROM k)"
+PAIRS = f"{_bands('documents', 'doc_id')}, pairs AS MATERIALIZED (SELECT DISTINCT a.doc_id AS query_id, b.doc_id FROM k a JOIN k b ON a.band = b.band AND a.x = b.x WHERE a.doc_id % 20 = 0)"
+ORACLES["lsh_candidates"] = f"WITH {PAIRS} SELECT query_id, doc_id FROM pairs"
+ORACLES["lsh_duplicates"] = f"""WITH {PAIRS}, n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT p.query_id, p.doc_id, count(*) AS c FROM pairs p JOIN s a ON a.doc_id = p.query_id JOIN s b ON b.doc_id = p.doc_id AND b.s = a.s GROUP BY ALL)
+SELECT query_id, c.doc_id, round(c / (x.n + y.n - c), 6) AS score FROM c JOIN n x ON x.doc_id = query_id JOIN n y ON y.doc_id = c.doc_id WHERE c / (x.n + y.n - c) >= 0.8"""
 ORACLES["fnv_hashes"] = f"SELECT c_custkey, {SIGNED.format('x')} AS h FROM (SELECT c_custkey, {_fnv('c_mktsegment')} AS x FROM customer)"
 
 # ---- vectors
@@ -236,8 +259,9 @@ ORACLES["kv_insert_strict"] = f"{INSERT} SELECT key, value, CASE WHEN ok THEN 'i
 ORACLES["kv_insert_table"] = f"{INSERT} SELECT key, value FROM c UNION ALL SELECT key, value FROM r WHERE ok"
 ORACLES["kv_update_strict"] = f"WITH {KV} SELECT o.key, o.value, CASE WHEN c.key IS NULL THEN 'missing' ELSE 'updated' END AS status FROM o LEFT JOIN c USING (key)"
 ORACLES["kv_update_table"] = f"WITH {KV} SELECT c.key, coalesce(m.value, c.value) AS value FROM c LEFT JOIN (SELECT key, max(value) AS value FROM o GROUP BY key) m USING (key)"
-ORACLES["kv_delete"] = f"WITH {KV} SELECT key, value FROM c WHERE key NOT IN (SELECT key FROM o)"
-ORACLES["kv_delete_report"] = f"WITH {KV} SELECT key, key IN (SELECT key FROM c) AS existed FROM (SELECT DISTINCT key FROM o)"
+ORACLES["kv_delete"] = f"WITH {KV} SELECT key, value FROM c WHERE key NOT IN (SELECT key FROM o WHERE key % 2 = 0)"
+ORACLES["kv_delete_report"] = f"WITH {KV} SELECT key, key IN (SELECT key FROM c) AS existed FROM (SELECT DISTINCT key FROM o WHERE key % 2 = 0)"
+ORACLES["table_file"] = ORACLES["kv_delete"]
 ORACLES["kv_counts"] = f"WITH {KV} SELECT count(*) AS rows, count(DISTINCT key) AS keys FROM o"
 ORACLES["kv_replay"] = """WITH RECURSIVE o AS (SELECT user_id AS key, value, CASE event_type WHEN 'signup' THEN 'insert' WHEN 'purchase' THEN 'insert' WHEN 'click' THEN 'update' WHEN 'error' THEN 'delete' ELSE 'get' END AS op,
   row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
@@ -259,6 +283,54 @@ leaf AS (SELECT max(n) AS most FROM nodes l WHERE n <= 64 AND (d = 0 OR EXISTS (
 SELECT (SELECT count(*) FROM h) AS size, (SELECT count(*) + 1 FROM split) AS buckets, (SELECT coalesce(max(d), -1) + 1 FROM split)::INT AS global_depth, 64 AS capacity, coalesce(most, 0) AS max_load FROM leaf"""
 ORACLES["perfect_lookup"] = "SELECT k.key, n_nationkey::DOUBLE AS value, n_name IS NOT NULL AS found FROM (SELECT n_name AS key FROM nation UNION ALL SELECT r_name FROM region) k LEFT JOIN nation ON n_name = k.key"
 
+PRE = f"list_reduce(list_prepend(0::UHUGEINT, list_transform(range(0, octet_length(encode(key))), lambda i: (('0x' || substr(hex(encode(key)), 2 * i::INT + 1, 2))::INT)::UHUGEINT)), lambda h, b: (h * 2654435769::UHUGEINT + CASE WHEN b >= 128 THEN b + 18446744073709551360::UHUGEINT ELSE b END) % {TWO64})"
+SHORT = _fnv("key").replace("14695981039346656037", "1469598103934665603")
+
+
+def _fmix(source: str, column: str, keep: str) -> str:
+    a = f"SELECT {keep}, (xor({column}, {column} >> 33) * 18397679294719823053::UHUGEINT) % {TWO64} AS {column} FROM {source}"
+    b = f"SELECT {keep}, (xor({column}, {column} >> 33) * 14181476777654086739::UHUGEINT) % {TWO64} AS {column} FROM ({a})"
+    return f"SELECT {keep}, xor({column}, {column} >> 33) AS {column} FROM ({b})"
+
+
+def _all_hashes(source: str) -> str:
+    """hashes(key, pre, short, sp, fp, ss, fs): of the strings `key` of a subselect, unsigned."""
+    plus = f"(SELECT key, (x + 11400714819323198485::UHUGEINT) % {TWO64} AS x FROM {{0}})"
+    return f"""raw AS MATERIALIZED (SELECT key, {PRE} AS pre, {SHORT} AS short FROM ({source})),
+p AS (SELECT key, pre AS x FROM raw), q AS (SELECT key, short AS x FROM raw),
+sp AS ({_mix(plus.format('p'), 'x', 'key')}), ss AS ({_mix(plus.format('q'), 'x', 'key')}), fp AS ({_fmix('p', 'x', 'key')}), fs AS ({_fmix('q', 'x', 'key')}),
+hashes AS MATERIALIZED (SELECT key, pre, short, sp.x AS sp, fp.x AS fp, ss.x AS ss, fs.x AS fs FROM raw JOIN sp USING (key) JOIN fp USING (key) JOIN ss USING (key) JOIN fs USING (key))"""
+
+
+def _slots(size: str) -> str:
+    n = f"({size})::UHUGEINT"
+    mad = [f"((pre * {a}::UHUGEINT + {b}) % {TWO64}) % {n}" for a, b in ((314159265, 271828183), (161803399, 141421357))]
+    plain = [f"{x} % {n}" for x in ("sp", "fp", "ss")]
+    universal = [f"(({x} * {a}::UHUGEINT + {b}) % {p}::UHUGEINT) % {n}" for x, (a, b, p) in (("pre", (11995408973635179863, 10150724397891781847, 2305843009213693951)), ("sp", (6364136223846793005, 1442695040888963407, 9223372036854775783)), ("fs", (3202034522624059733, 3935559000370003845, 18446744073709551557)))]
+    return f"[{', '.join(f'({x})::BIGINT' for x in mad + plain + universal)}]"
+
+
+ORACLES["hash_functions"] = f"""WITH {_all_hashes('SELECT DISTINCT c_name AS key FROM customer')}
+SELECT c_custkey, {SIGNED.format('pre')} AS prehash, {SIGNED.format('sp')} AS splitmix, {SIGNED.format('fp')} AS fmix, {SIGNED.format('short')} AS short, array_to_string({_slots('1009')}, ' ') AS slots FROM customer JOIN hashes ON key = c_name"""
+PRIMES = "primes AS MATERIALIZED (SELECT n FROM range(2, 20000) r(n) WHERE NOT EXISTS (SELECT 1 FROM range(2, 142) d(k) WHERE k < n AND n % k = 0))"
+ORACLES["perfect_hash_slots"] = f"""WITH RECURSIVE {PRIMES}, {_all_hashes('SELECT n_name AS key FROM nation')},
+sizes AS (
+  SELECT 1 AS turn, (SELECT min(n) FROM primes WHERE n > greatest(2, 2 * (SELECT count(*) FROM nation) + 1)) AS size
+  UNION ALL
+  SELECT turn + 1, (SELECT min(n) FROM primes WHERE n > 2 * size + 1) FROM sizes WHERE turn < 7
+),
+tried AS (SELECT key, turn, size, unnest({_slots('size')}) AS slot, unnest(range(8)) AS hash FROM hashes, sizes),
+good AS (SELECT turn, hash FROM tried GROUP BY turn, hash HAVING count(DISTINCT slot) = count(*) ORDER BY turn, hash LIMIT 1)
+SELECT key, n_nationkey::DOUBLE AS value, slot, size::BIGINT AS size, hash::INT AS hash FROM tried JOIN good USING (turn, hash) JOIN nation ON n_name = key"""
+
+# ---- readers and writers
+
+ORACLES["points_csv"] = "SELECT p_retailprice AS x, p_size::DOUBLE AS y FROM part"
+ORACLES["points_csv_lenient"] = ORACLES["points_csv"] + " WHERE p_partkey % 10 <> 3"
+ORACLES["pairs_csv"] = "SELECT c_name || ',' || c_mktsegment AS key, c_acctbal AS value FROM customer"
+ORACLES["vectors_text"] = f"SELECT count(*) AS vectors, round(sum({DOT.format('embedding', 'embedding')}), 3) AS squares, max(len(embedding))::INT AS d FROM embeddings"
+ORACLES["file_listing"] = "SELECT n_regionkey::BIGINT AS region, count(*) AS lines, row_number() OVER (ORDER BY n_regionkey) <= count(*) OVER () / 2 AS preselected FROM nation GROUP BY n_regionkey"
+
 # ---- maps over an event log
 
 ORACLES["map_put_last"] = "SELECT user_id::VARCHAR AS key, arg_max(event_type, event_id) AS value FROM events GROUP BY user_id"
@@ -281,9 +353,16 @@ def _clean(x: str) -> str:
     return f"trim({x}, ' ')"
 
 
+ORACLES["wiki_articles"] = f"""SELECT id, title, sha256(text) AS digest FROM (SELECT page_id::VARCHAR AS id, 'Page ' || page_id AS title, {_clean('html')} AS text FROM pages
+WHERE page_id % 3 = 0 AND html <> '' AND NOT starts_with(html, '#REDIRECT') AND NOT starts_with(html, '#redirect')) WHERE text <> ''"""
 ORACLES["clean_markup"] = f"SELECT page_id, {_clean('html')} AS text FROM pages"
 ORACLES["article_filter"] = "SELECT page_id FROM pages WHERE page_id % 3 = 0 AND page_id % 5 <> 0 AND html <> '' AND NOT starts_with(html, '#REDIRECT') AND NOT starts_with(html, '#redirect')"
 N2 = "(o_orderkey * o_orderkey)"
 ORACLES["format_sizes"] = f"""SELECT o_orderkey, CASE WHEN {N2} >= 1073741824 THEN printf('%.1f GB', {N2} / 1073741824.0::DOUBLE) WHEN {N2} >= 1048576 THEN printf('%.1f MB', {N2} / 1048576.0::DOUBLE) WHEN {N2} >= 1024 THEN printf('%.1f KB', {N2} / 1024.0::DOUBLE) ELSE printf('%d B', {N2}) END AS bytes,
 replace(format('{{:,}}', {N2}), ',', ' ') AS count FROM orders"""
+ORACLES["wrapped_lines"] = """WITH p AS (SELECT item_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM benchmark),
+w AS (SELECT item_id, i, list_filter(regexp_split_to_array(p, '\\s+'), lambda x: x <> '') AS w FROM p),
+j AS (SELECT item_id, i, CASE WHEN len(w) = 0 THEN '' ELSE list_reduce(w, lambda a, x: CASE WHEN octet_length(encode(list_last(string_split(a, chr(10))))) + 1 + octet_length(encode(x)) <= 60 THEN a || ' ' || x ELSE a || chr(10) || x END) END AS t FROM w),
+l AS (SELECT item_id, unnest(string_split(string_agg(t, chr(10) ORDER BY i), chr(10))) AS text, unnest(range(len(string_split(string_agg(t, chr(10) ORDER BY i), chr(10))))) AS line FROM j GROUP BY item_id)
+SELECT item_id, line::BIGINT AS line, text FROM l"""
 ORACLES["ci95_by_type"] = """SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(1.96 * stddev_samp(value) / sqrt(count(value)), 6) AS ci95, round(1.96 * stddev_pop(value) / sqrt(count(value)), 6) AS ci95_population FROM events GROUP BY event_type"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleanery.functions import codec, text
-from gleanery.functions.hashing import fnv64, hash_key
-from gleanery.operators import geo, keyed, neardup, postings, search, sets, statistics, vectors
+from gleanery.functions.hashing import fnv64, hash_all, hash_key
+from gleanery.operators import geo, keyed, neardup, postings, search, sets, statistics, tables, vectors
+from gleanery.sources import files
 from gleanery.streaming import upsert
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,8 +57,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def _place(spark: SparkSession, what: str) -> str:
+    """A new folder that the driver and all executors share."""
+    return f"{files.shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def engine(spark: SparkSession, sf_dir: str) -> search.Engine:
+    """The stored index of a documents table, written when a session first asks for it."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _STORED:
+        path = _place(spark, "index")
+        files.write_index(table(spark, sf_dir, "documents"), path)
+        _STORED[key] = path
+    return search.Engine.open(spark, _STORED[key])
+
+
 def search_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.Engine(table(spark, sf_dir, "documents")).top("the AND of", 10)
+    return engine(spark, sf_dir).top("the AND of", 10)
 
 
 # ---- tokens, postings, statistics
@@ -95,19 +115,35 @@ def postings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("term", "doc_id", "tf", F.array_join("positions", " ").alias("positions"))
 
 
+@query
+def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new stored index, and what it holds."""
+    path = _place(spark, "index")
+    files.write_index(table(spark, sf_dir, "documents"), path)
+    posts, totals, docs = files.read_index(spark, path)
+    held = posts.agg(F.count(F.lit(1)).alias("postings"), F.sum("tf").alias("positions"), F.countDistinct("term").alias("terms"))
+    return totals.crossJoin(held).crossJoin(docs.agg(F.count(F.lit(1)).alias("documents")))  # one row each
+
+
 @query
 def postings_by_term(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return postings_all(spark, sf_dir).filter("term = 'the'")
+    p = engine(spark, sf_dir).postings("the")
+    return p.select("term", "doc_id", "tf", F.array_join("positions", " ").alias("positions"))
 
 
 @query
 def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return postings.term_frequency(postings.postings(table(spark, sf_dir, "documents")), "the", 7)
+    return postings.term_frequency(engine(spark, sf_dir).postings("the"), "the", 7)
+
+
+@query
+def term_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.positions(engine(spark, sf_dir).postings("en"), "en", 0).select(F.array_join("positions", " ").alias("positions"))
 
 
 @query
 def document_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return postings.lookup(table(spark, sf_dir, "documents"), 7)
+    return postings.lookup(engine(spark, sf_dir).docs, 7)
 
 
 @query
@@ -120,11 +156,11 @@ def title_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _searching(words: str) -> Query:
-    return lambda spark, sf_dir: search.Engine(table(spark, sf_dir, "documents")).evaluate(words)
+    return lambda spark, sf_dir: engine(spark, sf_dir).evaluate(words)
 
 
 def _ranking(words: str) -> Query:
-    return lambda spark, sf_dir: search.Engine(table(spark, sf_dir, "documents")).search(words).select("doc_id", F.round("score", 6).alias("score"))
+    return lambda spark, sf_dir: engine(spark, sf_dir).search(words).select("doc_id", F.round("score", 6).alias("score"))
 
 
 QUERIES |= {name: _searching(words) for name, words in SEARCHES.items()}
@@ -133,7 +169,7 @@ QUERIES |= {name: _ranking(words) for name, words in RANKED.items()}
 
 @query
 def search_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = search.Engine(table(spark, sf_dir, "documents")).positions(SEARCHES["search_near_nested"])
+    out = engine(spark, sf_dir).positions(SEARCHES["search_near_nested"])
     return out.select("doc_id", F.array_join("positions", " ").alias("positions"))
 
 
@@ -143,15 +179,29 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bm25_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over documents without an index."""
+    e = search.Engine(table(spark, sf_dir, "documents"))
+    return e.search(RANKED["bm25_complex"]).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query
+def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.Engine(table(spark, sf_dir, "documents")).evaluate(SEARCHES["search_near_and_not"])
+
+
+@query
+def search_after_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of the even ids to which the odd ones are added."""
     d = table(spark, sf_dir, "documents")
-    engine = search.Engine(d, postings.postings(d), postings.doc_lengths(d))
-    return engine.search(RANKED["bm25_complex"]).select("doc_id", F.round("score", 6).alias("score"))
+    e = search.Engine.build(d.filter("doc_id % 2 = 0"), _place(spark, "index"))
+    e.add(d.filter("doc_id % 2 = 1"))
+    return e.search(RANKED["bm25_complex"]).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query
 def score_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = search.Engine(table(spark, sf_dir, "documents")).page("the AND of", 5, 20)
+    out = engine(spark, sf_dir).page("the AND of", 5, 20)
     return out.select("doc_id", F.round("score", 6).alias("score"), F.col("bar").cast("long").alias("bar"))
 
 
@@ -159,8 +209,8 @@ def score_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lists(spark: SparkSession, sf_dir: str, *words: str) -> list[DataFrame]:
-    p = postings.postings(table(spark, sf_dir, "documents"))
-    return [p.filter(F.col("term") == w).select("doc_id", "positions") for w in words]
+    e = engine(spark, sf_dir)
+    return [e.postings(w).select("doc_id", "positions") for w in words]
 
 
 def _shown(df: DataFrame) -> DataFrame:
@@ -257,20 +307,19 @@ def jaccard_query_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def minhash_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = neardup.minhash(neardup.shingled(table(spark, sf_dir, "benchmark"), name="item_id"), name="item_id")
-    return s.select("item_id", F.array_join("signature", " ").alias("signature"))
-
-
-@query
-def lsh_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = neardup.minhash(neardup.shingled(table(spark, sf_dir, "benchmark"), name="item_id"), name="item_id")
-    return neardup.buckets(s, "item_id")
+    s = neardup.minhash(neardup.shingled(table(spark, sf_dir, "documents")))
+    return s.select("doc_id", F.array_join("signature", " ").alias("signature"))
 
 
 def _lsh_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.buckets(neardup.minhash(neardup.shingled(neardup.check_ids(table(spark, sf_dir, "documents")))))
 
 
+@query
+def lsh_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lsh_table(spark, sf_dir)
+
+
 @query
 def lsh_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.stats(_lsh_table(spark, sf_dir))
@@ -425,12 +474,12 @@ def kv_update_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def kv_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyed.delete(_customers(spark, sf_dir), _orders(spark, sf_dir))[0]
+    return keyed.delete(_customers(spark, sf_dir), _orders(spark, sf_dir).filter("key % 2 = 0"))[0]
 
 
 @query
 def kv_delete_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyed.delete(_customers(spark, sf_dir), _orders(spark, sf_dir))[1]
+    return keyed.delete(_customers(spark, sf_dir), _orders(spark, sf_dir).filter("key % 2 = 0"))[1]
 
 
 @query
@@ -460,6 +509,13 @@ def perfect_hash_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.perfect_slots(n)
 
 
+@query
+def hash_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hash of every customer's name, and its eight slots in a table of 1,009."""
+    out = table(spark, sf_dir, "customer").select("c_custkey", hash_all("c_name", 1009).alias("h"))
+    return out.select("c_custkey", "h.prehash", "h.splitmix", "h.fmix", "h.short", F.array_join("h.slots", " ").alias("slots"))
+
+
 @query
 def perfect_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("key"), F.col("n_nationkey").cast("double").alias("value"))
@@ -468,6 +524,75 @@ def perfect_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.get(slots, asked)
 
 
+# ---- readers and writers: what is written is read again
+
+
+@query
+def wiki_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages as a wiki dump; its articles as JSON lines, read again."""
+    p = table(spark, sf_dir, "pages")
+    title = F.concat(F.lit("Page "), "page_id")
+    dump = p.select(title.alias("title"), (F.col("page_id") % 3).cast("int").alias("ns"), F.col("page_id").cast("string").alias("id"), F.struct(F.col("html").alias("text")).alias("revision"))
+    path = _place(spark, "dump")
+    dump.write.option("rowTag", "page").option("compression", "bzip2").xml(path)
+    files.write_jsonl(files.articles(files.read_wiki_xml(spark, path)), f"{path}-lines")
+    return files.read_jsonl(spark, f"{path}-lines").select("id", "title", F.sha2("text", 256).alias("digest"))
+
+
+def _points_file(spark: SparkSession, sf_dir: str, bad: bool) -> str:
+    p, path = table(spark, sf_dir, "part"), _place(spark, "points")
+    line = F.concat(F.col("p_retailprice").cast("string"), F.lit(","), F.col("p_size").cast("string"))
+    p.select(F.when(F.lit(bad) & (F.col("p_partkey") % 10 == 3), F.lit("bad_line")).otherwise(line).alias("value")).write.text(path)
+    return path
+
+
+@query
+def points_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.read_points(spark, _points_file(spark, sf_dir, False))
+
+
+@query
+def points_csv_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.read_points_lenient(spark, _points_file(spark, sf_dir, True))
+
+
+@query
+def pairs_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer names with a comma in them, in several files, each with a header."""
+    path = _place(spark, "pairs")
+    c = table(spark, sf_dir, "customer").select(F.concat("c_name", F.lit(","), "c_mktsegment").alias("key"), F.col("c_acctbal").alias("value"))
+    c.repartition(3, "key").select(F.concat_ws(",", "key", F.col("value").cast("string")).alias("text,y")).write.option("header", True).option("quote", "").option("sep", "\t").csv(path)
+    return files.read_pairs(spark, path)
+
+
+@query
+def vectors_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, e = _place(spark, "vectors"), table(spark, sf_dir, "embeddings")
+    lines = e.select("vec_id", F.concat(F.lit("v"), "vec_id", F.lit(" "), F.array_join(F.col("embedding").cast("array<string>"), " ")).alias("value"))
+    head = e.agg(F.lit(-1).cast("long").alias("vec_id"), F.concat(F.count(F.lit(1)).cast("string"), F.lit(" "), F.max(F.size("embedding")).cast("string")).alias("value"))
+    # the format is one file
+    lines.unionAll(head).coalesce(1).sortWithinPartitions("vec_id").select("value").write.text(path)
+    back = files.read_vectors(spark, path)
+    return back.agg(F.count(F.lit(1)).alias("vectors"), F.round(F.sum(vectors.inner(F.col("embedding"), F.col("embedding"))), 3).alias("squares"), F.max(F.size("embedding")).alias("d"))
+
+
+@query
+def table_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, path = tables.Table(_customers(spark, sf_dir)), _place(spark, "table")
+    t.delete(_orders(spark, sf_dir).filter("key % 2 = 0").select("key"))
+    t.sync(path)
+    return tables.Table.open(spark, path).rows
+
+
+@query
+def file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations, a file for each region: regions with the number of lines, and whether a listing preselects the file."""
+    path = _place(spark, "files")
+    table(spark, sf_dir, "nation").repartition(1, "n_regionkey").select("n_regionkey", F.col("n_name").alias("value")).write.partitionBy("n_regionkey").text(path)
+    out = files.list_files(spark, f"{path}/*")
+    return out.select(F.regexp_extract("path", r"n_regionkey=(\d+)", 1).cast("long").alias("region"), "lines", "preselected")
+
+
 # ---- maps over an event log
 
 

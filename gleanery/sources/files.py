@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,6 +14,21 @@ from gleanery.functions.text import clean_markup, is_article, last_comma
 DOCUMENT = "id string, title string, text string"
 
 
+#: Folders of sessions that name none, by application.
+_OWN: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; a session on one machine without it gets a temporary folder of its own."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path.rstrip("/")
+    app = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", app.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _OWN.setdefault(app.applicationId, "file://" + tempfile.mkdtemp(prefix="gleanery-"))
+
+
 class BadInput(ValueError):
     """A file that must be right in every line is not."""
 
@@ -67,16 +85,17 @@ def read_points_lenient(spark: SparkSession, path: str) -> DataFrame:
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     """(key, value) from files with a header line, split at the last comma, so keys may have commas or be empty.
 
-    A line that doesn't fit is an error when it is read; so is an input that is empty. A file is read as one row.
+    Lines are read in splits: a header is the line at the beginning of its file. A line that doesn't fit is an error
+    when it is read; so is an input that is empty.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.split("value", "\r?\n").alias("l"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
     if lines.isEmpty():
         raise BadInput("an empty file has no header")
-    body = F.slice("l", F.lit(2), F.size("l"))
-    rows = lines.select(F.posexplode(body).alias("i", "line"), F.size("l").alias("n"))
-    rows = rows.filter("not (line = '' and i = n - 2)")  # what follows the last line end
-    key, value = last_comma(F.col("line"))
-    parsed = rows.select("line", key.alias("key"), value.alias("v")).withColumn("value", F.expr("try_cast(trim(v) as double)"))
+    # one row for each file: the first row of its first split
+    heads = lines.filter("block = 0").groupBy("file").agg(F.min("at").alias("at"))
+    rows = lines.join(F.broadcast(heads.select("file", "at")), ["file", "at"], "left_anti")
+    key, value = last_comma(F.col("value"))
+    parsed = rows.select(F.col("value").alias("line"), key.alias("key"), value.alias("v")).withColumn("value", F.expr("try_cast(trim(v) as double)"))
     bad = F.col("key").isNull() | F.col("value").isNull()
     return parsed.select("key", F.when(bad, F.raise_error(F.concat(F.lit("not a pair: "), "line")).cast("double")).otherwise(F.col("value")).alias("value"))
 
@@ -96,17 +115,56 @@ def read_vectors(spark: SparkSession, path: str, most: int | None = None) -> Dat
     return out if most is None else out.orderBy("vec_id").limit(most)
 
 
-def write_index(posts: DataFrame, lengths: DataFrame, docs: DataFrame, path: str, buckets: int = 16) -> None:
-    """postings by hash bucket of the term, sorted inside for row-group pruning; lengths; documents by id."""
-    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-    posts.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-    docs.sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{path}/documents")
+#: Of stored indexes; input bytes for one file of a bucket.
+INDEX_VERSION, FILE_BYTES = 1, 128 << 20
+
+
+def write_index(docs: DataFrame, path: str, buckets: int = 16) -> None:
+    """A search index of documents (doc_id, text, more columns) as Parquet.
+
+    postings (term, doc_id, positions, tf, doc_len) in folders by hash bucket of the term, sorted inside, so that a term
+    reads a few row groups of one folder; documents by id; totals, a row for each part that was written.
+    """
+    _write_part(docs, path, buckets, "overwrite")
+    meta = docs.sparkSession.createDataFrame([(INDEX_VERSION, buckets)], "version int, buckets int")
+    meta.coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+
+
+def append_index(docs: DataFrame, path: str) -> None:
+    """Adds documents to a stored index; an id that it holds already, or that occurs twice, is refused."""
+    spark = docs.sparkSession
+    had = spark.read.parquet(f"{path}/documents").select("doc_id")
+    seen = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).join(had.withColumn("had", F.lit(True)), "doc_id", "left")
+    if bad := seen.filter("n > 1 or had or doc_id is null").head(1):
+        raise BadInput(f"id {bad[0].doc_id!r} is empty or not unique")
+    _write_part(docs, path, index_buckets(spark, path), "append")
+
+
+def _write_part(docs: DataFrame, path: str, buckets: int, mode: str) -> None:
+    from gleanery.operators import postings
+
+    docs.sortWithinPartitions("doc_id").write.mode(mode).parquet(f"{path}/documents")
+    # a bucket is dealt over files by document, so that no task writes a whole one or all of a term; how many, goes by the stored documents
+    stored = docs.sparkSession.read.parquet(f"{path}/documents")
+    size = int(str(stored._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    files = max(1, min(1 << 16, -(-size // (buckets * FILE_BYTES))))
+    posts = postings.sized_postings(docs if mode == "append" else stored).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    dealt = posts.repartition(buckets * files, "bucket", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(files)))
+    dealt.sortWithinPartitions("bucket", "term", "doc_id").write.mode(mode).partitionBy("bucket").parquet(f"{path}/postings")
+    postings.corpus_stats(docs).select("n_docs", "total_tokens").coalesce(1).write.mode(mode).parquet(f"{path}/totals")
+
+
+def index_buckets(spark: SparkSession, path: str) -> int:
+    meta = spark.read.schema("version int, buckets int").json(f"{path}/meta").first()
+    if meta is None or meta.version != INDEX_VERSION:
+        raise BadInput(f"{path} is an index of another version")
+    return meta.buckets
 
 
 def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """postings, lengths and documents of write_index."""
-    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"), spark.read.parquet(f"{path}/documents")
+    """postings, totals (n_docs, total_tokens) and documents of write_index."""
+    index_buckets(spark, path)
+    return tuple(spark.read.parquet(f"{path}/{x}") for x in ("postings", "totals", "documents"))
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:

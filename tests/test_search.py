@@ -3,6 +3,7 @@ import math
 import pytest
 
 from gleanery.operators import postings, search
+from gleanery.sources.files import BadInput
 from gleanery.operators.search import Engine, Not, Op, QueryError, Term, evaluated_terms, outside_not, parse
 
 #: Texts, query, ids that match (the first text has id 1).
@@ -49,13 +50,54 @@ def test_matches(spark, texts, query, ids):
     assert sorted(r.doc_id for r in e.evaluate(query).collect()) == ids
 
 
-@pytest.mark.parametrize("texts,query,ids", CASES[4:14:3])
-def test_stored_postings_agree(spark, texts, query, ids):
-    d = engine(spark, texts.split("; ")).docs
-    e = Engine(d, postings.postings(d), postings.doc_lengths(d))
-    assert sorted(r.doc_id for r in e.evaluate(query).collect()) == ids
-    a, b = ({r.doc_id: round(r.score, 9) for r in x.search(query).collect()} for x in (e, Engine(d)))
-    assert a == b
+def test_a_stored_index_agrees(spark, tmp_path):
+    """Cases over one index each, written, opened and searched; scores as over the documents."""
+    stored = {}
+    for texts, query, ids in CASES[::3]:
+        if texts not in stored:
+            d = engine(spark, texts.split("; ")).docs
+            stored[texts] = Engine.build(d, str(tmp_path / f"{len(stored)}"), buckets=4), Engine(d)
+        e, plain = stored[texts]
+        assert sorted(r.doc_id for r in e.evaluate(query).collect()) == ids
+        a, b = ({r.doc_id: round(r.score, 9) for r in x.search(query).collect()} for x in (e, plain))
+        assert a == b
+
+
+def test_a_search_reads_its_buckets_alone(spark, tmp_path):
+    e = Engine.build(engine(spark, [f"w{i} w{i + 1} common" for i in range(60)]).docs, str(tmp_path / "i"), buckets=16)
+    plan = e.search("w7 AND common")._jdf.queryExecution().executedPlan().toString()
+    at = {r.bucket for r in e.posts.filter("term in ('w7', 'common')").select("bucket").collect()}
+    assert f"PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+    assert "PushedFilters: [In(term" in plan
+    files = {f.split("bucket=")[1].split("/")[0] for f in e._lists(["w7", "common"]).inputFiles()}
+    assert len(at) <= 2 and files >= {str(b) for b in at}
+    read = e._lists(["w7", "common"]).agg({"bucket": "count"})._jdf.queryExecution().executedPlan()
+    read.execute().count()
+    assert "xxhash64" not in plan.split("PartitionFilters")[1].split("]")[0]
+
+
+def test_an_index_grows(spark, tmp_path):
+    texts = ["hello world", "world foo bar", "hello foo baz", "hello hello"]
+    d = engine(spark, texts).docs
+    e = Engine.build(d.filter("doc_id <= 2"), str(tmp_path / "i"), buckets=3)
+    e.add(d.filter("doc_id > 2"))
+    memory = Engine(d.filter("doc_id <= 2"))
+    memory.add(d.filter("doc_id > 2"))
+    for x in (e, memory):
+        assert {r.doc_id: round(r.score, 9) for r in x.search("hello OR foo").collect()} == {r.doc_id: round(r.score, 9) for r in Engine(d).search("hello OR foo").collect()}
+    with pytest.raises(BadInput):
+        e.add(d.filter("doc_id = 1"))
+    with pytest.raises(BadInput):
+        spark.createDataFrame([(9, 1)], "version int, buckets int").write.mode("overwrite").json(str(tmp_path / "i" / "meta"))
+        Engine.open(spark, str(tmp_path / "i"))
+
+
+def test_sized_postings(spark):
+    d = engine(spark, ["b a b", "", None, "x", "a_1 B b b"]).docs
+    want = {(r.term, r.doc_id, tuple(r.positions), r.tf) for r in postings.postings(d).collect()}
+    rows = postings.sized_postings(d).collect()
+    assert {(r.term, r.doc_id, tuple(r.positions), r.tf) for r in rows} == want and len(rows) == len(want)
+    assert {r.doc_id: r.doc_len for r in rows} == {1: 3, 4: 1, 5: 4}
 
 
 def test_parsing():
@@ -137,9 +179,10 @@ def test_index_round_trip(spark, tmp_path):
     from gleanery.sources import files
 
     d = spark.createDataFrame([(1, "First Article", "hello world hello"), (2, "Second Article", "foo"), (3, "", "a b")], "doc_id long, title string, text string")
-    files.write_index(postings.postings(d), postings.doc_lengths(d), d, str(tmp_path / "i"))
+    files.write_index(d, str(tmp_path / "i"))
     p, n, docs = files.read_index(spark, str(tmp_path / "i"))
     assert [r.doc_id for r in Engine(docs, p, n).evaluate("hello ADJ world").collect()] == [1]
+    assert n.first().n_docs == 3 and n.first().total_tokens == 6
     assert postings.term_frequency(p, "hello", 1).first().tf == 2 and postings.term_frequency(p, "hello", 9).first().tf == 0
     assert postings.lookup(docs, 2).first()[1:] == ("Second Article", "foo") and postings.lookup(docs, 9).count() == 0
     titles = docs.select("doc_id", postings.title_or_number(docs.title, docs.doc_id).alias("t")).collect()
