@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Points in a grid cell at about, and rings that one round looks at.
-PER_CELL, ROUNDS = 4, 40
+from gleanery.sources.files import shared_folder
+
+#: Points in a grid cell at about, and how much larger cells are in the next round.
+PER_CELL, GROW = 4, 3.0
 #: Points that a broadcast comparison with all may have.
 SMALL = 50_000
 
@@ -41,44 +44,54 @@ def nearest_small(points: DataFrame, queries: DataFrame) -> DataFrame:
     return best.select("query_id", F.col("m.px").alias("x"), F.col("m.py").alias("y"), F.col("m.d2").alias("d2"))
 
 
+def _side(p: DataFrame, n: int, wide: float, high: float) -> float:
+    """The side of a cell with about PER_CELL points where most points are: outliers don't make cells large."""
+    (x0, x1), (y0, y1) = p.approxQuantile(["x", "y"], [0.05, 0.95], 0.01)
+    w, h = (x1 - x0) or wide, (y1 - y0) or high
+    return (math.sqrt(w * h * PER_CELL / n) if w and h else max(w, h) * PER_CELL / n) or 1.0
+
+
 def nearest(points: DataFrame, queries: DataFrame) -> DataFrame:
     """The same over a grid: (query_id, x, y, d2), ties by (d2, x, y).
 
-    Each query looks at the cells around the place in the points' box that is nearest to it, in squares that double;
-    it is done when its best distance is within what the square covers. Equal points count once, so that a place
-    that very many points share is one row. The driver holds the box, and for each round the number of open queries.
+    Each query looks at the cell around the place in the points' box that is nearest to it and at the eight around that; it
+    is done when its best distance is within what these cover, else it goes on to a grid of GROW times the side. So a query
+    meets nine cells a round whatever the density. Equal points count once, so that a place that very many points share is
+    one row. The driver holds the box, and for each round whether queries are open; these are stored between rounds.
     """
     p = points.select("x", "y").filter("x is not null and y is not null").distinct()
     box = bounding_box(p).first()
     if not box.points:
         raise EmptyInput("no points")
     wide, high = box.max_x - box.min_x, box.max_y - box.min_y
-    side = math.sqrt(max(wide, 1e-12) * max(high, 1e-12) * PER_CELL / box.points) if wide and high else max(wide, high) * PER_CELL / box.points
-    side = side or 1.0
-    cell = lambda v, low: F.floor((v - F.lit(low)) / F.lit(side))
-    grid = p.select(cell(F.col("x"), box.min_x).alias("cx"), cell(F.col("y"), box.min_y).alias("cy"), F.col("x").alias("px"), F.col("y").alias("py"))
+    side = _side(p, box.points, wide, high)
     inside = lambda v, low, top: F.greatest(F.lit(low), F.least(F.lit(top), v))
     ix, iy = inside(F.col("x"), box.min_x, box.max_x), inside(F.col("y"), box.min_y, box.max_y)
     open_ = queries.select("query_id", F.col("x").alias("qx"), F.col("y").alias("qy"), ix.alias("ix"), iy.alias("iy"))
-    open_ = open_.withColumns({"gx": cell(F.col("ix"), box.min_x), "gy": cell(F.col("iy"), box.min_y), "off": squared_distance(F.col("qx"), F.col("qy"), F.col("ix"), F.col("iy"))})
-    done, r = [], 1
+    open_ = open_.withColumn("off", squared_distance(F.col("qx"), F.col("qy"), F.col("ix"), F.col("iy")))
     d2 = squared_distance(F.col("qx"), F.col("qy"), F.col("px"), F.col("py"))
-    cells_wide = max(math.floor(wide / side), math.floor(high / side)) + 1
+    place = f"{shared_folder(points.sparkSession)}/nearest-{uuid.uuid4().hex}"
+    done, turn = [], 0
     while True:
-        all_ = r >= cells_wide
-        around = open_.withColumn("cx", F.explode(F.sequence(F.col("gx") - r, F.col("gx") + r))).withColumn("cy", F.explode(F.sequence(F.col("gy") - r, F.col("gy") + r)))
-        met = around.join(grid, ["cx", "cy"])
-        best = met.groupBy("query_id").agg(F.min(F.struct(d2.alias("d2"), "px", "py")).alias("m"))
-        now = open_.join(best, "query_id", "left")
-        edge = F.least(F.col("ix") - (F.lit(box.min_x) + (F.col("gx") - r) * side), F.lit(box.min_x) + (F.col("gx") + r + 1) * side - F.col("ix"), F.col("iy") - (F.lit(box.min_y) + (F.col("gy") - r) * side), F.lit(box.min_y) + (F.col("gy") + r + 1) * side - F.col("iy"))
+        low_x, low_y = F.lit(box.min_x), F.lit(box.min_y)
+        cell = lambda v, low, side=side: F.floor((v - low) / F.lit(side))
+        grid = p.select(cell(F.col("x"), low_x).alias("cx"), cell(F.col("y"), low_y).alias("cy"), F.col("x").alias("px"), F.col("y").alias("py"))
+        at = open_.withColumns({"gx": cell(F.col("ix"), low_x), "gy": cell(F.col("iy"), low_y)})
+        around = at.withColumn("cx", F.explode(F.sequence(F.col("gx") - 1, F.col("gx") + 1))).withColumn("cy", F.explode(F.sequence(F.col("gy") - 1, F.col("gy") + 1)))
+        best = around.join(grid, ["cx", "cy"]).groupBy("query_id").agg(F.min(F.struct(d2.alias("d2"), "px", "py")).alias("m"))
+        now = at.join(best, "query_id", "left")
+        reach = lambda v, low, g, side=side: F.least(v - (low + (g - 1) * side), low + (g + 2) * side - v)
+        edge = F.least(reach(F.col("ix"), low_x, F.col("gx")), reach(F.col("iy"), low_y, F.col("gy")))
+        all_ = side >= max(wide, high)
         # strictly within: a tie just outside must not be missed
         sure = F.coalesce(F.col("m.d2") < F.col("off") + edge * edge, F.lit(False)) | F.lit(all_)
-        now = now.withColumn("sure", sure).persist()
+        now.withColumn("sure", sure).select("query_id", "qx", "qy", "ix", "iy", "off", "m", "sure").write.parquet(f"{place}/{turn}")
+        now = points.sparkSession.read.parquet(f"{place}/{turn}")
         done.append(now.filter("sure and m is not null").select("query_id", F.col("m.px").alias("x"), F.col("m.py").alias("y"), F.col("m.d2").alias("d2")))
         open_ = now.filter("not sure").drop("m", "sure")
         if all_ or open_.isEmpty():
             return reduce(DataFrame.unionAll, done)
-        r *= 2
+        side, turn = side * GROW, turn + 1
 
 
 def insert(points: DataFrame, new: DataFrame) -> DataFrame:

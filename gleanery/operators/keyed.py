@@ -132,11 +132,26 @@ def put_last(log: DataFrame) -> DataFrame:
     return log.groupBy("key").agg(F.max_by("value", "seq").alias("value"))
 
 
-def merge(log: DataFrame, merger: Callable[[Column, Column], Column]) -> DataFrame:
-    """(key, value): merger(old, new) folded over each key's values in seq order, the first as it is."""
+def merge(log: DataFrame, merger: Callable[[Column, Column], Column], associative: bool = False) -> DataFrame:
+    """(key, value): merger(old, new) folded over each key's values in seq order, the first as it is.
+
+    With an associative merger each stretch of STRETCH numbers is folded by itself and a key's stretches are then folded, so
+    that a key with very many values is no one task's work; with any other a key's values must meet in one row.
+    """
+    log = _stretches(log, merger) if associative else log
     rows = log.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", "value"))).alias("w"))
+    return rows.select("key", _fold(merger))
+
+
+def _fold(merger: Callable[[Column, Column], Column]) -> Column:
+    """merger over the values of an ordered array w of (seq, value)."""
     values = F.transform("w", lambda x: x["value"])
-    return rows.select("key", F.aggregate(F.slice(values, F.lit(2), F.size(values)), F.element_at(values, 1), merger).alias("value"))
+    return F.aggregate(F.slice(values, F.lit(2), F.size(values)), F.element_at(values, 1), merger).alias("value")
+
+
+def _stretches(log: DataFrame, merger: Callable[[Column, Column], Column]) -> DataFrame:
+    rows = log.groupBy("key", F.floor(F.col("seq") / STRETCH).alias("stretch")).agg(F.array_sort(F.collect_list(F.struct("seq", "value"))).alias("w"))
+    return rows.select("key", F.col("stretch").alias("seq"), _fold(merger))
 
 
 def merge_sum(log: DataFrame) -> DataFrame:

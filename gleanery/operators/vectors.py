@@ -6,6 +6,7 @@ Arrow batches by one matrix product; each task sends its best k for each query.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -16,6 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BLOCK = 4096
+#: Bytes of scores that a worker holds at once.
+TILE = 64 << 20
+#: Vectors of one list that are scored together, about.
+SALT = 50_000
 #: Vectors that a coarse or sub-space quantiser is trained on at most.
 TRAIN = 200_000
 
@@ -59,10 +64,32 @@ _HITS = "query_id long, vec_id long, score double"
 
 
 def _emit(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> pa.RecordBatch:
-    """Best k columns of each row of scores, ties by id."""
-    order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-    rows = np.arange(len(q))[:, None]
-    return pa.record_batch({"query_id": np.repeat(q, order.shape[1]), "vec_id": ids[order].ravel(), "score": scores[rows, order].ravel()})
+    """Best k columns of each row of scores, ties by id; rows are taken one by one, so that nothing of the size of scores is made."""
+    rows, at = [], []
+    for i, row in enumerate(scores):
+        some = np.arange(len(row))
+        if len(row) > k:
+            least = -np.partition(-row, k - 1)[k - 1]
+            some = np.flatnonzero(row >= least)  # all ties of the last
+        best = some[np.lexsort((ids[some], -row[some]))[:k]]
+        rows.append(np.full(len(best), i))
+        at.append(best)
+    rows, at = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (rows, at))
+    return pa.record_batch({"query_id": q[rows], "vec_id": ids[at], "score": scores[rows, at]})
+
+
+def _tiles(batch: pa.RecordBatch, against: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts whose scores against so many vectors take TILE bytes at most."""
+    step = max(1, TILE // (8 * max(1, against)))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
+def reranked(hits: DataFrame, base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Exact best k of candidates (query_id, vec_id)."""
+    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+    exact = hits.select("query_id", "vec_id").join(q, "query_id").join(base.select("vec_id", "embedding"), "vec_id")
+    return ranked(exact.select("query_id", "vec_id", inner(F.col("qv"), F.col("embedding")).alias("score")), k)
 
 
 def _scan(base: DataFrame, queries: DataFrame, k: int, score: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
@@ -73,8 +100,8 @@ def _scan(base: DataFrame, queries: DataFrame, k: int, score: Callable[[np.ndarr
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             q, m = shared.value
             for batch in batches:
-                if batch.num_rows:
-                    yield _emit(q, batch.column(0).to_numpy(), score(m, _matrix(batch.column(1))), k)
+                for part in _tiles(batch, len(q)):
+                    yield _emit(q, part.column(0).to_numpy(), score(m, _matrix(part.column(1))), k)
 
         parts.append(base.select("vec_id", "embedding").mapInArrow(run, _HITS))
     if not parts:
@@ -87,8 +114,11 @@ def knn(base: DataFrame, queries: DataFrame, k: int = 100) -> DataFrame:
     return _scan(base, queries, k, lambda m, v: m @ v.T)
 
 
-def knn_sign_lsh(base: DataFrame, queries: DataFrame, k: int = 100, bits: int = 1024, seed: int = 7) -> DataFrame:
-    """Approximate best k by Hamming distance of signs of random projections; score is minus the distance."""
+def knn_sign_lsh(base: DataFrame, queries: DataFrame, k: int = 100, bits: int = 1024, seed: int = 7, rerank: int = 0) -> DataFrame:
+    """Approximate best k by Hamming distance of signs of random projections; score is minus the distance.
+
+    rerank > 0 scores that many of each query's nearest exactly.
+    """
 
     def score(m: np.ndarray, v: np.ndarray) -> np.ndarray:
         planes = np.random.default_rng(seed).standard_normal((m.shape[1], bits))
@@ -98,7 +128,8 @@ def knn_sign_lsh(base: DataFrame, queries: DataFrame, k: int = 100, bits: int =
             out[i] = -np.bitwise_count(a[i] ^ b).sum(1).astype(np.float64)  # counts are unsigned
         return out
 
-    return _scan(base, queries, k, score)
+    hits = _scan(base, queries, max(k, rerank), score)
+    return reranked(hits, base, queries, k) if rerank else hits
 
 
 def _sample(base: DataFrame, most: int) -> np.ndarray:
@@ -171,23 +202,24 @@ def ivf_pq(base: DataFrame, queries: DataFrame, k: int = 100, lists: int = 64, p
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         ids = left["vec_id"].to_numpy()
         code = np.frombuffer(b"".join(left["code"].to_pylist()), np.uint8).reshape(len(ids), m)
-        q = np.array(right["q"].to_pylist(), np.float64)
-        scores = np.repeat((q @ coarse[left["list"][0].as_py()])[:, None], len(ids), 1)
-        for j, b in enumerate(books):
-            scores += (q[:, j * width : (j + 1) * width] @ b.T)[:, code[:, j]]
-        return pa.Table.from_batches([_emit(right["query_id"].to_numpy(), ids, scores, max(k, rerank))])
-
-    # a list that holds very many vectors is dealt over salts, and its probes go to each of them
-    salts = 4
+        asked, out = right["query_id"].to_numpy(), []
+        step = max(1, TILE // (8 * len(ids)))
+        for at in range(0, len(asked), step):
+            q = np.array(right["q"].slice(at, step).to_pylist(), np.float64)
+            scores = np.repeat((q @ coarse[left["list"][0].as_py()])[:, None], len(ids), 1)
+            for j, b in enumerate(books):
+                scores += (q[:, j * width : (j + 1) * width] @ b.T)[:, code[:, j]]
+            out.append(_emit(asked[at : at + step], ids, scores, max(k, rerank)))
+        return pa.Table.from_batches(out)
+
+    # a list is dealt over salts, so many that one of twice the mean size has about SALT vectors in each; its probes go to all of them
+    salts = max(1, -(-2 * base.count() // (len(coarse) * SALT)))
     indexed = base.select("vec_id", "embedding").mapInArrow(index, "vec_id long, list int, code binary").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int"))
     asked = queries.select("vec_id", "embedding").mapInArrow(probe, "query_id long, list int, q array<float>").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     hits = indexed.groupBy("list", "salt").cogroup(asked.groupBy("list", "salt")).applyInArrow(meet, _HITS)
     if not rerank:
         return ranked(hits, k)
-    best = ranked(hits, rerank).select("query_id", "vec_id")
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
-    exact = best.join(q, "query_id").join(base.select("vec_id", "embedding"), "vec_id").select("query_id", "vec_id", inner(F.col("qv"), F.col("embedding")).alias("score"))
-    return ranked(exact, k)
+    return reranked(ranked(hits, rerank), base, queries, k)
 
 
 class Graph:
@@ -284,6 +316,17 @@ def recall(truth: DataFrame, found: DataFrame) -> DataFrame:
     return out.withColumn("recall", F.when(F.col("wanted") > 0, F.col("hits") / F.col("wanted")).otherwise(F.lit(0.0)))
 
 
+def measured(truth: DataFrame, family: str, config: str, find: Callable[[], DataFrame], path: str) -> DataFrame:
+    """One row of a setting: family, config, recall, latency (seconds until its result is stored at path), results, bytes of these."""
+    spark, began = truth.sparkSession, time.perf_counter()
+    find().select("query_id", "vec_id").write.parquet(path)
+    took = time.perf_counter() - began
+    found = spark.read.parquet(path)
+    size = int(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    out = recall(truth, found).crossJoin(found.agg(F.count(F.lit(1)).alias("results")))  # one row each
+    return out.select(F.lit(family).alias("family"), F.lit(config).alias("config"), "recall", F.lit(took).alias("latency"), "results", F.lit(size).alias("bytes"))
+
+
 def best_by_family(rows: DataFrame) -> DataFrame:
     """Of rows (family, config, recall, latency) the one of each family with most recall, then least latency."""
     w = Window.partitionBy("family").orderBy(F.desc("recall"), "latency", "config")

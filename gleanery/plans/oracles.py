@@ -239,6 +239,11 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id
 ORACLES["knn_exact"] = f"WITH {KNN} SELECT query_id, vec_id, rank::INT AS rank, round(s, 6) AS score FROM r WHERE rank <= 10"
 ORACLES["knn_self_is_top"] = f"WITH {KNN} SELECT query_id, vec_id FROM r WHERE rank = 1"
 
+for _name, (_family, _config) in {"recall_signlsh": ("LSH", "bits=1024,rerank=400"), "recall_ivf": ("IVF", "lists=16,probes=14"), "recall_ivfpq": ("IVF+PQ", "lists=16,probes=14,m=32,rerank=300"), "recall_graph": ("HNSW", "links=32,build=128,width=256")}.items():
+    ORACLES[_name] = f"WITH {KNN} SELECT '{_family}' AS family, '{_config}' AS config, count(*) AS wanted, true AS reached FROM r WHERE rank <= 100"
+
+ORACLES["best_config"] = f"WITH {KNN} SELECT unnest(['IVF+PQ', 'LSH']) AS family, count(*) AS results, true AS reached, true AS measured FROM r WHERE rank <= 100"
+
 # ---- points
 
 PTS = "p AS (SELECT p_retailprice AS x, p_size::DOUBLE AS y FROM part), q AS (SELECT s_suppkey AS query_id, 900.5 + (37 * s_suppkey) % 99 AS x, 1.5 + (13 * s_suppkey) % 48 AS y FROM supplier)"

@@ -86,7 +86,15 @@ def test_directory_limits(spark):
 def test_maps(spark):
     log = kv(spark, [(1, "k", "1"), (2, "k", "2"), (3, "j", "9")], "seq long, key string, value string")
     assert {tuple(r) for r in keyed.merge(log, lambda a, b: F.concat(a, b)).collect()} == {("k", "12"), ("j", "9")}
+    assert {tuple(r) for r in keyed.merge(log, lambda a, b: F.concat(a, b), associative=True).collect()} == {("k", "12"), ("j", "9")}
     assert {tuple(r) for r in keyed.put_last(log).collect()} == {("k", "2"), ("j", "9")}
+    hot = spark.range(20_000).select((F.col("id") * 7919 % 20_000).alias("seq"), F.when(F.col("id") % 3 == 0, "h").otherwise("r").alias("key"), (F.col("id") * 7919 % 20_000 % 10).cast("string").alias("value"))
+    want = {}
+    for r in sorted(hot.collect(), key=lambda r: r.seq):
+        want[r.key] = want.get(r.key, "") + r.value
+    assert dict(map(tuple, keyed.merge(hot, lambda a, b: F.concat(a, b), associative=True).collect())) == want
+    rows = keyed._stretches(hot, lambda a, b: F.concat(a, b)).select(F.length("value").alias("n")).collect()
+    assert len(rows) == 10 and max(r.n for r in rows) <= keyed.STRETCH
     for n, buckets in ((0, 16), (12, 16), (13, 32), (24, 32), (25, 64), (1000, 2048)):
         row = keyed.map_buckets(spark.range(n).select(F.col("id").cast("string").alias("key"))).first()
         assert (row["size"], row.buckets) == (n, buckets)

@@ -84,8 +84,8 @@ def test_knn_equals_numpy(base):
 @pytest.mark.parametrize(
     "find,least",
     [
-        (lambda b, q: vectors.knn_sign_lsh(b, q, 10, bits=4096), 0.75),
-        (lambda b, q: vectors.ivf_pq(b, q, 10, lists=12, probes=4, m=8, codes=64), 0.6),
+        (lambda b, q: vectors.knn_sign_lsh(b, q, 10, bits=1024, rerank=60), 0.9),
+        (lambda b, q: vectors.ivf_pq(b, q, 10, lists=12, probes=10, m=8, codes=64, rerank=80), 0.9),
         (lambda b, q: vectors.ivf_pq(b, q, 10, lists=12, probes=6, m=8, codes=64, rerank=60), 0.9),
         (lambda b, q: vectors.knn_graph(b, q, 10, links=12, build=48, width=96), 0.95),
     ],
@@ -152,3 +152,19 @@ def test_grid_equals_direct(spark, kind):
 def test_box(spark):
     p = spark.createDataFrame([(0.5 * i, 0.3 * i) for i in range(100)], POINT)
     assert tuple(geo.bounding_box(p).first()) == (100, 0.0, 49.5, 0.0, pytest.approx(29.7))
+
+
+def test_outliers_and_densities(spark):
+    """A cluster, a line, single points very far off: equal to comparing all, with cells that stay small."""
+    rng = np.random.default_rng(4)
+    pts = np.concatenate([rng.normal(0, 1, (3000, 2)), np.c_[np.linspace(0, 500, 300), np.zeros(300)], [[1e6, 1e6], [-1e5, 3.0]]])
+    ask = np.concatenate([rng.normal(0, 2, (60, 2)), rng.uniform(-1e5, 1e6, (15, 2)), [[1e6, 1e6 - 1], [250.2, 40.0], [-3e7, 0.0]]])
+    p = spark.createDataFrame([tuple(map(float, x)) for x in pts], POINT)
+    q = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(ask)], QUERY)
+    got = {r.query_id: (r.x, r.y) for r in geo.nearest(p, q).collect()}
+    for i, (x, y) in enumerate(ask):
+        d = (pts[:, 0] - x) ** 2 + (pts[:, 1] - y) ** 2
+        gx, gy = got[i]
+        assert (gx - x) ** 2 + (gy - y) ** 2 == pytest.approx(d.min())
+    box = geo.bounding_box(p).first()
+    assert geo._side(p, box.points, box.max_x - box.min_x, box.max_y - box.min_y) < 1
