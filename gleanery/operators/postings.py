@@ -11,6 +11,10 @@ from gleanery.functions.plan import computed
 from gleanery.functions.text import index_tokens
 
 
+#: Document ids that one row of a posting list covers.
+STRETCH = 4096
+
+
 def tokens(docs: DataFrame) -> DataFrame:
     """(doc_id, term, pos): positions count from 0."""
     return docs.select("doc_id", F.posexplode(index_tokens(F.col("text"))).alias("pos", "term")).select("doc_id", "term", "pos")
@@ -87,18 +91,72 @@ def flat_list(posts: DataFrame) -> DataFrame:
     return computed(lists, ["term"], df=F.size("p").cast("long"), flat=F.concat(*parts))
 
 
+def _section(v: Column, at: Column) -> Column:
+    """Sizes of integers that stand from index `at` of a list: varint bytes, bit-packed bytes of blocks inside, (block, bits) of the outer ones."""
+    first, last = F.floor(at / codec.BLOCK), F.floor((at + F.size(v) - 1) / codec.BLOCK)
+
+    def bits(b: Column) -> Column:
+        low = F.greatest(b * codec.BLOCK - at, F.lit(0).cast("long"))
+        high = F.least((b + 1) * codec.BLOCK - at, F.size(v).cast("long"))
+        return F.struct(b.alias("block"), codec.bit_width(F.array_max(F.slice(v, low.cast("int") + 1, (high - low).cast("int")))).alias("bits"))
+
+    blocks = F.when(F.size(v) == 0, F.array().cast("array<struct<block:bigint,bits:int>>")).otherwise(F.transform(F.sequence(first, last), bits))
+    varint = F.aggregate(v, F.lit(0).cast("long"), lambda s, x: s + codec.varint_width(x))
+    return F.struct(varint.alias("varint"), blocks.alias("blocks"))
+
+
 def list_sizes(posts: DataFrame) -> DataFrame:
-    """(term, df, n_ints, raw_bytes, varint_bytes, bitpack_bytes, packed_bytes) of the flat posting lists."""
-    f = F.col("flat")
-    sizes = computed(
-        flat_list(posts),
-        ["term", "df"],
-        n_ints=F.size(f).cast("long"),
-        raw_bytes=(4 * F.size(f)).cast("long"),
-        varint_bytes=codec.varint_size(f),
-        bitpack_bytes=codec.bitpack_size(f),
-    )
-    return sizes.withColumn("packed_bytes", F.least("varint_bytes", "bitpack_bytes"))
+    """(term, df, n_ints, raw_bytes, varint_bytes, bitpack_bytes, packed_bytes) of the flat posting lists; see flat_list.
+
+    No list is ever one row: stretches of STRETCH ids are measured where they stand in the list, blocks that two parts share
+    take the larger width, and sizes are added up by term. Ids are numbers.
+    """
+    row = F.struct("doc_id", F.col("positions").cast("array<long>").alias("positions"), F.col("tf").cast("long").alias("tf"))
+    some = posts.groupBy("term", F.floor(F.col("doc_id") / STRETCH).alias("stretch")).agg(F.array_sort(F.collect_list(row)).alias("p"))
+    some = computed(some, ["term", "stretch"], ids=F.transform("p", lambda x: x["doc_id"].cast("long")), where=F.flatten(F.transform("p", lambda x: codec.deltas(x["positions"]))), tf=F.transform("p", lambda x: x["tf"]))
+    some = some.withColumns({"n": F.size("ids").cast("long"), "m": F.size("where").cast("long"), "last": F.element_at("ids", -1)})
+    by = Window.partitionBy("term").orderBy("stretch")  # a row for each stretch of a term
+    upto, all_ = by.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("term")
+    zero = F.lit(0).cast("long")
+    some = some.withColumns({"n0": F.coalesce(F.sum("n").over(upto), zero), "m0": F.coalesce(F.sum("m").over(upto), zero), "before": F.coalesce(F.lag("last").over(by), zero), "df": F.sum("n").over(all_), "places": F.sum("m").over(all_)})
+    before = F.concat(F.array("before"), F.slice("ids", F.lit(1), F.size("ids") - 1))
+    some = computed(some, ["term", "n0", "m0", "df", "places", "where", "tf"], d=F.zip_with("ids", before, lambda x, y: x - y))
+    parts = [_section(F.col("d"), 1 + F.col("n0")), _section(F.col("where"), 2 + F.col("df") + F.col("m0")), _section(F.col("tf"), 3 + F.col("df") + F.col("places") + F.col("n0"))]
+    measured = computed(some, ["term"], s=F.array(*parts))
+    # the four numbers and the skips of a list
+    one = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.size("positions")).cast("long").alias("places"))
+    one = computed(one, ["term", "df", "places"], skip=codec.flat_skips(F.col("df")).cast("array<long>"))
+    n, m, k = F.col("df"), F.col("places"), F.size("skip").cast("long")
+    single = [_section(F.array(v), i) for v, i in ((n, zero), (m, 1 + n), (n, 2 + n + m), (k, 3 + 2 * n + m))]
+    fixed = computed(one, ["term"], s=F.array(*single, _section(F.col("skip"), 4 + 2 * n + m)))
+    every = measured.unionAll(fixed).select("term", F.explode("s").alias("s"))
+    inner = F.aggregate(F.slice("s.blocks", F.lit(2), F.greatest(F.size("s.blocks") - 2, F.lit(0))), zero, lambda t, b: t + 1 + 4 * b["bits"])
+    outer = F.array_distinct(F.filter(F.array(F.get("s.blocks", F.lit(0)), F.when(F.size("s.blocks") > 1, F.element_at("s.blocks", -1))), lambda b: b.isNotNull()))
+    rows = computed(every, ["term"], varint=F.col("s.varint"), inner=inner, outer=outer)
+    first = lambda c: F.sum(F.when(F.col("i") == 0, F.col(c)).otherwise(zero)).alias(c)
+    shared = rows.select("term", "varint", "inner", F.posexplode("outer").alias("i", "b")).groupBy("term", F.col("b.block").alias("block")).agg(F.max("b.bits").alias("bits"), first("varint"), first("inner"))
+    sums = shared.groupBy("term").agg(F.sum("varint").alias("varint"), F.sum(F.col("inner") + 1 + 4 * F.col("bits")).alias("packed"))
+    n_ints = 4 + 2 * n + m + k
+    out = one.join(sums, "term")
+    out = out.select("term", "df", n_ints.alias("n_ints"), (4 * n_ints).alias("raw_bytes"), (codec.HEADER + F.col("varint")).alias("varint_bytes"), (codec.HEADER + F.col("packed")).alias("bitpack_bytes"))
+    return out.withColumn("packed_bytes", F.least("varint_bytes", "bitpack_bytes"))
+
+
+def id_sizes(posts: DataFrame) -> DataFrame:
+    """(term, df, varint_bytes, bitpack_bytes) of each term's document ids as differences, measured by stretch as in list_sizes."""
+    some = posts.groupBy("term", F.floor(F.col("doc_id") / STRETCH).alias("stretch")).agg(F.sort_array(F.collect_list(F.col("doc_id").cast("long"))).alias("ids"))
+    some = some.withColumns({"n": F.size("ids").cast("long"), "last": F.element_at("ids", -1)})
+    by, zero = Window.partitionBy("term").orderBy("stretch"), F.lit(0).cast("long")
+    some = some.withColumns({"n0": F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), zero), "before": F.coalesce(F.lag("last").over(by), zero)})
+    before = F.concat(F.array("before"), F.slice("ids", F.lit(1), F.size("ids") - 1))
+    some = computed(some, ["term", "n", "n0"], d=F.zip_with("ids", before, lambda x, y: x - y))
+    rows = computed(some, ["term", "n"], s=_section(F.col("d"), F.col("n0")))
+    # all blocks are rows: there is one for 32 ids
+    first = lambda c: F.sum(F.when(F.col("i") == 0, c).otherwise(zero))
+    blocks = rows.select("term", "n", "s.varint", F.posexplode("s.blocks").alias("i", "b")).groupBy("term", F.col("b.block").alias("block"))
+    blocks = blocks.agg(F.max("b.bits").alias("bits"), first(F.col("varint")).alias("varint"), first(F.col("n")).alias("n"))
+    out = blocks.groupBy("term").agg(F.sum("n").cast("int").alias("df"), (codec.HEADER + F.sum("varint")).alias("varint_bytes"), (codec.HEADER + F.sum(1 + 4 * F.col("bits"))).alias("bitpack_bytes"))
+    return out
 
 
 #: Words of the query language, which can be no search terms.

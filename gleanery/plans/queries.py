@@ -254,9 +254,7 @@ def compression_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def doc_delta_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = postings.postings(table(spark, sf_dir, "documents")).groupBy("term").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
-    d = lists.select("term", F.size("ids").alias("df"), codec.deltas(F.col("ids")).alias("d"))
-    return d.select("term", "df", codec.varint_size(F.col("d")).alias("varint_bytes"), codec.bitpack_size(F.col("d")).alias("bitpack_bytes"))
+    return postings.id_sizes(postings.postings(table(spark, sf_dir, "documents")))
 
 
 @query

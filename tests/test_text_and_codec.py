@@ -101,3 +101,23 @@ def test_statistics(spark):
     assert tuple(postings.corpus_stats(d.filter("false")).first()) == (0, 0, 0.0)
     rows = {r.term: (r.df, r.cf) for r in postings.term_stats(spark.createDataFrame([(1, "x x y"), (2, "x"), (3, None)], d.schema)).collect()}
     assert rows == {"x": (2, 3), "y": (1, 1)}
+
+
+@pytest.mark.parametrize("stretch", [3, 40, 4096])
+def test_sizes_by_stretch_equal_those_of_whole_lists(spark, monkeypatch, stretch):
+    import random
+
+    from gleanery.functions import codec
+    from gleanery.operators import postings
+
+    monkeypatch.setattr(postings, "STRETCH", stretch)
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i * 37, " ".join(rng.choice("aaaabbcd") for _ in range(rng.randrange(0, 60))) + (" rare" if i == 50 else "")) for i in range(150)], "doc_id long, text string")
+    p = postings.postings(docs)
+    f = F.col("flat")
+    whole = postings.flat_list(p).select("term", "df", F.size(f).alias("n"), codec.varint_size(f).alias("v"), codec.bitpack_size(f).alias("b"))
+    want = {tuple(r) for r in whole.collect()}
+    assert {(r.term, r.df, r.n_ints, r.varint_bytes, r.bitpack_bytes) for r in postings.list_sizes(p).collect()} == want and len(want) == 5
+    ids = p.groupBy("term").agg(F.sort_array(F.collect_list("doc_id")).alias("ids")).select("term", codec.deltas(F.col("ids")).alias("d"))
+    want = {tuple(r) for r in ids.select("term", codec.varint_size(F.col("d")), codec.bitpack_size(F.col("d"))).collect()}
+    assert {(r.term, r.varint_bytes, r.bitpack_bytes) for r in postings.id_sizes(p).collect()} == want
