@@ -195,7 +195,8 @@ def test_backoff_takes_the_longest_known_gram():
     grams[3] = {"abc": np.array([9, 0]), "xyz": np.array([0, 9])}
     grams[1] = {"a": np.array([0, 9]), "q": np.array([9, 0])}
     m = langid.Model(["l", "r"], {"word": np.array([1, 8]), "other": np.array([8, 1])}, grams)
-    assert m.unseen("zabcz").argmax() == 0 and m.unseen("qq").argmax() == 0 and m.unseen("aq") is not None
+    rows = m.unseen(["zabcz", "qq", "ß", "aq"])
+    assert rows[0].argmax() == 0 and rows[1].argmax() == 0 and not rows[2].any() and len(rows) == 4
     assert langid.Scorer(m)("word")[0] == "r"
 
 
