@@ -85,7 +85,7 @@ def temporary() -> Iterator[None]:
 def settled(df: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """df if a task that runs again is sure to see the same rows in the same order: a scan; all else is stored first."""
     plan = df._jdf.queryExecution().executedPlan().toString()
-    if re.search(r"Exchange|AdaptiveSparkPlan|ArrowEvalPython|MapInArrow|MapInPandas|BatchEvalPython|Window|Sample|Coalesce\b|rand", plan):
+    if re.search(r"Exchange|ExistingRDD|AdaptiveSparkPlan|ArrowEvalPython|MapInArrow|MapInPandas|BatchEvalPython|Window|Sample|Coalesce\b|rand", plan):
         return scratch.table(df, name)
     return df
 

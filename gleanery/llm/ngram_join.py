@@ -42,8 +42,8 @@ from gleanery.llm.common import Scratch, missing, parts_for, settled
 BITS = 56
 CELLS = 64
 PIECE, SPACE = 1 << 20, re.compile(rb"[ \t\n\x0b\x0c\r]")
-#: Shingles in a chunk at least and at most: 16 bytes each.
-CHUNK_LEAST, CHUNK_MOST = 1_500_000, 16_000_000
+#: Shingles in a chunk at least and at most: about 50 bytes each while it is sorted.
+CHUNK_LEAST, CHUNK_MOST = 750_000, 8_000_000
 #: Input bytes for one range of the hash space.
 RANGE_BYTES = 4 << 20
 
@@ -150,12 +150,15 @@ def _send(plan: _Plan, task: Callable[[], int] = _task):
         if sets:
             tokens = np.concatenate(sets)
             local = np.repeat(np.array(owners, np.uint32), [len(s) for s in sets])
+            sets.clear()
             order = np.argsort(tokens)
             tokens, local = tokens[order], local[order]
+            del order
             starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
-            count = np.diff(np.r_[starts, len(tokens)])
+            count = np.diff(np.r_[starts, len(tokens)]).astype(np.uint32)
             several = np.repeat(count > 1, count)
             payloads.append(_own(rows, tokens[several], local[several]))
+            del several
             # 0 stands for rows that the chunk keeps to itself
             tokens, local, count = tokens[starts], np.where(count > 1, 0, local[starts] + 1), count
             width = np.uint64((1 << BITS) // plan.ranges + 1)
@@ -397,10 +400,10 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
 
 def _records(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
-    ranges = 4 * parts_for(docs, 4 * RANGE_BYTES)
+    rows = settled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), scratch, "texts")
+    ranges = 4 * parts_for(rows, 4 * RANGE_BYTES)
     chunk = min(CHUNK_MOST, max(CHUNK_LEAST, 64 * ranges))
     plan = _Plan(k, percent, min(ranges, chunk // 64), chunk)
-    rows = settled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), scratch, "texts")
     sent = rows.mapInArrow(_send(plan), "part long, chunk long, payload binary")
     back = sent.groupBy("part").applyInArrow(_count(plan), "chunk long, rows boolean, payload binary")
     out = back.groupBy("chunk").applyInArrow(_gather(plan), "uid long, doc_id long, n long, d0 long, d1 long, u long, toks array<long>, cells array<int>, odd array<long>")
