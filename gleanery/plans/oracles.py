@@ -228,6 +228,7 @@ ORACLES["lsh_candidates"] = f"WITH {PAIRS} SELECT query_id, doc_id FROM pairs"
 ORACLES["lsh_duplicates"] = f"""WITH {PAIRS}, n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 c AS (SELECT p.query_id, p.doc_id, count(*) AS c FROM pairs p JOIN s a ON a.doc_id = p.query_id JOIN s b ON b.doc_id = p.doc_id AND b.s = a.s GROUP BY ALL)
 SELECT query_id, c.doc_id, round(c / (x.n + y.n - c), 6) AS score FROM c JOIN n x ON x.doc_id = query_id JOIN n y ON y.doc_id = c.doc_id WHERE c / (x.n + y.n - c) >= 0.8"""
+ORACLES["lsh_ranked"] = f"""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM ({ORACLES['lsh_duplicates'].replace('>= 0.8', '>= 0.3')})"""
 ORACLES["fnv_hashes"] = f"SELECT c_custkey, {SIGNED.format('x')} AS h FROM (SELECT c_custkey, {_fnv('c_mktsegment')} AS x FROM customer)"
 
 # ---- vectors
@@ -328,6 +329,14 @@ tried AS (SELECT key, turn, size, unnest({_slots('size')}) AS slot, unnest(range
 good AS (SELECT turn, hash FROM tried GROUP BY turn, hash HAVING count(DISTINCT slot) = count(*) ORDER BY turn, hash LIMIT 1)
 SELECT key, n_nationkey::DOUBLE AS value, slot, size::BIGINT AS size, hash::INT AS hash FROM tried JOIN good USING (turn, hash) JOIN nation ON n_name = key"""
 
+ORACLES["query_terms"] = """SELECT * FROM (VALUES ('search_term', 'the', 'the'), ('search_and', 'the of', 'the of'), ('search_or', 'idiot clown', 'idiot clown'), ('search_and_not', 'the of', 'the'), ('search_not_group', 'the of with', 'the'),
+('search_bare_not', 'des', 'des'), ('search_not_not', 'the', 'the'), ('search_adj', 'of the', 'of the'), ('search_near3', 'the with', 'the with'), ('search_adj_and', 'of the to', 'of the to'), ('search_adj_chain', 'is of the', 'is of the'),
+('search_near_and_not', 'in the was', 'in the'), ('search_precedence', 'the of to', 'the of to'), ('search_near_nested', 'the of to in', 'the of to in'), ('search_near_far', 'the worthless', 'the worthless'), ('search_groups', 'le die la der of', 'le die la der')) v(name, evaluated, outside_not)"""
+ORACLES["parse_errors"] = "SELECT * FROM (VALUES ('the AND of', true), ('(the OR of', false), ('AND', false), ('the of', false), ('NOT NOT the', false), ('the NEAR/x of', true), ('the & of', false), ('', false)) v(text, parses)"
+ORACLES["made_rows"] = """SELECT 'key_' || lpad(i::VARCHAR, 28, '0') AS name, ((i % 1000) / 1000.0)::DOUBLE::VARCHAR AS content FROM range(1000) r(i)
+UNION ALL SELECT i::VARCHAR, (SELECT string_agg('word' || ((i * 31 + j * 17) % 997), ' ' ORDER BY j) FROM range(6) w(j)) FROM range(100) r(i)"""
+ORACLES["map_get"] = "SELECT k.key, v.value, v.key IS NOT NULL AS found FROM (SELECT i::VARCHAR AS key FROM range(1, 400, 3) r(i)) k LEFT JOIN (SELECT user_id::VARCHAR AS key, arg_max(event_type, event_id) AS value FROM events GROUP BY user_id) v USING (key)"
+
 # ---- readers and writers
 
 ORACLES["points_csv"] = "SELECT p_retailprice AS x, p_size::DOUBLE AS y FROM part"

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from gleanery.functions import codec, text
 from gleanery.functions.hashing import fnv64, hash_all, hash_key
 from gleanery.operators import geo, keyed, neardup, postings, search, sets, statistics, tables, vectors
-from gleanery.sources import files
+from gleanery.sources import files, generate
 from gleanery.streaming import upsert
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -205,6 +205,27 @@ def score_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.round("score", 6).alias("score"), F.col("bar").cast("long").alias("bar"))
 
 
+@query
+def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms that each registered search looks up, and those outside any NOT."""
+    rows = [(n, " ".join(search.evaluated_terms(q)), " ".join(search.outside_not(q))) for n, w in SEARCHES.items() for q in (search.parse(w),)]
+    return spark.createDataFrame(rows, "name string, evaluated string, outside_not string")
+
+
+@query
+def parse_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each text parses."""
+
+    def parses(text: str) -> bool:
+        try:
+            return search.parse(text) is not None
+        except search.QueryError:
+            return False
+
+    texts = ["the AND of", "(the OR of", "AND", "the of", "NOT NOT the", "the NEAR/x of", "the & of", ""]
+    return spark.createDataFrame([(t, parses(t)) for t in texts], "text string, parses boolean")
+
+
 # ---- posting lists
 
 
@@ -338,6 +359,15 @@ def lsh_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.find_duplicates(asked, d, query="query_id").withColumn("score", F.round("score", 6))
 
 
+@query
+def lsh_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of three tenths or more in order of their scores."""
+    d = table(spark, sf_dir, "documents")
+    asked = d.filter(F.col("doc_id") % QUERY_EVERY == 0).select(F.col("doc_id").alias("query_id"), "text")
+    found = neardup.find_duplicates(asked, d, threshold=0.3, query="query_id").withColumn("score", F.round("score", 6))
+    return neardup.ranked(found, "query_id")
+
+
 @query
 def fnv_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", fnv64("c_mktsegment").alias("h"))
@@ -597,6 +627,13 @@ def file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.regexp_extract("path", r"n_regionkey=(\d+)", 1).cast("long").alias("region"), "lines", "preselected")
 
 
+@query
+def made_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeded generators: keys with values, and texts of numbered words."""
+    pairs = generate.pairs(spark, 1000).select(F.col("key").alias("name"), F.col("value").cast("string").alias("content"))
+    return pairs.unionAll(generate.modular_text(spark, 100, 6).select(F.col("doc_id").cast("string"), "text"))
+
+
 # ---- maps over an event log
 
 
@@ -609,6 +646,14 @@ def map_put_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.put_last(_log(spark, sf_dir).select("seq", "key", F.col("event_type").alias("value")))
 
 
+@query
+def map_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys put into a map object and asked for, among them unknown ones."""
+    m = tables.Map(spark)
+    m.put(_log(spark, sf_dir).select("seq", "key", F.col("event_type").alias("value")))
+    return m.get(spark.range(1, 400, 3).select(F.col("id").cast("string").alias("key")))
+
+
 @query
 def map_merge_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _log(spark, sf_dir).select("seq", "key", F.substring("event_type", 1, 1).alias("value"))
