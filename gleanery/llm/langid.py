@@ -55,7 +55,14 @@ class Model:
         self.langs = langs
         self.words = {w: i for i, w in enumerate(words)}
         self.rows = self._log(words)
-        self.grams = {n: ({g: i for i, g in enumerate(some)}, self._log(some)) for n, some in grams.items()}
+        # all n-grams are rows of one matrix
+        self.grams: dict[int, dict[str, int]] = {}
+        parts, at = [np.zeros((0, len(langs)), np.float32)], 0
+        for n, some in grams.items():
+            self.grams[n] = {g: at + i for i, g in enumerate(some)}
+            parts.append(self._log(some))
+            at += len(some)
+        self.gram_rows = np.concatenate(parts)
 
     def _log(self, counts: dict[str, np.ndarray]) -> np.ndarray:
         if not counts:
@@ -64,13 +71,26 @@ class Model:
         logs = np.log(c / c.sum(0))
         return (logs - logs.mean(1, keepdims=True)).astype(np.float32)
 
-    def unseen(self, word: str) -> np.ndarray:
+    def backoff(self, word: str) -> list[int]:
+        """Rows of the word's known n-grams of the longest length that has any."""
         for n in LENGTHS:
-            known, rows = self.grams.get(n, ({}, None))
-            at = [known[g] for g in grams_of(word, n) if g in known]
-            if at:
-                return rows[at].sum(0, dtype=float) / len(at) * min(len(at), 3)
-        return np.zeros(len(self.langs))
+            known = self.grams.get(n, {})
+            padded = f" {word} " if n > 1 else word
+            if at := [i for j in range(len(padded) - n + 1) if (i := known.get(padded[j : j + n])) is not None]:
+                return at
+        return []
+
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """A row for each word that is not known: the mean of its n-grams, times their number up to three."""
+        out = np.zeros((len(words), len(self.langs)))
+        found = [self.backoff(w) for w in words]
+        some = [i for i, f in enumerate(found) if f]
+        if some:
+            counts = np.array([len(found[i]) for i in some])
+            flat = np.fromiter((x for i in some for x in found[i]), np.intp, int(counts.sum()))
+            sums = np.add.reduceat(self.gram_rows.take(flat, 0), np.r_[0, np.cumsum(counts)[:-1]], dtype=float)
+            out[some] = sums * (np.minimum(counts, 3) / counts)[:, None]
+        return out
 
 
 class Scorer(dict):
@@ -81,34 +101,47 @@ class Scorer(dict):
         self.model, self.fixed = model, len(model.rows)
         # a row of zeros stands for words that are added up apart
         self.rows = np.vstack([model.rows, np.zeros((max(1, MEMO_BYTES // (200 + 4 * len(model.langs))), len(model.langs)), np.float32)])
-        self.apart = np.zeros(len(model.langs))
+        self.apart: list[str] = []
         self.memo: list[str] = []
+        self.done = 0  # words of memo whose rows are known
 
     def __missing__(self, word: str) -> int:
         at = self.fixed + 1 + len(self.memo)
         if len(word) > LONG or at >= len(self.rows):
-            self.apart += self.model.unseen(word)
+            self.apart.append(word)
             return self.fixed
-        self.rows[at] = self.model.unseen(word)
         self.memo.append(word)
         self[word] = at
         return at
 
+    def _resolved(self, words: list[str]) -> np.ndarray:
+        """The sum of the rows of words; those met for the first time get theirs now."""
+        at = np.fromiter(map(self.__getitem__, words), np.intp, len(words))
+        if len(self.memo) > self.done:
+            first = self.fixed + 1 + self.done
+            self.rows[first : self.fixed + 1 + len(self.memo)] = self.model.unseen(self.memo[self.done :])
+            self.done = len(self.memo)
+        total = self.rows.take(at, 0).sum(0, dtype=float)
+        if self.apart:
+            total += self.model.unseen(self.apart).sum(0)
+            self.apart.clear()
+        return total
+
     def __call__(self, text: str | None) -> tuple[str, float]:
         total, n, letters, m = np.zeros(len(self.model.langs)), 0, False, self.model
-        self.apart[:] = 0
         if self.fixed + 1 + len(self.memo) >= len(self.rows):
             for w in self.memo:
                 del self[w]
             self.memo.clear()
+            self.done = 0
         for words in words_of(text):
             if words:
-                total += self.rows.take(np.fromiter(map(self.__getitem__, words), np.intp, len(words)), 0).sum(0, dtype=float)
+                total += self._resolved(words)
                 n += len(words)
                 letters = letters or any(c.isalpha() for w in words for c in w)
         if not letters or not m.langs:
             return UNKNOWN, 0.0
-        z = (total + self.apart) / np.sqrt(n)
+        z = total / np.sqrt(n)
         p = np.exp(z - z.max())
         best = int(p.argmax())
         return m.langs[best], float(p[best] / p.sum())
