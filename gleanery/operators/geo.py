@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleanery.sources.files import shared_folder
 
@@ -15,6 +20,8 @@ from gleanery.sources.files import shared_folder
 PER_CELL, GROW = 4, 3.0
 #: Points that a broadcast comparison with all may have.
 SMALL = 50_000
+#: Distances that a worker holds at once; those of one query at least.
+TILE = 1 << 18
 
 
 class EmptyInput(ValueError):
@@ -30,17 +37,53 @@ def bounding_box(points: DataFrame) -> DataFrame:
     return points.agg(F.count(F.lit(1)).alias("points"), F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"))
 
 
+def _closest(qx: np.ndarray, qy: np.ndarray, px: np.ndarray, py: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of each query's nearest point, the first of equal ones, and its squared distance; NaN is farther than all."""
+    at, least = np.empty(len(qx), np.int64), np.empty(len(qx))
+    step = max(1, TILE // len(px))
+    for i in range(0, len(qx), step):
+        with np.errstate(over="ignore", invalid="ignore"):
+            d2, dy = qx[i : i + step, None] - px, qy[i : i + step, None] - py
+            d2 *= d2
+            dy *= dy
+            d2 += dy
+        best = d2.argmin(1)
+        rows = np.arange(len(d2))
+        for row in np.flatnonzero(np.isnan(d2[rows, best])):  # argmin takes the first NaN
+            known = np.flatnonzero(~np.isnan(d2[row]))
+            best[row] = known[d2[row, known].argmin()] if len(known) else 0
+        at[i : i + step], least[i : i + step] = best, d2[rows, best]
+    return at, least
+
+
 def nearest_small(points: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, x, y, d2): all points are compared with each query; for at most SMALL distinct points, which are checked."""
-    p = points.select(F.col("x").alias("px"), F.col("y").alias("py")).distinct()
+    """(query_id, x, y, d2): all points are compared with each query; for at most SMALL distinct points, which are checked.
+
+    The points are broadcast as arrays and the queries dealt over all tasks, which hold TILE distances at a time: no pair is a row.
+    """
+    spark = points.sparkSession
+    xy = [F.col(c).cast("double").alias(c) for c in ("x", "y")]
+    p = points.select(*xy).filter("x is not null and y is not null").distinct()
     n = p.count()
     if n == 0:
         raise EmptyInput("no points")
     if n > SMALL:
         return nearest(points, queries)
-    both = queries.select("query_id", F.col("x").alias("qx"), F.col("y").alias("qy")).crossJoin(F.broadcast(p))
-    d2 = squared_distance(F.col("qx"), F.col("qy"), F.col("px"), F.col("py"))
-    best = both.groupBy("query_id").agg(F.min(F.struct(d2.alias("d2"), "px", "py")).alias("m"))
+    rows = p.toArrow().sort_by([("x", "ascending"), ("y", "ascending")])  # NaN comes last
+    shared = spark.sparkContext.broadcast((rows["x"].to_numpy(), rows["y"].to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        px, py = shared.value
+        for batch in batches:
+            qx, qy = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            at, d2 = _closest(qx, qy, px, py)
+            unknown = pc.or_(batch.column(1).is_null(), batch.column(2).is_null()).to_numpy(zero_copy_only=False)
+            yield pa.record_batch({"query_id": batch.column(0), "px": px[at], "py": py[at], "d2": pa.array(d2, mask=unknown)})
+
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    asked = queries.select("query_id", *xy).repartition(parts, "query_id")
+    schema = T.StructType([asked.schema["query_id"], *(T.StructField(c, T.DoubleType()) for c in ("px", "py", "d2"))])
+    best = asked.mapInArrow(run, schema).groupBy("query_id").agg(F.min(F.struct("d2", "px", "py")).alias("m"))
     return best.select("query_id", F.col("m.px").alias("x"), F.col("m.py").alias("y"), F.col("m.d2").alias("d2"))
 
 

@@ -120,6 +120,16 @@ def test_best_by_family(spark):
 POINT, QUERY = "x double, y double", "query_id long, x double, y double"
 
 
+def test_nearest_small_makes_no_rows_of_pairs(spark):
+    nan = float("nan")
+    p = spark.createDataFrame([(0.0, 0.0), (2.0, 0.0), (2.0, 0.0), (nan, 1.0), (None, 1.0), (1.0, None)], POINT)
+    q = spark.createDataFrame([(1, 1.0, 0.0), (2, 1.5, 1.0), (3, None, 1.0)], QUERY)
+    found = geo.nearest_small(p, q)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 0.0, 0.0, 1.0), (2, 2.0, 0.0, 1.25), (3, 0.0, 0.0, None)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "MapInArrow" in plan
+
+
 def test_nearest_example(spark):
     p = spark.createDataFrame([(0.0, 0.0), (5.0, 5.0), (10.0, 10.0)], POINT)
     q = spark.createDataFrame([(1, 4.9, 4.9)], QUERY)
