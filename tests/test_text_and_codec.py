@@ -68,6 +68,41 @@ def test_codec(spark, values):
     assert one(spark, codec.undelta, d, "array<long>") == values
 
 
+def test_codec_of_many_lists_equals_that_of_each(spark):
+    rng = np.random.default_rng(4)
+    lists = [rng.integers(0, 2 ** int(rng.integers(1, 33)), int(rng.integers(0, 100))) for _ in range(400)] + [np.array([], np.int64), np.array([2**32 - 1] * 33), np.zeros(64, np.int64)]
+    want = [codec.encode(x) for x in lists]
+    data, size = codec.encode_all(np.concatenate(lists).astype(np.int64), np.array([len(x) for x in lists]))
+    assert data.tobytes() == b"".join(want) and size.tolist() == [len(x) for x in want]
+    values, n = codec.decode_all(data, np.cumsum(size) - size)
+    assert values.tolist() == [int(v) for x in lists for v in x] and n.tolist() == [len(x) for x in lists]
+    rows = spark.createDataFrame([(i, [int(v) for v in x] if i % 7 else None) for i, x in enumerate(lists)], "i long, v array<long>").withColumn("b", codec.encoded("v"))
+    for r in rows.select("i", "v", "b", codec.decoded("b").alias("d"), codec.decoded_sums("b").alias("s")).collect():
+        assert r.d == r.v and r.s == (None if r.v is None else np.cumsum(r.v, dtype=np.int64).tolist())
+        assert r.b is None if r.v is None else bytes(r.b) == want[r.i]
+
+
+def test_decoded_sums_are_linear(spark):
+    import time
+
+    docs = spark.createDataFrame([(1, "a " * 60_000)], "doc_id long, text string")
+    began = time.perf_counter()
+    back = postings.coded(docs).select(codec.decoded_sums("data").alias("p")).collect()
+    assert [r.p for r in back] == [list(range(60_000))]
+    assert time.perf_counter() - began < 20
+
+
+@pytest.mark.parametrize("texts", [1, 40, 2 << 20])
+def test_coded_postings_equal_postings(spark, monkeypatch, texts):
+    monkeypatch.setattr(postings, "TEXTS", texts)
+    rows = [(i, ("ab_9 É Ab x\u00aay\u0131 \u212a the-THE " * (i % 40)) + f"t{i % 11}") for i in range(120)] + [(7, "the end"), (7, None), (8, ""), (None, "b a"), (None, "a b"), (500, None), (501, "--")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(((r.term, r.doc_id or -1, r.positions) for r in postings.postings(docs).collect()))
+    back = postings.coded(docs).select("term", "doc_id", codec.decoded_sums("data").alias("p")).collect()
+    assert sorted((r.term, r.doc_id or -1, r.p) for r in back) == want
+    assert postings.coded(docs.filter("false")).count() == 0
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 9, 1000])
 def test_skips(spark, n):
     step, want = max(2, int(n**0.5)), []
