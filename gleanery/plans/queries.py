@@ -400,7 +400,7 @@ def knn_self_is_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FINDERS: dict[str, tuple[str, str, Callable[[DataFrame, DataFrame], DataFrame]]] = {
     "recall_signlsh": ("LSH", "bits=1024,rerank=400", lambda b, q: vectors.knn_sign_lsh(b, q, 100, bits=1024, rerank=400)),
-    "recall_ivf": ("IVF", "lists=16,probes=14", lambda b, q: vectors.ivf_pq(b, q, 100, lists=16, probes=14, m=16, rerank=400)),
+    "recall_ivf": ("IVF", "lists=16,probes=14", lambda b, q: vectors.ivf(b, q, 100, lists=16, probes=14)),
     "recall_ivfpq": ("IVF+PQ", "lists=16,probes=14,m=32,rerank=300", lambda b, q: vectors.ivf_pq(b, q, 100, lists=16, probes=14, m=32, rerank=300)),
     "recall_graph": ("HNSW", "links=32,build=128,width=256", lambda b, q: vectors.knn_graph(b, q, 100, links=32, build=128, width=256)),
 }

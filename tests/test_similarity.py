@@ -112,6 +112,15 @@ def test_sign_lsh_without_groups_and_with_lengths(even):
     assert [(r.query_id, r.vec_id) for r in vectors.knn_sign_lsh(zero, zero, 1, bits=3).orderBy("query_id").collect()] == [(1, 1), (2, 2)]
 
 
+def test_inverted_lists_of_whole_vectors_are_exact(even):
+    asked = even.filter("vec_id % 50 = 0")
+    want = [(r.query_id, r.vec_id, r["rank"]) for r in vectors.knn(even, asked, 20).orderBy("query_id", "rank").collect()]
+    for b in (even, even.withColumn("embedding", F.col("embedding").cast("array<double>"))):
+        assert [(r.query_id, r.vec_id, r["rank"]) for r in vectors.ivf(b, asked, 20, lists=6, probes=6).orderBy("query_id", "rank").collect()] == want
+    assert vectors.ivf(even.filter("false"), asked, 20).count() == 0
+    assert vectors.recall(vectors.knn(even, asked, 20), vectors.ivf(even, asked, 20, lists=16, probes=14)).first().recall >= 0.9
+
+
 def test_blocks_of_queries(base, monkeypatch):
     asked = base.filter("vec_id % 20 = 0")
     whole = vectors.knn(base, asked, 3).orderBy("query_id", "rank").collect()
